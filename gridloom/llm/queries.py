@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .mix import op4_mix_blocks
 from .shard import op6_hash_tree
+from .tokens import op1_token_blocks
 
 QUERIES = {
+    "op1_token_blocks": op1_token_blocks,
     "op4_mix_blocks": op4_mix_blocks,
     "op6_hash_tree": op6_hash_tree,
 }
