@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this package sent to the executors, once for each application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{root.name}", "zip", root.parent, root.name))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 class Written:
     """A result written as Parquet to the shared folder, so that a lost executor costs no recomputation of what led to it."""
 

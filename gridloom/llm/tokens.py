@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import pfor
-from .common import shared_dir, table
+from .common import map_arrow, shared_dir, table
 
 SEGMENTS = "part int, segment int, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 _UNITS_KEPT = 2_000_000
@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, se
     key = [F.col("doc_id").asc_nulls_first(), F.col("h")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(n, *key).sortWithinPartitions(*key).select("doc_id", "text")
-    rows.mapInArrow(run, SEGMENTS).write.option("parquet.block.size", 32 << 20).parquet(path)
+    map_arrow(rows, run, SEGMENTS).write.option("parquet.block.size", 32 << 20).parquet(path)
 
 
 def _names() -> list[str]:
@@ -231,7 +231,7 @@ def document_digests(segments: DataFrame) -> DataFrame:
                     names=["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = segments.select("part", "segment", "doc_ids", "lengths", "payload").mapInArrow(run, "part int, segment int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = map_arrow(segments.select("part", "segment", "doc_ids", "lengths", "payload"), run, "part int, segment int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     # A segment starts where those before it end: within its part, and the part after the parts before it.
     sums = segments.select("part", "segment", "n_tokens")
     in_part = sums.select("part", "segment", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
