@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .mix import op4_mix_blocks
+from .quality import op2_discriminant, op3_tree_rules
 from .shard import op6_hash_tree
 from .tokens import op1_token_blocks
 
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_discriminant": op2_discriminant,
+    "op3_tree_rules": op3_tree_rules,
     "op4_mix_blocks": op4_mix_blocks,
     "op6_hash_tree": op6_hash_tree,
 }
