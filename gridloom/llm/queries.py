@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op9_chat_template
 from .mix import op4_mix_blocks
 from .quality import op2_discriminant, op3_tree_rules
 from .shard import op6_hash_tree
@@ -13,5 +14,6 @@ QUERIES = {
     "op3_tree_rules": op3_tree_rules,
     "op4_mix_blocks": op4_mix_blocks,
     "op6_hash_tree": op6_hash_tree,
+    "op9_chat_template": op9_chat_template,
 }
 ORACLE_SQL: dict[str, str] = {}
