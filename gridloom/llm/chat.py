@@ -133,7 +133,7 @@ def unescape(text: str) -> str:
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """The turn in the template, and the span of its text within it. A role outside the common four is written as it
-    is after '=', escaped, with \\\\; for a colon."""
+    is after '=', escaped, a colon as a backslash and a semicolon."""
     name = ROLES.get(role) or "=" + escape(role).replace(":", "\\;")
     head = f"{OPEN}{name}{SEP}"
     body = escape(text)

@@ -76,3 +76,13 @@ def id_crc(col: str = "doc_id") -> Column:
 def spread_buckets(count: int) -> int:
     """How many hash buckets a running number over `count` rows is split into: about the root, so that neither a bucket nor the list of buckets grows as the rows do."""
     return max(64, 4 * math.isqrt(count))
+
+
+def least_by_hash(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most `limit` rows, those with the least hash of the key: the same for any partitioning. Rows whose hash is
+    far too large are left out first, so that no more than about twice `limit` rows meet in one task."""
+    rows = rows.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(F.col(key)), 1))
+    n = rows.count()
+    if n > 4 * limit:
+        rows = rows.filter(F.col("__hash") < F.lit(int(2**63 * 2 * limit / n)))
+    return rows.orderBy("__hash", key).limit(limit).drop("__hash")

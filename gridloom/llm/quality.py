@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt, qda
-from .common import id_crc, map_arrow, table
+from .common import id_crc, least_by_hash, map_arrow, table
 from .stats import COUNTS, FEATURES, document_stats
 
 #: Labelled rows that a classifier is fitted on at most: those with the least hash of their doc_id.
@@ -32,7 +32,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, which: Column | None =
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     known = known if which is None else known.filter(which)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("__most")).filter("label = __most")
-    sample = known.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    sample = least_by_hash(known.select("doc_id", "label"), "doc_id", limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

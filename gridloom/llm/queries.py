@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op9_chat_template
+from .langid import op10_ngram_ftrl
 from .mix import op4_mix_blocks
 from .quality import op2_discriminant, op3_tree_rules
 from .shard import op6_hash_tree
@@ -15,5 +16,6 @@ QUERIES = {
     "op4_mix_blocks": op4_mix_blocks,
     "op6_hash_tree": op6_hash_tree,
     "op9_chat_template": op9_chat_template,
+    "op10_ngram_ftrl": op10_ngram_ftrl,
 }
 ORACLE_SQL: dict[str, str] = {}
