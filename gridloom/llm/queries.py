@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op9_chat_template
 from .langid import op10_ngram_ftrl
 from .mix import op4_mix_blocks
+from .pieces import op7_viterbi_pieces
 from .quality import op2_discriminant, op3_tree_rules
 from .shard import op6_hash_tree
 from .tokens import op1_token_blocks
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_tree_rules": op3_tree_rules,
     "op4_mix_blocks": op4_mix_blocks,
     "op6_hash_tree": op6_hash_tree,
+    "op7_viterbi_pieces": op7_viterbi_pieces,
     "op9_chat_template": op9_chat_template,
     "op10_ngram_ftrl": op10_ngram_ftrl,
 }

@@ -21,18 +21,16 @@ from pyspark.sql import Window
 
 from . import pfor
 from .common import map_arrow, shared_dir, table
+from .units import UnitCache
 
 SEGMENTS = "part int, segment int, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
-_UNITS_KEPT = 2_000_000
-_CHUNK = 1 << 21
 # In texts of these characters only, a space between two other characters is where the byte-level splitter cuts.
 _UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1\xa7\xa9\xab\xae\xb0\xbb\xbf\xc0-ſ‐-‧€]")
 
 
 class UnitEncoder:
     """Encodes whole texts with the tokenizers library. Its byte-level splitter always cuts before a single space, so
-    a text is cut into units that begin with a space, and each distinct unit is encoded once and its ids kept, up to
-    two million units in about 80 MB. Units are found by hash and compared byte by byte. Texts with characters outside the common ranges, with two spaces in a row or with the string of an added token go
+    a text is cut into units that begin with a space, and each distinct unit is encoded once. Texts with characters outside the common ranges, with two spaces in a row or with the string of an added token go
     through the library whole."""
 
     def __init__(self, path: str):
@@ -45,108 +43,29 @@ class UnitEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a byte-level piece has a character for each
         for piece, k in vocabulary.items():
             self.width[k] = len(piece)
-        self._clear()
-        rng = np.random.default_rng(1)
-        self.letters = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = np.uint64(0x9E3779B97F4A7C15)
-        self.powers = np.cumprod(np.full(_CHUNK + 1, base, np.uint64))
-        self.inverse = np.cumprod(np.full(_CHUNK + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+        self.cache = UnitCache(self._learn, self._whole)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        group: list[int] = []
-        data: list[bytes] = []
-        size = 0
+        common: list[int] = []
         for i, text in enumerate(texts):
-            raw = text.encode()
-            if not text or len(raw) > _CHUNK or "  " in text or _UNCOMMON.search(text) or self.added and self.added.search(text):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            if size + len(raw) > _CHUNK:
-                self._group(group, data, out)
-                group, data, size = [], [], 0
-            group.append(i)
-            data.append(raw)
-            size += len(raw)
-        self._group(group, data, out)
+            if not text or "  " in text or _UNCOMMON.search(text) or self.added and self.added.search(text):
+                out[i] = self._whole(text)
+            else:
+                common.append(i)
+        for i, ids in zip(common, self.cache.encode([texts[i].encode() for i in common]), strict=True):
+            out[i] = ids
         return out
 
-    def _group(self, group: list[int], data: list[bytes], out: list) -> None:
-        if not group:
-            return
-        joined = b"".join(data)
-        buf = np.frombuffer(joined, np.uint8)
-        ends = np.cumsum([len(x) for x in data])
-        first = buf == 32
-        first[np.concatenate([[0], ends[:-1]])] = True
-        start = np.flatnonzero(first)
-        length = np.diff(start, append=len(buf))
-        # A unit's hash is a polynomial in its bytes, from running sums over the whole buffer.
-        run = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.letters[buf] * self.powers[: len(buf)], out=run[1:])
-        code = (run[start + length] - run[start]) * self.inverse[start]
-        code ^= code >> np.uint64(29)
-        _, rep, which = np.unique(code, return_index=True, return_inverse=True)
-        same = rep[which]
-        place = np.arange(len(buf), dtype=np.int32) + np.repeat((start[same] - start).astype(np.int32), length)
-        if (length != length[same]).any() or (buf[place] != buf).any():  # two units of one hash
-            return self._whole(group, data, out)
-        at = self._known(code[rep], joined, start[rep], length[rep])
-        if at is None:
-            return self._whole(group, data, out)
-        count, pool_at = self.count[at], self.at[at]
-        each = count[which]
-        upto = np.cumsum(each)
-        flat = self.ids[np.arange(upto[-1]) - np.repeat(upto - each - pool_at[which], each)]
-        cuts = upto[np.searchsorted(start, ends) - 1]
-        for i, ids_of in zip(group, np.split(flat, cuts[:-1]), strict=True):
-            out[i] = ids_of
-
-    def _whole(self, group: list[int], data: list[bytes], out: list) -> None:
-        for i, raw in zip(group, data, strict=True):
-            out[i] = np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
-
-    def _clear(self) -> None:
-        """code, at, count, raw_at, raw_len: for each kept unit, by hash; ids, raw: what they point into."""
-        self.code = np.zeros(0, np.uint64)
-        self.at, self.count, self.raw_at, self.raw_len = (np.zeros(0, np.int64) for _ in range(4))
-        self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-
-    def _known(self, code: np.ndarray, joined: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray | None:
-        """Where each unit, given by ascending hash, stands among the kept ones, after learning those that are new; None if a kept unit has the hash of another."""
-        if len(self.code) > _UNITS_KEPT:
-            self._clear()
-        at = np.searchsorted(self.code, code)
-        new = np.ones(len(code), bool)
-        new[at < len(self.code)] = self.code[at[at < len(self.code)]] != code[at < len(self.code)]
-        buf = np.frombuffer(joined, np.uint8)
-        old = np.flatnonzero(~new)
-        k = at[old]
-        if (self.raw_len[k] != length[old]).any():
-            return None
-        step = np.arange(length[old].sum()) - np.repeat(np.cumsum(length[old]) - length[old], length[old])
-        if (self.raw[step + np.repeat(self.raw_at[k], length[old])] != buf[step + np.repeat(start[old], length[old])]).any():
-            return None
-        if new.any():
-            n = np.flatnonzero(new)
-            units = [joined[x : x + y] for x, y in zip(start[n].tolist(), length[n].tolist(), strict=True)]
-            ids = self._learn(units)
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            here = at[n]
-            self.at = np.insert(self.at, here, len(self.ids) + np.cumsum(count) - count)
-            self.raw_at = np.insert(self.raw_at, here, len(self.raw) + np.cumsum(length[n]) - length[n])
-            self.count, self.raw_len = np.insert(self.count, here, count), np.insert(self.raw_len, here, length[n])
-            self.code = np.insert(self.code, here, code[n])
-            self.ids = np.concatenate([self.ids, *ids])
-            self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(units), np.uint8)])
-        return at + np.cumsum(new) - new
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, units: list[bytes]) -> list[np.ndarray]:
         """Units that begin with a space are encoded many at once and told apart by the bytes of their ids."""
         out: list[np.ndarray | None] = [None] * len(units)
         spaced = [i for i, u in enumerate(units) if u[0] == 32 and len(u) > 1]
         for i in set(range(len(units))) - set(spaced):
-            out[i] = np.array(self.tokenizer.encode(units[i].decode(), add_special_tokens=False).ids, np.uint32)
+            out[i] = self._whole(units[i].decode())
         for k in range(0, len(spaced), 2000):
             some = spaced[k : k + 2000]
             joined = b"".join([units[i] for i in some]).decode()
