@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op9_chat_template
 from .langid import op10_ngram_ftrl
+from .minhash import op8_minhash_bayes
 from .mix import op4_mix_blocks
 from .pieces import op7_viterbi_pieces
 from .quality import op2_discriminant, op3_tree_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_mix_blocks": op4_mix_blocks,
     "op6_hash_tree": op6_hash_tree,
     "op7_viterbi_pieces": op7_viterbi_pieces,
+    "op8_minhash_bayes": op8_minhash_bayes,
     "op9_chat_template": op9_chat_template,
     "op10_ngram_ftrl": op10_ngram_ftrl,
 }
