@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op9_chat_template
+from .embdup import op5_cross_polytope
 from .langid import op10_ngram_ftrl
 from .minhash import op8_minhash_bayes
 from .mix import op4_mix_blocks
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_discriminant": op2_discriminant,
     "op3_tree_rules": op3_tree_rules,
     "op4_mix_blocks": op4_mix_blocks,
+    "op5_cross_polytope": op5_cross_polytope,
     "op6_hash_tree": op6_hash_tree,
     "op7_viterbi_pieces": op7_viterbi_pieces,
     "op8_minhash_bayes": op8_minhash_bayes,
