@@ -1,17 +1,66 @@
-"""The corpus pipeline: stages that each read what the one before wrote."""
+"""The corpus pipeline: from documents to training ids, in five stages that each read what the one before wrote.
+
+Each stage works on everything its predecessor kept. All but the last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm import minhash, mix, pieces, quality
 from gridloom.llm.common import table, written
 
-STAGES: list = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant scores below the threshold go. It is fitted on labelled documents of the table."""
+    model = quality.fit_discriminant(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model, "__score").filter(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the base rules or that the trees reject. The trees are fitted on labelled documents of the
+    table, not of those the classifier left: these hardly hold a rejected kind any more."""
+    forest = quality.fit_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.with_rules(docs, forest, "__").filter("__kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays, once. Documents without words or without
+    an id stay as they are."""
+    found = written(minhash.near_duplicates(docs), "near-dedup")
+    kept = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = kept.filter("__n > 1").select("doc_id", F.lit(True).alias("__repeated"))
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if repeated.limit(1).count():  # rows that share an id: one stays
+        marked = out.join(repeated, "doc_id", "left")
+        once = marked.filter("__repeated").dropDuplicates(["doc_id"])
+        out = marked.filter("__repeated is null").unionByName(once)
+    return out.unionByName(docs.filter("doc_id is null"), allowMissingColumns=True).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them: repeated, whole or in part."""
+    return mix.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.with_pieces(docs, pieces.default_model())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources", source_mix),
+    ("SentencePiece encoding", encode),
+]
+#: Trees, signatures and path searches are beyond SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -160,11 +160,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = Window.partitionBy("doc_id", "source", "th", "size")
     takes = takes.withColumn("k", F.dense_rank().over(same.orderBy("row")))
     full = full.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__th", "__size").orderBy("__th")))
-    t = takes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("th").alias("__t"), F.col("k").alias("__kk"), "taken", "parts")
-    m = full.join(t, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__th") == F.col("__t")) & (F.col("__k") == F.col("__kk")))
+    t = takes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("th").alias("__t"), F.col("k").alias("__kk"), F.col("taken").alias("__taken"), F.col("parts").alias("__parts"))
+    m = full.join(t, full["doc_id"].eqNullSafe(F.col("__id")) & full["source"].eqNullSafe(F.col("__src")) & (F.col("__th") == F.col("__t")) & (F.col("__k") == F.col("__kk")))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["from"] + 1, p["t"]))), " ")
-    m = m.withColumn("text", F.when(F.col("taken") == F.col("__size"), F.col("text")).otherwise(cut))
+    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, p["from"] + 1, p["t"]))), " ")
+    m = m.withColumn("text", F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         m = m.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return m.select(*docs.columns)
