@@ -10,7 +10,8 @@
 4. Links give components. Only reachability is asked for, so pairs that are already connected are never compared:
    first each bucket's members are tried against the bucket's least id, then each member left is tried against its best
    partner in the bucket, then whatever pairs of a bucket still lie in different components are tried, all of them.
-   Large buckets are compared in blocks of bounded size, so neither a bucket's pairs nor its members meet in one task.
+   Large buckets are compared in blocks of bounded size, in which the last step verifies too, so neither a bucket's
+   pairs nor its members meet in one task.
 """
 
 from __future__ import annotations
@@ -125,41 +126,79 @@ def promising(pairs: DataFrame, signatures: DataFrame, least: list[int]) -> Data
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def block_partners(members: DataFrame, least: list[int], best_only: bool) -> DataFrame:
-    """Pairs from large buckets. members: bucket, n (size), rep, component, minor (not of the bucket's main component)
-    and signature. Every minor member is compared with every member of another component: members are dealt at random
-    into blocks of about BLOCK, and each pair of blocks, the first of minor members, is a piece of work of its own. With
-    best_only, a minor member's pair of most agreements in a piece is given, else all its surviving pairs."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    m = members.withColumn("own", own).withColumn("blocks", blocks)
+def _pieces(members: DataFrame, size: int, columns: list[str]) -> DataFrame:
+    """Members of large buckets, dealt at random into blocks of about `size`; each pair of blocks, the first of minor
+    members, is a piece of work (bucket, i, j), in which side 0 is the first block and side 1 the second."""
+    blocks = F.ceil(F.col("n") / size)
+    m = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     spread = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    rows = m.filter("minor").select("bucket", F.col("own").alias("i"), F.explode(spread).alias("j"), F.lit(0).alias("side"), "rep", "component", "signature")
+    rows = m.filter("minor").select("bucket", F.col("own").alias("i"), F.explode(spread).alias("j"), F.lit(0).alias("side"), *columns)
     has_minor = m.filter("minor").select("bucket", F.col("own").alias("i")).distinct()
-    rows = rows.unionByName(m.join(has_minor, "bucket").select("bucket", "i", F.col("own").alias("j"), F.lit(1).alias("side"), "rep", "component", "signature"))
+    return rows.unionByName(m.join(has_minor, "bucket").select("bucket", "i", F.col("own").alias("j"), F.lit(1).alias("side"), *columns))
+
+
+def block_partners(members: DataFrame, least: list[int]) -> DataFrame:
+    """members: bucket, n (its size), rep, component, minor (not of the bucket's main component) and signature. For
+    each minor member, the partner in another component whose signature agrees best, in each piece of work."""
 
     def run(key: tuple, piece: pa.Table) -> pa.Table:
-        side = piece.column("side").to_numpy()
-        rep, comp = piece.column("rep").to_numpy(), piece.column("component").to_numpy()
+        side, rep, comp = (piece.column(c).to_numpy() for c in ("side", "rep", "component"))
         sig = _signatures(piece.column("signature").combine_chunks())
-        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [], []
-        for x in mine:
+        theirs, out = np.flatnonzero(side == 1), []
+        for x in np.flatnonzero(side == 0):
             others = theirs[comp[theirs] != comp[x]]
-            if not len(others):
-                continue
             alive, count = surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)
-            if not len(alive):
-                continue
-            if best_only:
-                top = alive[count >= count.max() - HASHES // 40]  # about as good: the least id, so that many share a partner
-                alive = top[[rep[others[top]].argmin()]]
-            out_a += [rep[x]] * len(alive)
-            out_b += rep[others[alive]].tolist()
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    map_arrow(members, lambda it: it, members.schema)  # sends the package
+            if len(alive):
+                top = others[alive[count >= count.max() - HASHES // 40]]  # about as good: the least id, so that many share a partner
+                out.append((rep[x], rep[top].min()))
+        ends = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    rows = _pieces(members, BLOCK, ["rep", "component", "signature"])
+    return _in_arrow(rows, run)
+
+
+def block_links(members: DataFrame, least: list[int], k: int, percent: int) -> DataFrame:
+    """members: as for `block_partners`, with band (the bucket's) and text. Every minor member is compared with every
+    member of another component: signatures first, then, for all pairs that survive, full sets. A pair that agrees in
+    several bands is compared in the first of them, pairs that links of the piece connect already are not compared,
+    and only links leave the piece."""
+
+    def run(key: tuple, piece: pa.Table) -> pa.Table:
+        side, rep, root = (piece.column(c).to_numpy() for c in ("side", "rep", "component"))
+        root = root.copy()
+        sig = _signatures(piece.column("signature").combine_chunks())
+        band, texts = piece.column("band")[0].as_py(), piece.column("text")
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = shingle_set(texts[row].as_py(), k)
+            return sets[row]
+
+        theirs, out = np.flatnonzero(side == 1), []
+        for x in np.flatnonzero(side == 0):
+            others = theirs[root[theirs] != root[x]]
+            alive, _ = surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)
+            others = others[alive]
+            agree = (sig[others].reshape(-1, BANDS, ROWS) == sig[x].reshape(1, BANDS, ROWS)).all(axis=2)
+            for y in others[agree.argmax(axis=1) == band]:
+                if root[x] == root[y]:
+                    continue
+                mine, other = set_of(int(x)), set_of(int(y))
+                both = shared(mine, other)
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    out.append((rep[x], rep[y]))
+                    root[root == root[y]] = root[x]
+        ends = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    rows = _pieces(members, BLOCK // 2, ["rep", "component", "signature", "band", "text"])
+    return _in_arrow(rows, run)
+
+
+def _in_arrow(rows: DataFrame, run) -> DataFrame:
+    map_arrow(rows, lambda it: it, rows.schema)  # sends the package
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -170,23 +209,18 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     document. Rows with a null doc_id link with nothing: their component_id is null and they are kept. An empty table
     gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     least = least_matches(percent / 100, miss)
     rows = written(document_sets(docs, k), "sets")
     real = rows.filter("digest is not null and doc_id is not null")
     classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature")), "classes")
 
-    bands = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band", "bucket")).select("bucket", "rep")
+    bands = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band", "bucket"))
     counts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1")
     members = written(bands.join(counts, "bucket"), "members")
     ids = members.select(F.col("rep").alias("id")).distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").distinct(), "texts")
     sigs = written(classes.select("rep", "signature").join(ids.withColumnRenamed("id", "rep"), "rep"), "signatures")
 
-    # Rows that share a doc_id are one document even where their texts differ.
-    empty = spark.createDataFrame([], "a long, b long")
-    links, tried, component = empty, empty, None
-
     def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = written(promising(pairs, sigs, least).distinct(), "pairs")
         return pairs, written(verified(pairs, texts, k, percent), "links")
@@ -202,9 +236,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
         left = Written(m.join(main, "bucket").withColumn("minor", F.col("component") != F.col("main")), "left")
         few = left.df.filter(F.col("n") <= LISTED).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "component"))).alias("s"))
         few = few.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).filter("x.rep < y.rep and x.component != y.component").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        many = block_partners(left.df.filter(F.col("n") > LISTED).join(sigs, "rep").select("bucket", "n", "rep", "component", "minor", "signature"), least, best_only)
-        pairs = few.unionByName(many).distinct().join(tried, ["a", "b"], "left_anti")
-        new_tried, new_links = linked(pairs)
+        many = left.df.filter(F.col("n") > LISTED).join(sigs, "rep")
+        if best_only:
+            few = few.unionByName(block_partners(many, least))
+        else:
+            links = links.unionByName(written(block_links(many.join(texts.withColumnRenamed("id", "rep"), "rep"), least, k, percent).distinct(), "links"))
+        new_tried, new_links = linked(few.distinct().join(tried, ["a", "b"], "left_anti"))
         tried, links = tried.unionByName(new_tried), links.unionByName(new_links)
         left.drop()
     component = connected_components(links)
