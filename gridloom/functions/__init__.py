@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Column expressions: parsing of text, comparison and arithmetic."""

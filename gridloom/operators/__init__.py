@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Operations from table to table."""

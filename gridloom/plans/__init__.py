@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Ordered tables, replayable pipelines and sessions."""

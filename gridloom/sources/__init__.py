@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Readers and writers of files."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Structured Streaming forms of some operators."""
