@@ -24,7 +24,7 @@ def fields(name: str) -> list[str]:
     return list(inspect.signature(OPERATIONS[name]).parameters)[1:]
 
 
-def apply(table: Table, name: str, **args) -> Table:
+def apply(table: Table, name: str, /, **args) -> Table:
     if name not in OPERATIONS:
         raise ValueError(f"no operation {name!r}")
     known = fields(name)
