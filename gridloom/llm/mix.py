@@ -72,6 +72,8 @@ def last_index(epoch: Column, seed: int) -> Column:
 
 def mix_slots(spark: SparkSession, plan: DataFrame, block: int, per_shard: int, seed: int) -> DataFrame:
     """One row per slot of the mix: shard, slot, rank, epoch, index, words (those that the slot takes of its block)."""
+    # Merge joins are asked for where Spark would broadcast what grows with the data: it takes rows exploded from the
+    # short plan for few, and draws for small as their files are.
     n = int(plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
     g = spark.range(0, n).select((F.expr(f"id div {per_shard}")).alias("shard"), (F.col("id") % per_shard).alias("slot"))
     g = g.withColumn("u", (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("shard"), F.col("slot")), 11)).cast("double") * F.lit(2.0**-53))
@@ -83,7 +85,7 @@ def mix_slots(spark: SparkSession, plan: DataFrame, block: int, per_shard: int,
     counts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     counts = counts.join(plan.select("rank", "slots"), "rank")
     numbered = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("shard", "rank").orderBy("slot")))
-    numbered = numbered.join(counts, ["shard", "rank"]).withColumn("j", F.col("start") + F.col("rn") - 1)
+    numbered = numbered.hint("merge").join(counts, ["shard", "rank"]).withColumn("j", F.col("start") + F.col("rn") - 1)
     kept = numbered.filter("j < slots").select("shard", "slot", "rank", "j")
     # Draws beyond a source's slots, numbered over all shards, go to the sources that drew too few.
     spare = numbered.filter("j >= slots").select("shard", "slot")
@@ -95,7 +97,7 @@ def mix_slots(spark: SparkSession, plan: DataFrame, block: int, per_shard: int,
     short = plan.select("rank", "slots").join(had, "rank", "left").withColumn("had", F.coalesce("had", F.lit(0))).filter("had < slots")
     short = short.withColumn("q0", F.coalesce(F.sum(F.col("slots") - F.col("had")).over(_before("rank")), F.lit(0)))
     short = short.select("rank", "had", "q0", F.explode(F.sequence(F.lit(0), F.col("slots") - F.col("had") - 1)).alias("t"))
-    moved = spare.join(short.select("rank", (F.col("had") + F.col("t")).alias("j"), (F.col("q0") + F.col("t")).alias("q")), "q").select("shard", "slot", "rank", "j")
+    moved = spare.join(short.select("rank", (F.col("had") + F.col("t")).alias("j"), (F.col("q0") + F.col("t")).alias("q")).hint("merge"), "q").select("shard", "slot", "rank", "j")
     s = kept.unionByName(moved).join(plan.select("rank", "source_size", "want", "blocks", "last"), "rank")
     s = s.withColumn("epoch", F.expr("j div blocks")).withColumn("index", F.expr("j % blocks")).withColumn("last_at", last_index(F.col("epoch"), seed))
     gone = F.col("epoch") * F.col("source_size") + F.col("index") * block - F.when(F.col("index") > F.col("last_at"), block - F.col("last")).otherwise(0)
@@ -133,7 +135,7 @@ def mix(docs: DataFrame, block: int = 512, per_shard: int = 1024, repeat: int =
     blocks = plan.filter("slots > 0").select("rank", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(slots - 1) div blocks"))).alias("epoch"))
     blocks = blocks.select("rank", "blocks", "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     blocks = blocks.select("rank", "epoch", "block", permuted(F.col("block"), F.col("blocks"), F.lit(seed), F.col("rank"), F.col("epoch")).alias("index"))
-    slots = slots.join(blocks, ["rank", "epoch", "index"]).select("shard", "slot", "rank", "epoch", "block", "words")
+    slots = slots.join(blocks.hint("merge"), ["rank", "epoch", "index"]).select("shard", "slot", "rank", "epoch", "block", "words")
     return rows, pieces, slots
 
 
