@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.parsing import LENIENT, STRICT, blank, number, text_of
-from ..plans.table import Table, in_blocks
+from ..plans.table import Table, in_blocks, running_sum
 from .columns import fresh
 from .ordering import sort_keys
 from .registry import operation
@@ -51,18 +51,20 @@ def group_aggregate(t: Table, group_columns: list[str], target: str = "", functi
     return Table.of(out, *group_columns)
 
 
-def _windowed(t: Table, order: list[str], groups: list[str], reach: int | None, make, name: str) -> Table:
-    """Adds make(window, table). With groups the windows are theirs. Without, the rows are numbered and a window runs
-    over blocks of positions with copies of the `reach` rows before each."""
-    sorted_ = t.sorted_by(sort_keys(t, order)) if order else t
+def _numbered(t: Table, order: list[str], groups: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows numbered by group and order, and the hidden columns that this took."""
     t.require(*groups)
-    if groups:
-        w = Window.partitionBy(*(key(t, c) for c in groups)).orderBy(*sorted_.sort)
-        rows = sorted_.df.withColumn(name, make(w))
-    else:
-        w = Window.partitionBy("__block").orderBy("__pos")
-        rows = in_blocks(sorted_.numbered(), reach).withColumn(name, make(w)).filter(~F.col("__copy")).drop("__block", "__copy", "__pos", "__part")
-    return t.with_df(rows.drop(*(k.name for k in sorted_.order if k not in t.order)))
+    sorted_ = t.sorted_by([*((key(t, c), True, True) for c in groups), *sort_keys(t, order)])
+    return sorted_.numbered(), ["__pos", "__part", *(k.name for k in sorted_.order if k not in t.order)]
+
+
+def _windowed(t: Table, order: list[str], groups: list[str], reach: int, make, name: str) -> Table:
+    """Adds make(window). The rows are numbered, and windows run over blocks of positions with copies of the `reach`
+    rows before each, so that a group of any size, or the whole table as one, is dealt over many tasks."""
+    rows, spare = _numbered(t, order, groups)
+    w = Window.partitionBy("__block", *(key(t, c) for c in groups)).orderBy("__pos")
+    rows = in_blocks(rows, reach).withColumn(name, make(w)).filter(~F.col("__copy"))
+    return t.with_df(rows.drop("__block", "__copy", *spare))
 
 
 @operation("RollingAggregate")
@@ -92,21 +94,13 @@ def moving_average(t: Table, order_column: str, target: str, window_size: int, o
 
 @operation("CumulativeSum")
 def cumulative_sum(t: Table, order_column: str, target: str, output: str, group_columns: list[str] = ()) -> Table:
-    """Null until the first number. Without groups, each run of positions is summed on its own and starts at the sum of
-    the runs before it."""
+    """Null until the first number. Runs of positions are summed each on their own and start at what the runs before
+    them hand on."""
     t.require(order_column, target)
-    name, x = fresh(t, output), number(t.df, target, LENIENT)
-    if group_columns:
-        return _windowed(t, [order_column], list(group_columns), None, lambda w: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), name)
-    sorted_ = t.sorted_by(sort_keys(t, [order_column]))
-    rows = sorted_.numbered()
-    runs = rows.groupBy("__part").agg(F.sum(x).alias("__s"))
-    runs = runs.select("__part", F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    inside = F.sum(x).over(Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__in", inside).join(F.broadcast(runs), "__part")
-    total = F.when(F.col("__in").isNull(), F.col("__before")).otherwise(F.col("__in") + F.coalesce("__before", F.lit(0.0)))
-    rows = rows.withColumn(name, total).drop("__in", "__before", "__pos", "__part", *(k.name for k in sorted_.order if k not in t.order))
-    return t.with_df(rows)
+    name = fresh(t, output)
+    rows, spare = _numbered(t, [order_column], list(group_columns))
+    rows = running_sum(rows, name, number(t.df, target, LENIENT), [key(t, c) for c in group_columns])
+    return t.with_df(rows.drop(*spare))
 
 
 MODES = {"rate": "rate", "变化率": "rate", "increase": "increase", "是否上升": "increase", "decrease": "decrease", "是否下降": "decrease"}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.parsing import FUSION, as_fusion_time, as_number, blank, is_number, is_text, number, text_of, time, trimmed
-from ..plans.table import Key, Table
+from ..plans.table import Key, Table, carried, in_blocks, running_sum
 from . import fusion_names as names
 from .profile import duplicate_rows
 
@@ -122,44 +122,39 @@ def prepared(t: Table, keys: list[str], when: str, request: Request) -> DataFram
 
 
 def filled_by_key(df: DataFrame, columns: list[str], how: str, order: list[str], tag: Column | None = None) -> DataFrame:
-    """Gaps of columns within __key, in the order of time. __filled counts the cells filled, if it is there."""
-    if how == "keep_null":
+    """Gaps of columns within __key, in the order of time; with a tag, __tags gets it where a cell was filled. Rows are
+    numbered by key and time and filled in runs, so one key's rows may be dealt over many tasks."""
+    if how in ("linear", "window_mean"):
+        columns = [c for c in columns if is_number(df, c)]
+    if how == "keep_null" or not columns:
         return df
-    w = Window.partitionBy("__key").orderBy(*order)
-    past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    out = {}
+    rows = Table(df, tuple(Key(c) for c in ("__key", *order))).numbered()
+    mark = {c: F.when(~blank(df, c), F.struct(F.col(c).alias("v"), F.col("__ts").alias("ts"), F.col("__pos").alias("n"))) for c in columns}
+    if how != "backward":
+        rows = carried(rows, {f"__a_{c}": x for c, x in mark.items()}, [F.col("__key")])
+    if how != "forward":
+        rows = carried(rows, {f"__b_{c}": x for c, x in mark.items()}, [F.col("__key")], forward=False)
+    out, hit = {}, F.lit(False)
     for c in columns:
-        here = F.when(~blank(df, c), F.col(c))
-        a, b = F.last(here, ignorenulls=True).over(past), F.first(here, ignorenulls=True).over(future)
+        a, b = F.col(f"__a_{c}"), F.col(f"__b_{c}")
         if how == "forward":
-            new = a
+            new = a["v"]
         elif how == "backward":
-            new = b
+            new = b["v"]
         elif how == "nearest":
-            new = F.coalesce(a, b)
-        elif not is_number(df, c):
-            continue
-        else:
-            mark = F.when(here.isNotNull(), F.struct("__ts", F.row_number().over(w).alias("n")))
-            df = df.withColumn("__mark", mark)
-            left, right = F.last("__mark", ignorenulls=True).over(past), F.first("__mark", ignorenulls=True).over(future)
-            if how == "linear":
-                total = F.timestamp_diff("SECOND", left["__ts"], right["__ts"])
-                part = F.timestamp_diff("SECOND", left["__ts"], F.col("__ts"))
-                new = F.when(total != 0, F.round(a + (b - a) * part / total, 6))
-            else:  # each gap cell is the mean of the filled cell before it and the value after the gap
-                new = F.round(b - (b - a) * F.pow(F.lit(0.5), F.row_number().over(w) - left["n"]), 6)
-            df = df.withColumn(f"__f_{c}", new).drop("__mark")
-            out[c] = F.when(here.isNull() & F.col(f"__f_{c}").isNotNull(), F.col(f"__f_{c}").cast(df.schema[c].dataType)).otherwise(F.col(c))
-            continue
-        df = df.withColumn(f"__f_{c}", new)
-        out[c] = F.when(here.isNull() & F.col(f"__f_{c}").isNotNull(), F.col(f"__f_{c}")).otherwise(F.col(c))
-    if not out:
-        return df
-    hit = reduce(or_, (blank(df, c) & F.col(f"__f_{c}").isNotNull() for c in out))
+            new = F.coalesce(a["v"], b["v"])
+        elif how == "linear":
+            total = F.timestamp_diff("SECOND", a["ts"], b["ts"])
+            part = F.timestamp_diff("SECOND", a["ts"], F.col("__ts"))
+            new = F.when(total != 0, F.round(a["v"] + (b["v"] - a["v"]) * part / total, 6))
+        else:  # each gap cell is the mean of the filled cell before it and the value after the gap
+            new = F.round(b["v"] - (b["v"] - a["v"]) * F.pow(F.lit(0.5), F.col("__pos") - a["n"]), 6)
+        new = new.cast(df.schema[c].dataType)
+        hit = hit | (blank(df, c) & new.isNotNull())
+        out[c] = F.when(blank(df, c) & new.isNotNull(), new).otherwise(F.col(c))
     if tag is not None:
-        df = df.withColumn("__tags", F.when(hit, F.array_append("__tags", tag)).otherwise(F.col("__tags")))
-    return df.withColumns(out).drop(*(f"__f_{c}" for c in out))
+        rows = rows.withColumn("__tags", F.when(hit, F.array_append("__tags", tag)).otherwise(F.col("__tags")))
+    return rows.withColumns(out).select(*df.columns)
 
 
 def source_confidence(t: Table, name: str) -> float:
@@ -424,10 +419,12 @@ def feature_table(t: Table, keys: list[str], when: str, columns: int = 12) -> Da
 def event_segments(t: Table, keys: list[str], when: str, gap_seconds: int = 60) -> DataFrame:
     """Runs of rows of a key without a gap above the limit: segment (from 1), start_time, end_time, rows and, of fused
     rows, average_score."""
-    w = Window.partitionBy(*keys).orderBy("__at", *t.sort)
-    rows = t.df.withColumn("__at", time(t.df, when, as_fusion_time)).filter("__at is not null")
+    rows = t.with_df(t.df.withColumn("__at", time(t.df, when, as_fusion_time)).filter("__at is not null"))
+    rows = rows.sorted_by([*((F.col(k), True, True) for k in keys), (F.col("__at"), True, True)]).numbered()
+    w = Window.partitionBy("__block", *keys).orderBy("__pos")
     far = F.abs(F.timestamp_diff("SECOND", F.lag("__at").over(w), F.col("__at"))) > gap_seconds
-    rows = rows.withColumn("__new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = in_blocks(rows, 1).withColumn("__new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).filter(~F.col("__copy"))
+    rows = running_sum(rows, "segment", F.col("__new"), [F.col(k) for k in keys])
     score = [F.round(F.avg("fusion_quality_score"), 4).alias("average_score")] if "fusion_quality_score" in t.columns else []
     return rows.groupBy(*keys, "segment").agg(F.min("__at").alias("start_time"), F.max("__at").alias("end_time"), F.count(F.lit(1)).alias("rows"), *score)
 

@@ -223,7 +223,7 @@ def fill_null_text(t: Table, column: str, value: str) -> Table:
 
 def _fill(t: Table, column: str, forward: bool) -> Table:
     t.require(column)
-    rows = carried(t.numbered(), F.when(~blank(t.df, column), F.col(column)), forward)
+    rows = carried(t.numbered(), {"__carried": F.when(~blank(t.df, column), F.col(column))}, forward=forward)
     keep = F.when(blank(t.df, column) & F.col("__carried").isNotNull(), F.col("__carried")).otherwise(F.col(column))
     return t.with_df(rows.withColumn(column, keep).drop("__carried"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HIDDEN = "__"
+_own: dict[str, str] = {}
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the folder that the cluster shares, and read back: rows are computed once, and a lost executor costs no more than a read."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:  # no cluster: a local folder
+        app = spark.sparkContext.applicationId
+        folder = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _own[app] = folder
     path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -131,15 +133,51 @@ def in_blocks(numbered: DataFrame, reach: int, size: int = 100_000) -> DataFrame
     return rows.withColumn("__copy", F.col("__block") > block)
 
 
-def carried(numbered: DataFrame, value: Column, forward: bool = True) -> DataFrame:
-    """Adds __carried: the last value that is not null up to each row, or the first from it on. Runs are filled on their
-    own; what each run hands on is one row for each."""
-    df = numbered.withColumn("__v", value)
-    inside = Window.partitionBy("__part").orderBy(F.col("__pos").asc() if forward else F.col("__pos").desc())
-    fill = F.last("__v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = F.when(F.col("__v").isNotNull(), F.col("__pos"))
-    pick = F.max_by("__v", at) if forward else F.min_by("__v", at)
-    ends = df.groupBy("__part").agg(pick.alias("__end"))
-    over = Window.orderBy(F.col("__part").asc() if forward else F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("__part", F.last("__end", ignorenulls=True).over(over).alias("__before"))
-    return df.withColumn("__inside", fill).join(F.broadcast(ends), "__part").withColumn("__carried", F.coalesce("__inside", "__before")).drop("__v", "__inside", "__before")
+def _key(keys: list[Column]) -> Column:
+    return F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys))) if keys else F.struct(F.lit(0).alias("k0"))
+
+
+def _handed_on(df: DataFrame, end: Column, combine, forward: bool) -> DataFrame:
+    """df: rows numbered in an order that begins with their __run_key. (__part, __run_key, __before) for the key that each run
+    begins (backward: ends) with: what `combine` makes of the values `end` that the runs before it hand on for that
+    key. Two rows for each run at most, however the keys are spread."""
+    first, last = F.min_by("__run_key", "__pos"), F.max_by("__run_key", "__pos")
+    bounds = df.groupBy("__part").agg((last if forward else first).alias("__out"), (first if forward else last).alias("__in"))
+    ends = df.join(F.broadcast(bounds.select("__part", "__out")), "__part").filter(F.col("__run_key").eqNullSafe(F.col("__out")))
+    ends = ends.groupBy("__part").agg(F.first("__run_key").alias("__run_key"), end.alias("__end"))
+    all_ = ends.select("__part", "__run_key", "__end", F.lit(False).alias("__asks")).unionByName(bounds.select("__part", F.col("__in").alias("__run_key"), F.lit(None).cast(ends.schema["__end"].dataType).alias("__end"), F.lit(True).alias("__asks")))
+    # Within a run the question comes before the answer, so a run does not answer itself.
+    w = Window.partitionBy("__run_key").orderBy(F.col("__part").asc() if forward else F.col("__part").desc(), F.col("__asks").desc())
+    return all_.withColumn("__before", combine("__end", w.rowsBetween(Window.unboundedPreceding, -1))).filter("__asks").select("__part", "__run_key", "__before")
+
+
+def carried(numbered: DataFrame, values: dict[str, Column], keys: list[Column] = (), forward: bool = True) -> DataFrame:
+    """Adds columns: of each value, the last that is not null up to the row among the rows of its key, or the first
+    from it on. The numbering must begin with the keys. Runs are filled each on their own, so the rows of one key may
+    be dealt over many tasks; what a run hands on is one row."""
+    names = list(values)
+    df = numbered.withColumns({"__run_key": _key(list(keys)), **{f"__v{i}": v for i, v in enumerate(values.values())}})
+    inside = Window.partitionBy("__part", "__run_key").orderBy(F.col("__pos").asc() if forward else F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def pick(i: int) -> Column:
+        at = F.when(F.col(f"__v{i}").isNotNull(), F.col("__pos"))
+        return (F.max_by if forward else F.min_by)(f"__v{i}", at).alias(f"v{i}")
+
+    def combine(end: str, w: Window) -> Column:
+        return F.struct(*(F.last(F.col(end)[f"v{i}"], ignorenulls=True).over(w).alias(f"v{i}") for i in range(len(names))))
+
+    before = _handed_on(df, F.struct(*(pick(i) for i in range(len(names)))), combine, forward)
+    df = df.withColumns({f"__i{i}": F.last(f"__v{i}", ignorenulls=True).over(inside) for i in range(len(names))})
+    df = df.join(F.broadcast(before), ["__part", "__run_key"], "left")
+    df = df.withColumns({n: F.coalesce(f"__i{i}", F.col("__before")[f"v{i}"]) for i, n in enumerate(names)})
+    return df.drop("__run_key", "__before", *(f"__{x}{i}" for x in "vi" for i in range(len(names))))
+
+
+def running_sum(numbered: DataFrame, name: str, value: Column, keys: list[Column] = ()) -> DataFrame:
+    """Adds the sum of the value over the rows of the key up to each row; null until the first value."""
+    df = numbered.withColumns({"__run_key": _key(list(keys)), "__v": value})
+    inside = Window.partitionBy("__part", "__run_key").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = _handed_on(df, F.sum("__v"), lambda end, w: F.sum(end).over(w), True)
+    df = df.withColumn("__in", F.sum("__v").over(inside)).join(F.broadcast(before), ["__part", "__run_key"], "left")
+    total = F.when(F.col("__in").isNull(), F.col("__before")).otherwise(F.col("__in") + F.coalesce("__before", F.lit(0)))
+    return df.withColumn(name, total).drop("__run_key", "__v", "__in", "__before")

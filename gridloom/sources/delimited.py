@@ -23,6 +23,11 @@ def extension(path: str) -> str:
     return ext
 
 
+def header_names(cells: list[str]) -> list[str]:
+    """Normalised names, in which dots and backticks, special in Spark's column names, are underscores."""
+    return normalised([c.replace(".", "_").replace("`", "_") for c in cells])
+
+
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """line: each line with one character for each byte, whatever its encoding."""
     return spark.read.schema("line string").option("sep", "\x01").option("quote", "").option("encoding", "ISO-8859-1").csv(path)
@@ -71,6 +76,8 @@ def read_delimited(spark: SparkSession, path: str, keep_text: bool = False) -> T
     a missing value are null. With keep_text, columns stay text."""
     lines = raw_lines(spark, path)
     encoding = encoding_of(lines)
+    if encoding == "GBK":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark knows Unicode and Latin encodings only
     head = [x.line.encode("latin-1").decode(encoding, "replace") for x in lines.filter("line is not null").head(50)]
     sep = delimiter_of(head, extension(path))
     width = lines.agg(F.max(F.size(F.split("line", f"\\Q{sep}\\E", -1)))).first()[0] or 1
@@ -85,7 +92,7 @@ def read_delimited(spark: SparkSession, path: str, keep_text: bool = False) -> T
     df = df.select(*raw.names, F.col("_metadata.file_path").alias("__o0"), F.col("_metadata.file_block_start").alias("__o1"), F.monotonically_increasing_id().alias("__o2"))
     full = df.agg(*(F.max(F.when(F.col(c).isNotNull(), 1)).alias(c) for c in raw.names)).first()
     width = max([used, *(i + 1 for i, c in enumerate(raw.names) if full[c])])  # separators within quotes made it too large
-    names = normalised([(header[i] or "").lstrip("﻿") for i in range(used)] + [""] * (width - used))
+    names = header_names([(header[i] or "").lstrip("﻿") for i in range(used)] + [""] * (width - used))
     cells = [F.when(~trimmed(F.col(f"c{i}")).isin(*NULL_MARKERS), trimmed(F.col(f"c{i}"))).alias(n) for i, n in enumerate(names)]
     df = df.select(*cells, "__o0", "__o1", "__o2")
     if not keep_text:

@@ -14,9 +14,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import NULL_MARKERS
-from ..operators.columns import normalised
 from ..plans.table import Key, Table
-from .delimited import infer, typed
+from .delimited import header_names, infer, typed
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -105,7 +104,7 @@ def read_workbook(spark: SparkSession, path: str) -> dict[str, Table]:
         if not s.width:
             continue
         header = [*(x or "" for x in s.header), *[""] * (s.width - len(s.header))]
-        names = normalised(header)
+        names = header_names(header)
         cell = [F.trim(F.get("cells", F.lit(i))) for i in range(s.width)]
         df = rows.filter((F.col("sheet") == s.sheet) & (F.col("row") > 0)).select(*(F.when(~c.isin(*NULL_MARKERS), c).alias(n) for c, n in zip(cell, names, strict=True)), F.col("row").alias("__o0"))
         out[s.sheet] = Table(typed(df, infer(df, names)), (Key("__o0"),))
