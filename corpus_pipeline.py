@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once. Documents without words or without
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays, once. Documents without words or without
     an id stay as they are."""
     found = written(minhash.near_duplicates(docs), "near-dedup")
     kept = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))

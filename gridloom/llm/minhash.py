@@ -202,7 +202,7 @@ def _in_arrow(rows: DataFrame, run) -> DataFrame:
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float = 1e-5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     A text that is null or has no words has no shingles and links with nothing. Rows that share a doc_id count as one
@@ -252,4 +252,5 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
 
 
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """Near duplicates by shingles of four words."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)

@@ -109,5 +109,5 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     for listed, block in ((12, 512), (2, 8)):
         monkeypatch.setattr(minhash, "LISTED", listed)
         monkeypatch.setattr(minhash, "BLOCK", block)
-        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(tables.documents(spark, rows)).collect()}
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(tables.documents(spark, rows), k=4).collect()}
         assert got == want
