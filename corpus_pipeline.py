@@ -1,6 +1,8 @@
 """The corpus pipeline: from documents to training ids, in five stages that each read what the one before wrote.
 
-Each stage works on everything its predecessor kept. All but the last return the columns of the documents.
+Each stage works on everything its predecessor kept. All but the last return the columns of the documents, extra ones
+included, whatever their names (but for those that begin with two underscores). An empty table gives an empty table; a
+null text counts as the empty text; repeated rows are rows of their own except in near-dedup.
 """
 
 from __future__ import annotations
@@ -13,14 +15,16 @@ from gridloom.llm.common import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant scores below the threshold go. It is fitted on labelled documents of the table."""
+    """Documents that the discriminant scores below the threshold go. It is fitted on labelled documents of the table;
+    without labels of both kinds the smoothed share of label 1 decides for all alike. Empty texts are scored too."""
     model = quality.fit_discriminant(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.with_score(docs, model, "__score").filter(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that fail the base rules or that the trees reject. The trees are fitted on labelled documents of the
-    table, not of those the classifier left: these hardly hold a rejected kind any more."""
+    table, not of those the classifier left: these hardly hold a rejected kind any more. A text of fewer than 50 words,
+    so also a null or empty one, fails."""
     forest = quality.fit_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.with_rules(docs, forest, "__").filter("__kept").select(*docs.columns)
 
@@ -40,11 +44,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: repeated, whole or in part."""
+    """The documents as the mix takes them: repeated, whole or in part. Null is a source of its own; documents without
+    words are never taken."""
     return mix.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, in the columns of op7."""
     return pieces.with_pieces(docs, pieces.default_model())
 
 

@@ -59,7 +59,7 @@ def source_plan(sizes: DataFrame, block: int, repeat: int, seed: int) -> DataFra
     m = F.ceil(F.col("over") / block)
     short = (F.col("last_at") < m) & (m * block - (block - F.col("last")) < F.col("over"))
     s = s.withColumn("slots", F.when(live, F.col("passes") * F.col("blocks") + m + F.when(short, 1).otherwise(0)).otherwise(0).cast("long"))
-    total = F.sum("want").over(everything)
+    total = F.greatest(F.sum("want").over(everything), F.lit(1))
     upto = F.sum("want").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = s.withColumn("low", (upto - want) / total).withColumn("high", upto / total)
     return s.select("source", "rank", "weight", "source_size", "target", "want", "blocks", "last", "slots", "low", "high")

@@ -19,6 +19,16 @@ def test_stages_and_columns(spark, tmp_path):
     assert out and all(r.exact for r in out)
 
 
+def test_stages_on_empty_and_null_tables(spark, tmp_path):
+    nothing = [(None, None, None, None), (None, None, None, None), (3, None, None, "s"), (4, "", "en", None)]
+    for k, rows in enumerate(([], nothing)):
+        folder = tables.write(spark, tmp_path / str(k), docs=tables.documents(spark, rows), labels=[])
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            n = stage(spark, docs, folder).count()
+            assert n == {"quality rules": 0, "mixing sources": 0}.get(name, len(rows)), name
+
+
 def test_dedup_keeps_one_of_each_group(spark, tmp_path):
     folder = tables.write(spark, tmp_path)
     docs = spark.read.parquet(f"{folder}/documents.parquet")

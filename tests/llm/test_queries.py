@@ -320,3 +320,12 @@ def test_temperature_and_sparsity():
     rows = [(np.array([k, 10 + i % 200]), np.array([1.0, 0.01])) for i, k in enumerate(y)]
     w, _ = langid.ftrl(rows, y, 3)
     assert (w[10:210] == 0).mean() > 0.5 and (np.argmax(w[:3], axis=1) == np.arange(3)).all()
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES])
+def test_tables_of_nulls(spark, tmp_path, name):
+    """Rows without text, source or id, and nothing else."""
+    docs = [(None, None, None, None), (None, None, None, None), (3, None, None, "s"), (4, "", "en", None)]
+    folder = tables.write(spark, tmp_path, docs=tables.documents(spark, docs), labels=[], embeddings=[(None, None, None, "?", "?"), (1, None, None, "?", "?")], conversations=[(None, None, None, None, "?", "?")] * 2)
+    n = QUERIES[name](spark, folder).count()
+    assert n == (2 if name.startswith(("op5", "op9")) else 4)
