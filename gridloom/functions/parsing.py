@@ -88,7 +88,7 @@ def as_epoch(c: Column) -> Column:
     t = trimmed(c)
     x = F.when(t.rlike(r"^-?[0-9]+$"), t.try_cast("bigint"))
     size = F.abs(x)
-    micros = F.when(size >= F.lit(10**18), (x - F.pmod(x, F.lit(1000))) / 1000).when(size >= F.lit(10**15), x).when(size >= F.lit(10**12), x * 1000).when(size < F.lit(9 * 10**11), x * 1000000)
+    micros = F.when(size >= F.lit(10**18), F.floor(x.cast("decimal(20,0)") / 1000)).when(size >= F.lit(10**15), x).when(size >= F.lit(10**12), x * 1000).otherwise(x * 1000000)
     return F.timestamp_micros(micros.cast("bigint")).cast("timestamp_ntz")
 
 
