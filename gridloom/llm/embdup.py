@@ -3,7 +3,9 @@
 A unit vector is turned by pseudorandom rotations (three rounds of random signs and a fast Hadamard transform); its
 hash is the nearest signed axis. A table's bucket is the pair of two such hashes. A vector lies in its own bucket and
 probes those that take the second nearest axis in either place. Pairs with the same label that meet where at least one
-of them lies are candidates, and every candidate's cosine is computed in double precision.
+of them lies are candidates. Those whose 256-bit sign sketches differ in more bits than a pair at the threshold would
+with any likelihood (7.5 standard deviations) are dropped, so that hardly any vector travels for a chance candidate;
+the cosine of all others is computed in double precision.
 
 At cosine 0.93 in 64 dimensions a table brings a pair together with probability 0.66, so 12 tables miss 3 pairs in a
 million; nearer pairs, and so nearly all, are missed still more rarely.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table, written
 from .components import connected_components
 
-TABLES, HASHES = 12, 2
+TABLES, HASHES, BITS = 12, 2, 256
 #: Members of a bucket whose pairs are listed; those of larger buckets are compared in blocks of about this many.
 LISTED, BLOCK = 32, 512
 _ROUNDS = 3
@@ -37,19 +39,23 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def padded(unit: np.ndarray) -> np.ndarray:
+    """Rows with zeros up to a power of two."""
+    x = np.zeros((len(unit), 1 << max(1, (unit.shape[1] - 1).bit_length())))
+    x[:, : unit.shape[1]] = unit
+    return x
+
+
 def codes(unit: np.ndarray, seed: int = 17) -> np.ndarray:
     """(row, table, 4): the bucket each row lies in, then those it probes. Rows are padded with zeros to a power of two."""
-    width = 1 << max(1, (unit.shape[1] - 1).bit_length())
-    x = np.zeros((len(unit), width))
-    x[:, : unit.shape[1]] = unit
+    x = padded(unit)
+    width = x.shape[1]
     rng = np.random.default_rng([seed, width])
     out = np.zeros((len(x), TABLES, 4), np.int64)
     for t in range(TABLES):
         near = []
         for _ in range(HASHES):
-            y = x
-            for signs in rng.choice([-1.0, 1.0], size=(_ROUNDS, width)):
-                y = hadamard(y * signs)
+            y = rotated(x, rng)
             axis = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]
             value = np.take_along_axis(y, axis, 1)
             swap = np.abs(value[:, 0]) < np.abs(value[:, 1])
@@ -60,6 +66,26 @@ def codes(unit: np.ndarray, seed: int = 17) -> np.ndarray:
     return out
 
 
+def rotated(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    for signs in rng.choice([-1.0, 1.0], size=(_ROUNDS, x.shape[1])):
+        x = hadamard(x * signs)
+    return x
+
+
+def sketches(unit: np.ndarray, seed: int = 29) -> np.ndarray:
+    """(row, 4): 256 signs of rotated coordinates, as four 64-bit integers."""
+    x = padded(unit)
+    rng = np.random.default_rng([seed, x.shape[1]])
+    y = np.concatenate([rotated(x, rng) for _ in range(-(-BITS // x.shape[1]))], axis=1)[:, :BITS]
+    return np.packbits(y < 0, axis=1).view("<i8")
+
+
+def differing_bits(least: float) -> int:
+    """Bits in which two sketches may differ: at angle a each does with probability a / pi."""
+    p = float(np.arccos(min(1.0, max(-1.0, least))) / np.pi)
+    return int(BITS * p + 7.5 * np.sqrt(BITS * p * (1 - p)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of one width as doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -94,8 +120,27 @@ def bucket_rows(vectors: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("label", "width", "table", "code").alias("bucket"), "rep", "own")
 
 
+def with_sketches(classes: DataFrame) -> DataFrame:
+    """classes (label, embedding, rep, copies) with s0 to s3."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for rows in _rows_of_width(part.column("embedding")):
+                    some = part.take(pa.array(rows))
+                    x = _matrix(some.column("embedding"))
+                    bits = sketches(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=[*some.schema.names, "s0", "s1", "s2", "s3"])
+
+    return map_arrow(classes.select("label", "embedding", "rep", "copies"), run, "label long, embedding array<double>, rep long, copies long, s0 long, s1 long, s2 long, s3 long")
+
+
 def listed_links(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of one label and width whose cosine is `least` or more."""
+    side = lambda x: vectors.select(F.col("rep").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(4)))
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)), F.lit(0))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= differing_bits(least)).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +211,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.col("label").cast("long")).alias("label"), F.when(good, F.transform(x, lambda v: v.cast("double"))).alias("embedding"))
     classes = rows.filter("label is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"))
-    classes = written(classes.filter(F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v * v) < float("inf")), "vectors")
+    classes = written(with_sketches(classes.filter(F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v * v) < float("inf"))), "vectors")
     b = written(bucket_rows(classes), "buckets")
     counts = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own")).filter("n > 1 and any_own").select("bucket", "n")
     members = b.join(counts, "bucket")
