@@ -99,7 +99,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         last, known = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+            for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                ta, tb = ta.as_py(), tb.as_py()
                 if ta != last:
                     last, known = ta, shingle_set(ta, k)
                 other = shingle_set(tb, k)
@@ -158,6 +159,31 @@ def block_partners(members: DataFrame, least: list[int]) -> DataFrame:
     return _in_arrow(rows, run)
 
 
+def block_survivors(members: DataFrame, least: list[int]) -> DataFrame:
+    """(bucket, rep) of the members that have a pair left to verify, by signatures alone: only their texts need travel."""
+
+    def run(key: tuple, piece: pa.Table) -> pa.Table:
+        side, rep, comp = (piece.column(c).to_numpy() for c in ("side", "rep", "component"))
+        sig, band = _signatures(piece.column("signature").combine_chunks()), piece.column("band")[0].as_py()
+        theirs, out = np.flatnonzero(side == 1), [np.zeros(0, np.int64)]
+        for x in np.flatnonzero(side == 0):
+            others = theirs[comp[theirs] != comp[x]]
+            others = _of_band(sig, x, others[surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)[0]], band)
+            if len(others):
+                out += [rep[[x]], rep[others]]
+        found = np.unique(np.concatenate(out))
+        return pa.table({"bucket": np.full(len(found), key[0].as_py(), np.int64), "rep": found})
+
+    rows = _pieces(members, BLOCK, ["rep", "component", "signature", "band"])
+    return _in_arrow(rows, run, "bucket long, rep long").distinct()
+
+
+def _of_band(sig: np.ndarray, x: int, others: np.ndarray, band: int) -> np.ndarray:
+    """Those whose first band that agrees with x is this one."""
+    agree = (sig[others].reshape(-1, BANDS, ROWS) == sig[x].reshape(1, BANDS, ROWS)).all(axis=2)
+    return others[agree.argmax(axis=1) == band]
+
+
 def block_links(members: DataFrame, least: list[int], k: int, percent: int) -> DataFrame:
     """members: as for `block_partners`, with band (the bucket's) and text. Every minor member is compared with every
     member of another component: signatures first, then, for all pairs that survive, full sets. A pair that agrees in
@@ -180,9 +206,7 @@ def block_links(members: DataFrame, least: list[int], k: int, percent: int) -> D
         for x in np.flatnonzero(side == 0):
             others = theirs[root[theirs] != root[x]]
             alive, _ = surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)
-            others = others[alive]
-            agree = (sig[others].reshape(-1, BANDS, ROWS) == sig[x].reshape(1, BANDS, ROWS)).all(axis=2)
-            for y in others[agree.argmax(axis=1) == band]:
+            for y in _of_band(sig, x, others[alive], band):
                 if root[x] == root[y]:
                     continue
                 mine, other = set_of(int(x)), set_of(int(y))
@@ -197,9 +221,9 @@ def block_links(members: DataFrame, least: list[int], k: int, percent: int) -> D
     return _in_arrow(rows, run)
 
 
-def _in_arrow(rows: DataFrame, run) -> DataFrame:
+def _in_arrow(rows: DataFrame, run, schema: str = "a long, b long") -> DataFrame:
     map_arrow(rows, lambda it: it, rows.schema)  # sends the package
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
@@ -240,6 +264,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         if best_only:
             few = few.unionByName(block_partners(many, least))
         else:
+            many = many.join(written(block_survivors(many, least), "survivors"), ["bucket", "rep"], "left_semi")
             links = links.unionByName(written(block_links(many.join(texts.withColumnRenamed("id", "rep"), "rep"), least, k, percent).distinct(), "links"))
         new_tried, new_links = linked(few.distinct().join(tried, ["a", "b"], "left_anti"))
         tried, links = tried.unionByName(new_tried), links.unionByName(new_links)

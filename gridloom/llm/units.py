@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 import numpy as np
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 class UnitCache:
     """A text is cut before each space into units. The ids of a unit, which `learn` gives for many at once, are kept,
-    for up to `kept` units (two million take about 80 MB). Units are found by hash and compared byte by byte; texts
+    for up to `kept` units (a million take about 40 MB). Units are found by hash and compared byte by byte; texts
     in which two units share a hash are encoded by `whole`."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], whole: Callable[[str], np.ndarray], kept: int = 2_000_000):
+    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], whole: Callable[[str], np.ndarray], kept: int = 1_000_000):
         self._learn, self._one, self.kept = learn, whole, kept
         rng = np.random.default_rng(1)
         self.letters = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
