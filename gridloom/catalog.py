@@ -213,9 +213,10 @@ query("compare_adjacent_whole_table", f"SELECT event_id, round(value - lag(value
 # --- joins
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[Table, Table]:
+def _sides(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[Table, Table]:
+    """Customers and orders, shifted so that both sides have rows without a partner; every order, or each third."""
     left = Table.of(_read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), "c_nationkey"), "c_custkey")
-    right = Table.of(_read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_custkey") + 20).alias("o_custkey"), F.col("o_orderpriority").alias("name")), "o_orderkey")
+    right = Table.of(_read(spark, sf_dir, "orders").filter("true" if every else "o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_custkey") + 20).alias("o_custkey"), F.col("o_orderpriority").alias("name")), "o_orderkey")
     return left, right
 
 
@@ -227,6 +228,14 @@ query("join_right_prefix", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orde
 query("join_keep_left_only", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey FROM {_LEFT} l LEFT JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "left", "keep_left_only").rows())
 query("join_report", f"SELECT (SELECT count(*) FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey) AS matched_pairs, (SELECT count(*) FROM {_LEFT} l WHERE c_custkey NOT IN (SELECT o_custkey FROM {_RIGHT})) AS unmatched_left, (SELECT count(*) FROM {_RIGHT} r WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS unmatched_right, 'name' AS conflict_fields")(lambda s, d: joins.join_report(*_sides(s, d), ["c_custkey"], ["o_custkey"]))
 
+# The same joins over all orders.
+_EVERY = "(SELECT o_orderkey, o_custkey + 20 AS o_custkey, o_orderpriority AS name FROM orders)"
+for _kind, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
+    query(f"join_{_kind}_all", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS name_right FROM {_LEFT} l {_join} {_EVERY} r ON l.c_custkey = r.o_custkey")(lambda s, d, k=_kind: joins.join_tables(*_sides(s, d, True), ["c_custkey"], ["o_custkey"], k).rows())
+query("join_right_prefix_all", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS right_name FROM {_LEFT} l JOIN {_EVERY} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d, True), ["c_custkey"], ["o_custkey"], "内连接", "right_prefix").rows())
+query("join_keep_left_only_all", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey FROM {_LEFT} l LEFT JOIN {_EVERY} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d, True), ["c_custkey"], ["o_custkey"], "left", "keep_left_only").rows())
+query("join_report_all", f"SELECT (SELECT count(*) FROM {_LEFT} l JOIN {_EVERY} r ON l.c_custkey = r.o_custkey) AS matched_pairs, (SELECT count(*) FROM {_LEFT} l WHERE c_custkey NOT IN (SELECT o_custkey FROM {_EVERY})) AS unmatched_left, (SELECT count(*) FROM {_EVERY} r WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS unmatched_right, 'name' AS conflict_fields")(lambda s, d: joins.join_report(*_sides(s, d, True), ["c_custkey"], ["o_custkey"]))
+
 # --- chart tables
 
 query("chart_xy_points", "SELECT CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y FROM orders")(lambda s, d: charts.xy_points(orders(s, d), "o_custkey", "o_totalprice"))
