@@ -9,6 +9,9 @@ the cosine of all others is computed in double precision.
 
 At cosine 0.93 in 64 dimensions a table brings a pair together with probability 0.66, so 12 tables miss 3 pairs in a
 million; nearer pairs, and so nearly all, are missed still more rarely.
+
+Rotations of two to four dimensions give only a handful of directions, so that neither buckets nor sketches hold
+there. Vectors of up to NARROW components are compared with all of their label and width, in blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from .components import connected_components
 TABLES, HASHES, BITS = 12, 2, 256
 #: Members of a bucket whose pairs are listed; those of larger buckets are compared in blocks of about this many.
 LISTED, BLOCK = 32, 512
+NARROW = 4
 _ROUNDS = 3
 
 
@@ -212,12 +216,15 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.col("label").cast("long")).alias("label"), F.when(good, F.transform(x, lambda v: v.cast("double"))).alias("embedding"))
     classes = rows.filter("label is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"))
     classes = written(with_sketches(classes.filter(F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v * v) < float("inf"))), "vectors")
-    b = written(bucket_rows(classes), "buckets")
+    narrow = F.size("embedding") <= NARROW
+    b = written(bucket_rows(classes.filter(~narrow)), "buckets")
     counts = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own")).filter("n > 1 and any_own").select("bucket", "n")
     members = b.join(counts, "bucket")
     few = members.filter(F.col("n") <= LISTED).groupBy("bucket").agg(F.collect_list(F.struct("rep", "own")).alias("s"))
     few = few.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).filter("x.rep < y.rep and (x.own or y.own)").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     many = members.filter(F.col("n") > LISTED).join(classes.select("rep", "label", "embedding"), "rep")
+    whole = classes.filter(narrow).select(F.xxhash64("label", F.size("embedding")).alias("bucket"), "rep", F.lit(True).alias("own"), "label", "embedding")
+    many = many.unionByName(whole.join(whole.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket"))
     links = written(listed_links(few, classes, least).unionByName(block_links(many, least)).distinct(), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "rep")

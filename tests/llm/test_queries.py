@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gridloom.llm import gbt, langid, qda, quality, stats
+from gridloom.llm import embdup, gbt, langid, qda, quality, stats
 from gridloom.llm.queries import QUERIES
 
 from . import tables
@@ -167,6 +167,21 @@ def test_op5(spark, folder):
         assert (g.n_links, g.component_id, g.kept) == (len(links.get(g.vec_id, ())), comp.get(g.vec_id, g.vec_id), comp.get(g.vec_id, g.vec_id) == g.vec_id)
 
 
+@pytest.mark.parametrize("width", [2, 3, 4])
+def test_narrow_embeddings(spark, width):
+    """Pairs just above the threshold, a label each, and a label of many vectors."""
+    r = np.random.default_rng(width)
+    rows = []
+    for k in range(120):
+        x, y = np.linalg.qr(r.normal(size=(width, 2)))[0].T
+        rows += [(2 * k, x.tolist(), k), (2 * k + 1, (0.935 * x + np.sqrt(1 - 0.935**2) * y).tolist(), k)]
+    rows += [(1000 + k, r.normal(size=width).tolist(), 1000) for k in range(60)]
+    links, comp = cosine_graph(rows)
+    assert all(links[2 * k] == {2 * k + 1} for k in range(120))
+    got = embdup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {g.vec_id: (g.n_links, g.component_id) for g in got} == {i: (len(links.get(i, ())), comp.get(i, i)) for i, _, _ in rows}
+
+
 def test_op6(spark, folder):
     got = QUERIES["op6_hash_tree"](spark, folder).collect()
     rows = rows_of(spark, folder)
