@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import id_crc, least_by_hash, map_arrow, table
 
 TERMS = 1 << 15
 #: Rows that the weights and the temperature are fitted on at most.
 FIT_ROWS = 4000
+#: Of each language, so many documents are learnt from at least, or all it has.
+LANG_ROWS = 100
 UNKNOWN = "und"
 _ORDERS = 3
 _SCALE = 40.0
@@ -146,8 +149,14 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def labelled_rows(docs: DataFrame, limit: int) -> tuple[list[str], list[np.ndarray]]:
-    """Languages and terms of at most `limit` documents. Of documents that share an id, the least language counts."""
-    ids = least_by_hash(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("label")), "doc_id", limit)
+    """Languages and terms of at most `limit` documents, and of the LANG_ROWS with the least hash of each language. Of
+    documents that share an id, the least language counts."""
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("label"))
+    near = ids.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).join(F.broadcast(ids.groupBy("label").agg(F.count(F.lit(1)).alias("of"))), "label")
+    near = near.filter((F.col("of") <= 4 * LANG_ROWS) | (F.col("hash") * F.col("of").cast("double") < 2.0**64 * LANG_ROWS))  # about twice as many as are taken
+    place = F.row_number().over(Window.partitionBy("label").orderBy("hash", "doc_id"))
+    of_each = near.withColumn("place", place).filter(F.col("place") <= LANG_ROWS).select("doc_id", "label")
+    ids = least_by_hash(ids, "doc_id", limit).union(of_each).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +174,16 @@ def labelled_rows(docs: DataFrame, limit: int) -> tuple[list[str], list[np.ndarr
     return found.column("label").to_pylist(), values
 
 
+def parts(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows for the weights and, a fifth of each language, for the temperature."""
+    order = np.random.default_rng(7).permutation(len(y))
+    by = order[np.argsort(y[order], kind="stable")]
+    count = np.bincount(y)
+    nth = np.arange(len(y)) - np.repeat(np.cumsum(count) - count, count)
+    last = by[nth < count[y[by]] // 5]
+    return order[~np.isin(order, last)], last
+
+
 def fit(docs: DataFrame, limit: int = FIT_ROWS) -> Model:
     """docs: doc_id, text, lang, all of which may be learnt from. Document frequencies cover all of them."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -176,9 +195,7 @@ def fit(docs: DataFrame, limit: int = FIT_ROWS) -> Model:
     idf = np.log((n + 1) / (df + 1)) + 1
     y = np.array([langs.index(x) for x in labels])
     rows = [(t, x * idf[t] * _SCALE) for t, x in rows]
-    order = np.random.default_rng(7).permutation(len(rows))
-    last = order[: len(rows) // 5]
-    rest = order[len(last) :]
+    rest, last = parts(y)
     w, b = ftrl([rows[i] for i in rest], y[rest], len(langs))
     t = temperature(np.array([rows[i][1] @ w[rows[i][0]] + b for i in last]).reshape(-1, len(langs)), y[last])
     return Model(langs, np.ascontiguousarray((w * idf[:, None] * _SCALE / t).T.astype(np.float32)), b / t)

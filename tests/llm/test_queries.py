@@ -266,6 +266,17 @@ def test_op10(spark, folder):
     assert all(0 <= g.score <= 1 and g.lang_pred in ("en", "fr", "und") for g in got)
 
 
+def test_rare_languages_are_learnt(spark):
+    """Two languages of 40 and 2 documents among 2,000, beyond what a sample of 30 is sure to hold."""
+    r = np.random.default_rng(8)
+    voices = {"en": "the of and with shall thing", "fr": "le des été pour nous vous", "eo": "ĉiuj ĝojo ŝipo kaj ĵaŭdo"}
+    lang = lambda i: "eo" if i % 50 == 7 else "tr" if i in (600, 1601) else ("en", "fr")[i % 2]
+    rows = [(i, " ".join(r.choice(voices[lang(i)].split(), 12)) if lang(i) != "tr" else "ığdır ağaç çığ", lang(i)) for i in range(2000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 30)
+    assert model.langs == ("en", "eo", "fr", "tr")
+    assert model.predict([t for _, t, x in rows if x in ("eo", "tr")])[0] == [x for _, _, x in rows if x in ("eo", "tr")]
+
+
 def test_language_accuracy(spark, tmp_path):
     r = np.random.default_rng(4)
     voices = {"en": "the of and with shall thing", "fr": "le des été pour nous vous", "de": "der und nicht für über ich"}
