@@ -17,8 +17,12 @@ from .rows import key
 
 # Other names of well-known columns, by their canonical name.
 ALIASES = {
-    "timestamp": ("time", "datetime", "date_time", "ts", "时间", "采样时间"),
-    "device_id": ("id", "device", "deviceid", "equipment", "设备", "设备编号"),
+    "timestamp": ("time", "datetime", "date_time", "ts", "时间", "采样时间", "日期"),
+    "device_id": ("id", "device", "deviceid", "equipment", "设备", "设备编号", "dev_id", "设备id"),
+    "temperature": ("temp", "温度", "temp_c", "temperature_c"),
+    "pressure": ("press", "压力"),
+    "status": ("state", "状态", "result_status"),
+    "batch_id": ("batch", "批次", "batch_no"),
 }
 
 
@@ -192,13 +196,13 @@ def overview(issues: DataFrame) -> DataFrame:
 
 
 def canonical(name: str) -> str:
-    n = name.strip().lower()
+    n = name.strip().lower().replace(" ", "_").replace("-", "_")
     return next((k for k, names in ALIASES.items() if n == k or n in names), n)
 
 
 def mapping_suggestions(columns: list[str]) -> list[tuple[str, str]]:
     """Columns whose name stands for a canonical one."""
-    return [(c, canonical(c)) for c in columns if canonical(c) != c.strip().lower()]
+    return [(c, canonical(c)) for c in columns if canonical(c) in ALIASES and canonical(c) != c.strip().lower()]
 
 
 def join_suggestions(left: list[str], right: list[str]) -> list[tuple[str, str, str]]:

@@ -39,6 +39,11 @@ def test_suggestions():
     assert ("order_id", "order_id", "left") in profile.join_suggestions(["order_id", "x"], ["order_id"])
 
 
+def test_mapping_names():
+    got = profile.mapping_suggestions(["Temp", "Batch-No", "dev id", "压力", "state", "my col"])
+    assert got == [("Temp", "temperature"), ("Batch-No", "batch_id"), ("dev id", "device_id"), ("压力", "pressure"), ("state", "status")]
+
+
 def test_names():
     n = fusion_names
     assert n.canonical("料温_1") == "temperature" and n.canonical("events") == "timestamp" and n.canonical("sample_x") == "current"
