@@ -33,6 +33,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return now.df.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.df.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, component) that result from those given once links (a, b) are added. Only the links' ends
+    and the components they join take part in the search."""
+    ends = links
+    for c in ("a", "b"):
+        known = components.select(F.col("id").alias(c), F.col("component").alias("of"))
+        ends = ends.join(known, c, "left").withColumn(f"{c}0", F.coalesce("of", c)).drop("of")
+    wider = connected_components(ends.select(F.col("a0").alias("a"), F.col("b0").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    new = ids.join(components, "id", "left_anti").withColumn("component", F.col("id"))
+    return components.unionByName(new).join(wider, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number and order-free digest of the edges."""
     h = F.xxhash64("u", "v")

@@ -11,7 +11,8 @@
    first each bucket's members are tried against the bucket's least id, then each member left is tried against its best
    partner in the bucket, then whatever pairs of a bucket still lie in different components are tried, all of them.
    Large buckets are compared in blocks of bounded size, in which the last step verifies too, so neither a bucket's
-   pairs nor its members meet in one task.
+   pairs nor its members meet in one task. What shares large buckets with a large component is compared with that
+   component as a whole, so its members travel once and not once for each bucket.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, map_arrow, table, written
-from .components import connected_components
+from .common import map_arrow, table, written
+from .components import connected_components, joined
 from .shingles import shared, shingle_set
 
 HASHES, BANDS, BATCH = 160, 32, 32
@@ -127,103 +128,138 @@ def promising(pairs: DataFrame, signatures: DataFrame, least: list[int]) -> Data
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _pieces(members: DataFrame, size: int, columns: list[str]) -> DataFrame:
-    """Members of large buckets, dealt at random into blocks of about `size`; each pair of blocks, the first of minor
-    members, is a piece of work (bucket, i, j), in which side 0 is the first block and side 1 the second."""
-    blocks = F.ceil(F.col("n") / size)
-    m = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    spread = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    rows = m.filter("minor").select("bucket", F.col("own").alias("i"), F.explode(spread).alias("j"), F.lit(0).alias("side"), *columns)
-    has_minor = m.filter("minor").select("bucket", F.col("own").alias("i")).distinct()
-    return rows.unionByName(m.join(has_minor, "bucket").select("bucket", "i", F.col("own").alias("j"), F.lit(1).alias("side"), *columns))
+def block_sides(left: DataFrame) -> DataFrame:
+    """The work on large buckets. left: bucket, band, rep, component, main (the bucket's main component) of all members
+    of buckets in which components differ. Groups (kind, band, group) of two sides result, with rep and component:
 
-
-def block_partners(members: DataFrame, least: list[int]) -> DataFrame:
-    """members: bucket, n (its size), rep, component, minor (not of the bucket's main component) and signature. For
-    each minor member, the partner in another component whose signature agrees best, in each piece of work."""
+    * Kind 0: group is a main component, side 1 its members in such buckets, side 0 the members of other components
+      that share such a bucket with it. Each member is listed once, however many buckets it shares. Band is -1.
+    * Kind 1: group is a bucket, side 1 its main component, side 0 the other members. A main component whose buckets
+      overlap little is compared so, as the first way would make more than twice as many pairs.
+    * Kind 2: group is a bucket, and both sides are its members outside the main component.
+    """
+    side = F.when(F.col("component") == F.col("main"), 1).otherwise(0).alias("side")
+    sided = left.select("bucket", "band", "main", side, "rep", "component")
+    of = lambda k: F.count(F.when(F.col("side") == k, True))
+    whole = sided.select("main", "side", "rep", "component").distinct()
+    by_bucket = sided.groupBy("main", "bucket").agg((of(0) * of(1)).alias("pairs")).groupBy("main").agg(F.sum("pairs").alias("pairs"))
+    apart = whole.groupBy("main").agg((of(0) * of(1)).alias("all")).join(by_bucket, "main").filter(F.col("all") > 2 * F.col("pairs")).select("main")
+    others = sided.filter("side = 0")
+    several = others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    kinds = (
+        whole.join(apart, "main", "left_anti").select(F.lit(0).alias("kind"), F.lit(-1).alias("band"), F.col("main").alias("group"), "side", "rep", "component"),
+        sided.join(apart, "main").select(F.lit(1).alias("kind"), "band", F.col("bucket").alias("group"), "side", "rep", "component"),
+        others.join(several, "bucket").select(F.lit(2).alias("kind"), "band", F.col("bucket").alias("group"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "rep", "component"),
+    )
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+GROUP = ["kind", "band", "group"]
+
+
+class Pieces:
+    """Groups cut into pieces of bounded size: each side is dealt at random into blocks of about `size`, and a piece
+    (i, j) of a group holds block i of side 0 and block j of side 1. Where both sides are the same, i <= j is enough."""
+
+    def __init__(self, sides: DataFrame, size: int):
+        n = [F.count(F.when(F.col("side") == k, True)) for k in (0, 1)]
+        self.blocks = sides.groupBy(*GROUP).agg(*(F.ceil(x / size).alias(f"blocks{k}") for k, x in enumerate(n)))
+        self.sides = sides
+        self.number = self.blocks.agg(F.sum(F.col("blocks0") * F.col("blocks1"))).first()[0] or 0
+
+    def apply(self, run, schema: str, *tables: DataFrame) -> DataFrame:
+        """The results of all pieces, whose rows get the columns of `tables` by rep. Pieces are dealt to tasks by their
+        number: by bytes alone Spark would take many for one task."""
+        spark = self.sides.sparkSession
+        rows = self.sides.join(self.blocks, GROUP)
+        for t in tables:
+            rows = rows.join(t, "rep")
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("blocks0")).otherwise(F.col("blocks1")))
+        other = F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("blocks1")).otherwise(F.col("blocks0")) - 1)
+        rows = rows.select("*", own.alias("own"), F.explode(other).alias("other"))
+        i, j = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")) for k in (0, 1))
+        rows = rows.withColumn("i", i).withColumn("j", j).filter("kind < 2 or i <= j").drop("own", "other", "blocks0", "blocks1")
+        tasks = int(min(self.number, max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.number // 16)))
+        map_arrow(rows, lambda it: it, rows.schema)  # sends the package
+        return rows.repartition(max(1, tasks), *GROUP, "i", "j").groupBy(*GROUP, "i", "j").applyInArrow(run, schema)
+
+
+def _candidates(piece: pa.Table, least: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each row of side 0, the rows of side 1 in other components that the sequential test leaves, and how many minima
+    they share with it. Within a bucket, pairs are left out whose first common band is another."""
+    side, comp = piece.column("side").to_numpy(), piece.column("component").to_numpy()
+    sig, band = _signatures(piece.column("signature").combine_chunks()), piece.column("band")[0].as_py()
+    theirs = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0):
+        others = theirs[comp[theirs] != comp[x]]
+        alive, count = surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)
+        others = others[alive]
+        if band >= 0 and len(others):
+            agree = (sig[others].reshape(-1, BANDS, ROWS) == sig[x].reshape(1, BANDS, ROWS)).all(axis=2)
+            here = agree.argmax(axis=1) == band
+            others, count = others[here], count[here]
+        if len(others):
+            yield int(x), others, count
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
+    ends = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1)
+    return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+
+def block_partners(pieces: Pieces, signatures: DataFrame, least: list[int]) -> DataFrame:
+    """For each member of side 0, the partner whose signature agrees best, in each piece."""
 
     def run(key: tuple, piece: pa.Table) -> pa.Table:
-        side, rep, comp = (piece.column(c).to_numpy() for c in ("side", "rep", "component"))
-        sig = _signatures(piece.column("signature").combine_chunks())
-        theirs, out = np.flatnonzero(side == 1), []
-        for x in np.flatnonzero(side == 0):
-            others = theirs[comp[theirs] != comp[x]]
-            alive, count = surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)
-            if len(alive):
-                top = others[alive[count >= count.max() - HASHES // 40]]  # about as good: the least id, so that many share a partner
-                out.append((rep[x], rep[top].min()))
-        ends = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
-        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+        rep, out = piece.column("rep").to_numpy(), []
+        for x, others, count in _candidates(piece, least):
+            top = others[count >= count.max() - HASHES // 40]  # about as good: the least id, so that many share a partner
+            out.append((rep[x], rep[top].min()))
+        return _edges(out)
 
-    rows = _pieces(members, BLOCK, ["rep", "component", "signature"])
-    return _in_arrow(rows, run)
+    return pieces.apply(run, "a long, b long", signatures)
 
 
-def block_survivors(members: DataFrame, least: list[int]) -> DataFrame:
-    """(bucket, rep) of the members that have a pair left to verify, by signatures alone: only their texts need travel."""
+def block_survivors(pieces: Pieces, signatures: DataFrame, least: list[int]) -> DataFrame:
+    """(kind, band, group, rep) of the members that have a pair left to verify, by signatures alone: only their texts need travel."""
 
     def run(key: tuple, piece: pa.Table) -> pa.Table:
-        side, rep, comp = (piece.column(c).to_numpy() for c in ("side", "rep", "component"))
-        sig, band = _signatures(piece.column("signature").combine_chunks()), piece.column("band")[0].as_py()
-        theirs, out = np.flatnonzero(side == 1), [np.zeros(0, np.int64)]
-        for x in np.flatnonzero(side == 0):
-            others = theirs[comp[theirs] != comp[x]]
-            others = _of_band(sig, x, others[surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)[0]], band)
-            if len(others):
-                out += [rep[[x]], rep[others]]
+        rep, out = piece.column("rep").to_numpy(), [np.zeros(0, np.int64)]
+        for x, others, _ in _candidates(piece, least):
+            out += [rep[[x]], rep[others]]
         found = np.unique(np.concatenate(out))
-        return pa.table({"bucket": np.full(len(found), key[0].as_py(), np.int64), "rep": found})
-
-    rows = _pieces(members, BLOCK, ["rep", "component", "signature", "band"])
-    return _in_arrow(rows, run, "bucket long, rep long").distinct()
+        return pa.table({"kind": np.full(len(found), key[0].as_py(), np.int32), "band": np.full(len(found), key[1].as_py(), np.int32), "group": np.full(len(found), key[2].as_py(), np.int64), "rep": found})
 
+    return pieces.apply(run, "kind int, band int, group long, rep long", signatures).distinct()
 
-def _of_band(sig: np.ndarray, x: int, others: np.ndarray, band: int) -> np.ndarray:
-    """Those whose first band that agrees with x is this one."""
-    agree = (sig[others].reshape(-1, BANDS, ROWS) == sig[x].reshape(1, BANDS, ROWS)).all(axis=2)
-    return others[agree.argmax(axis=1) == band]
 
-
-def block_links(members: DataFrame, least: list[int], k: int, percent: int) -> DataFrame:
-    """members: as for `block_partners`, with band (the bucket's) and text. Every minor member is compared with every
-    member of another component: signatures first, then, for all pairs that survive, full sets. A pair that agrees in
-    several bands is compared in the first of them, pairs that links of the piece connect already are not compared,
-    and only links leave the piece."""
+def block_links(pieces: Pieces, signatures: DataFrame, texts: DataFrame, least: list[int], k: int, percent: int) -> DataFrame:
+    """Every member of side 0 is compared with every member of another component on side 1: signatures first, then, for
+    all pairs that survive, full sets. Pairs that links of the piece connect already are not compared, and only links
+    leave the piece."""
 
     def run(key: tuple, piece: pa.Table) -> pa.Table:
-        side, rep, root = (piece.column(c).to_numpy() for c in ("side", "rep", "component"))
-        root = root.copy()
-        sig = _signatures(piece.column("signature").combine_chunks())
-        band, texts = piece.column("band")[0].as_py(), piece.column("text")
+        rep, root, text = piece.column("rep").to_numpy(), piece.column("component").to_numpy().copy(), piece.column("text")
         sets: dict[int, np.ndarray] = {}
 
         def set_of(row: int) -> np.ndarray:
             if row not in sets:
-                sets[row] = shingle_set(texts[row].as_py(), k)
+                sets[row] = shingle_set(text[row].as_py(), k)
             return sets[row]
 
-        theirs, out = np.flatnonzero(side == 1), []
-        for x in np.flatnonzero(side == 0):
-            others = theirs[root[theirs] != root[x]]
-            alive, _ = surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)
-            for y in _of_band(sig, x, others[alive], band):
+        out = []
+        for x, others, _ in _candidates(piece, least):
+            for y in others:
                 if root[x] == root[y]:
                     continue
-                mine, other = set_of(int(x)), set_of(int(y))
+                mine, other = set_of(x), set_of(int(y))
                 both = shared(mine, other)
                 if 100 * both >= percent * (len(mine) + len(other) - both):
                     out.append((rep[x], rep[y]))
                     root[root == root[y]] = root[x]
-        ends = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
-        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
-
-    rows = _pieces(members, BLOCK // 2, ["rep", "component", "signature", "band", "text"])
-    return _in_arrow(rows, run)
-
+        return _edges(out)
 
-def _in_arrow(rows: DataFrame, run, schema: str = "a long, b long") -> DataFrame:
-    map_arrow(rows, lambda it: it, rows.schema)  # sends the package
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, schema)
+    return pieces.apply(run, "a long, b long", signatures, texts)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
@@ -242,7 +278,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     counts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1")
     members = written(bands.join(counts, "bucket"), "members")
     ids = members.select(F.col("rep").alias("id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").distinct(), "texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
+    if real.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["id", "text"])
+    texts = written(texts, "texts")
     sigs = written(classes.select("rep", "signature").join(ids.withColumnRenamed("id", "rep"), "rep"), "signatures")
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,25 +290,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     first = members.filter("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     tried, links = linked(first)
+    component = written(connected_components(links), "components")
+    members = members.select("bucket", "band", "n", "rep")
     for best_only in (True, False):
-        component = connected_components(links).select(F.col("id").alias("rep"), "component")
-        m = members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        m = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         # A bucket of one component is done. Its main component is the most frequent one; ties go to the least id.
         per = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
         main = per.groupBy("bucket").agg(F.max(F.struct("c", (-F.col("component")).alias("negative"))).alias("x"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket", (-F.col("x.negative")).alias("main"))
-        left = Written(m.join(main, "bucket").withColumn("minor", F.col("component") != F.col("main")), "left")
-        few = left.df.filter(F.col("n") <= LISTED).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "component"))).alias("s"))
+        left = written(m.join(main, "bucket"), "left")
+        if not left.limit(1).count():
+            break
+        few = left.filter(F.col("n") <= LISTED).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "component"))).alias("s"))
         few = few.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).filter("x.rep < y.rep and x.component != y.component").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        many = left.df.filter(F.col("n") > LISTED).join(sigs, "rep")
-        if best_only:
-            few = few.unionByName(block_partners(many, least))
-        else:
-            many = many.join(written(block_survivors(many, least), "survivors"), ["bucket", "rep"], "left_semi")
-            links = links.unionByName(written(block_links(many.join(texts.withColumnRenamed("id", "rep"), "rep"), least, k, percent).distinct(), "links"))
-        new_tried, new_links = linked(few.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionByName(new_tried), links.unionByName(new_links)
-        left.drop()
-    component = connected_components(links)
+        sides = written(block_sides(left.filter(F.col("n") > LISTED)), "sides")
+        pieces = Pieces(sides, BLOCK)
+        found = None
+        if pieces.number and best_only:
+            few = few.unionByName(block_partners(pieces, sigs, least))
+        elif pieces.number:
+            alive = written(block_survivors(pieces, sigs, least), "survivors")
+            pieces = Pieces(written(sides.join(alive, [*GROUP, "rep"], "left_semi"), "sides"), BLOCK // 2)
+            found = written(block_links(pieces, sigs, texts.withColumnRenamed("id", "rep"), least, k, percent).distinct(), "links")
+        new_tried, links = linked(few.distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(new_tried)
+        component = written(joined(component, links if found is None else links.unionByName(found)), "components")
+        members = left.select("bucket", "band", "n", "rep")
     out = rows.join(classes.select("digest", "rep"), "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     # A document listed with several texts belongs to several classes; the least id that any of them reaches is its component.
     out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")))
