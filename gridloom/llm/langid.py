@@ -32,25 +32,30 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SEEDS = np.array([0x27D4EB2F, 0x165667B1, 0x9E3779B9], np.uint32)
 
 
-def terms(text: str) -> np.ndarray:
-    """The terms of a text, with repeats."""
-    c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    out = []
-    for n in range(_ORDERS):
-        if len(c) > n:
-            h = c[: len(c) - n] * _FACTORS[0] + _SEEDS[n]
-            for k in range(1, n + 1):
-                h = (h ^ h >> np.uint32(15)) * _FACTORS[k] + c[k : len(c) - n + k]
-            h ^= h >> np.uint32(13)
-            out.append((h * _FACTORS[1] >> np.uint32(32 - TERMS.bit_length() + 1)).astype(np.int32))
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+def terms(text: str) -> Iterator[np.ndarray]:
+    """The terms of a text, with repeats, in arrays of bounded size. A very long text is taken in parts: each begins
+    with the last characters of the part before, and gives the n-grams that end within it."""
+    low = text.lower()
+    for at in range(0, len(low), _STEP):
+        lead = min(at, _ORDERS - 1)
+        c = np.frombuffer(low[at - lead : at + _STEP].encode("utf-32-le"), np.uint32)
+        out = []
+        for n in range(_ORDERS):
+            first = max(0, lead - n)
+            if len(c) - n > first:
+                h = c[first : len(c) - n] * _FACTORS[0] + _SEEDS[n]
+                for k in range(1, n + 1):
+                    h = (h ^ h >> np.uint32(15)) * _FACTORS[k] + c[first + k : len(c) - n + k]
+                h ^= h >> np.uint32(13)
+                out.append((h * _FACTORS[1] >> np.uint32(32 - TERMS.bit_length() + 1)).astype(np.int32))
+        yield np.concatenate(out)
 
 
 def term_counts(text: str) -> np.ndarray:
-    """How often the text has each term. A very long text is taken in parts; n-grams across them are left out."""
+    """How often the text has each term."""
     n = np.zeros(TERMS, np.int64)
-    for at in range(0, len(text), _STEP):
-        n += np.bincount(terms(text[at : at + _STEP]), minlength=TERMS)
+    for t in terms(text):
+        n += np.bincount(t, minlength=TERMS)
     return n
 
 
@@ -73,8 +78,7 @@ class Model:
             if self.langs and has_letter(text):
                 known[i] = True
                 n = 0
-                for at in range(0, len(text), _STEP):  # in parts, as in term_counts
-                    t = terms(text[at : at + _STEP])
+                for t in terms(text):
                     n += len(t)
                     z[i] += [np.take(row, t).sum(dtype=np.float64) for row in self.table]
                 z[i] = z[i] / n + self.bias
@@ -134,8 +138,8 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             for text in batch.column(0).to_pylist():
                 if has_letter(text):
                     n += 1
-                    for at in range(0, len(text), _STEP):
-                        seen[terms(text[at : at + _STEP])] = True
+                    for t in terms(text):
+                        seen[t] = True
                     df[:TERMS] += seen
                     seen[:] = False
         df[TERMS] = n

@@ -1,7 +1,7 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
 A text is encoded as the sequence of vocabulary pieces with the highest sum of scores. The search runs forward over
-the characters and keeps scores only for ends within the longest piece from where it stands. Whenever the back
+the characters and keeps scores only for starts within the longest piece from where it stands. Whenever the back
 pointers of all surviving paths meet in one boundary, the ids up to it are final: they are emitted and their states
 dropped. A vocabulary made by merging pairs stores ranks instead of log probabilities; by Zipf's law, the score of rank
 r is then -log(r + 2). (The ids are therefore those of the best path, not those of replaying the merges.)
@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -65,64 +67,61 @@ class Vocabulary:
 
 def stream(vocabulary: Vocabulary, chars: Iterable[str]) -> Iterator[list[int]]:
     """The ids of a text given character by character, in runs, each as soon as it is final. Of paths with equal
-    scores the one whose last piece is longer wins, then the one before it, and so on."""
-    trie, longest, unknown = vocabulary.trie, vocabulary.longest, vocabulary.unknown
-    base = 0  # boundary up to which ids are final
-    best: list[int | None] = [0]  # by end, from base
-    back: list[tuple[int, int | None]] = [(0, None)]  # start from base, id (None: bytes)
-    text: list[str] = []
-    # open: trie nodes of pieces begun before here, with their starts, so that each character is looked at once
-    open_: list[tuple[int, dict]] = []
-    at, check = 0, 2 * longest
+    scores the one whose last piece is longer wins, then the one before it, and so on.
+
+    Scores are kept only for where pieces begin that may still go on, so for no more places than the longest piece has
+    characters. Of each place since the last boundary where all paths met, its best piece's length and id are kept (8
+    bytes): where paths never meet, as in a long run of one character, these must stay. A search for the next such
+    boundary walks them all, so the next search waits until they have doubled in number, and time is linear."""
+    trie, unknown, piece_of = vocabulary.trie, vocabulary.unknown, vocabulary.byte
+    wait = 2 * vocabulary.longest
+    length, chosen = array("I"), array("i")  # by place since the last boundary: the best piece that ends there; -1 - code point: bytes
+    open_: list[tuple[int, int, dict]] = []  # pieces begun before here: place, score there, trie node
+    here, score, check = 0, 0, wait
 
     def commit(upto: int) -> list[int]:
         ids: list[int] = []
         end = upto
         while end > 0:
-            start, i = back[end]
-            ids.extend([i] if i is not None else [vocabulary.byte[b] for b in reversed("".join(text[start:end]).encode())])
-            end = start
+            i = chosen[end - 1]
+            ids.extend([i] if i >= 0 else [piece_of[b] for b in reversed(chr(-1 - i).encode())])
+            end -= length[end - 1]
         return ids[::-1]
 
     for c in chars:
-        text.append(c)
-        k = at - base  # the character's place from base
-        open_.append((k, trie))
-        value, choice = None, None
-        kept = []
-        for start, node in open_:  # earlier starts first: the longest piece is met first
+        open_.append((here, score, trie))
+        best, start, i, kept = score + unknown, here, -1 - ord(c), []
+        found = False
+        for begun, before, node in open_:  # earlier starts first: the longest piece is met first
             child = node.get(c)
             if child is None:
                 continue
-            kept.append((start, child))
+            kept.append((begun, before, child))
             hit = child.get("")
-            if hit is not None:
-                v = best[start] + hit[1]
-                if value is None or v > value:
-                    value, choice = v, (start, hit[0])
-        open_ = kept
-        if value is None or best[k] + unknown > value:
-            value, choice = best[k] + unknown, (k, None)
-        best.append(value)
-        back.append(choice)
-        at += 1
-        if at - base >= check:
+            if hit is not None and (before + hit[1] > best or not found and before + hit[1] == best):
+                best, start, i, found = before + hit[1], begun, hit[0], True
+        open_, score = kept, best
+        here += 1
+        length.append(here - start)
+        chosen.append(i)
+        if here >= check:
             # Paths that can still win end here, or where an open piece began.
-            ends = {at - base, *(start for start, _ in open_)}
+            ends = sorted({here, *(begun for begun, _, _ in open_)})
             while len(ends) > 1:
-                last = max(ends)
-                ends.discard(last)
-                ends.add(back[last][0])
-            meet = ends.pop()
+                last = ends.pop()
+                before = last - length[last - 1]
+                place = bisect_left(ends, before)
+                if place == len(ends) or ends[place] != before:
+                    ends.insert(place, before)
+            meet = ends[0]
             if meet > 0:
                 yield commit(meet)
-                low = best[meet]
-                best, back, text = [x - low for x in best[meet:]], [(0, None)] + [(s - meet, i) for s, i in back[meet + 1 :]], text[meet:]
-                open_ = [(s - meet, n) for s, n in open_]
-                base += meet
-            check = (at - base) + 2 * longest
-    if at > base:
-        yield commit(at - base)
+                del length[:meet], chosen[:meet]
+                open_ = [(begun - meet, before, node) for begun, before, node in open_]
+                here -= meet
+            check = max(2 * here, here + wait)
+    if here:
+        yield commit(here)
 
 
 class Encoder:

@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import chat, minhash, pfor, pieces, shingles, stats
+from gridloom.llm import chat, langid, minhash, pfor, pieces, shingles, stats
 
 
 @settings(max_examples=60, deadline=None)
@@ -57,6 +58,35 @@ def test_streaming_viterbi_is_the_best_path():
     assert len(runs) > 1 and [x for run in runs for x in run] == best_path(e.vocabulary, long)
 
 
+def test_viterbi_takes_time_in_proportion():
+    e = pieces.encoder(pieces.default_model())
+    for c in "a- ":
+        took = []
+        for n in (10_000, 100_000):
+            began = time.process_time()
+            ids = e.encode([c * n])[0]
+            took.append(time.process_time() - began)
+            assert e.decode(ids.tolist()) == c * n
+        assert took[1] < 30 * took[0] + 1
+    s = ("-" * 700 + "a" * 900).replace(" ", "▁")
+    assert [x for run in pieces.stream(e.vocabulary, s) for x in run] == best_path(e.vocabulary, s)
+
+
+def test_language_terms_of_parts(monkeypatch):
+    """A text's terms do not depend on where it is cut, nor on its case folding there."""
+    text = "Iİ ΑΣ ΑΣΑ straße XYZ 日本語 " * 7 + "x"
+    whole = langid.term_counts(text)
+    model = langid.Model(("a", "b"), np.random.default_rng(3).normal(size=(2, langid.TERMS)).astype(np.float32), np.zeros(2))
+    at_once = model.predict([text, "x", ""])
+    low = text.lower()
+    assert whole.sum() == sum(len(low) - n for n in range(3))
+    for step in (1, 2, 3, 5, 64):
+        monkeypatch.setattr(langid, "_STEP", step)
+        assert (langid.term_counts(text) == whole).all()
+        langs, score = model.predict([text, "x", ""])
+        assert langs == at_once[0] and np.allclose(score, at_once[1], rtol=1e-12)
+
+
 def test_chat_layouts_agree():
     c = chat.Canonical()
     want = [("user", "q"), ("assistant", "a")]
