@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,6 +70,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return Written(df, tag).df
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores with which no column of df begins, so that names made with them clash with none."""
+    longest = max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)
+    return "_" * max(2, longest + 1)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -83,6 +90,32 @@ def spread_buckets(count: int) -> int:
     return max(64, 4 * math.isqrt(count))
 
 
+def starts_before(df: DataFrame, group: list[str], at: str, value: str, out: str, span: int = 4096) -> DataFrame:
+    """Adds `out`: the sum of `value` over the rows of its group whose `at`, a number given once in a group, is less.
+    Sums run within spans of `at`, and the spans' sums over the group, so that no group meets in one task."""
+    df = df.withColumn("__span", F.expr(f"{at} div {span}"))
+    spans = df.groupBy(*group, "__span").agg(F.sum(value).alias("__sum"))
+    spans = spans.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy(*group).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    inner = Window.partitionBy(*group, "__span").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(spans, [*group, "__span"])
+    return df.withColumn(out, F.col(out) + F.col("__before")).drop("__span", "__before")
+
+
+def copied(df: DataFrame, copies: str, number: str, most: int, chunk: int = 4096) -> DataFrame:
+    """Each row as often as its `copies`, which are `most` at most, with `number` from 0. Rows of very many copies are
+    dealt over tasks in chunks."""
+    if most <= 1:
+        return df.withColumn(number, F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    if most > chunk:
+        df = df.select("*", F.explode(F.sequence(zero, F.expr(f"({copies} - 1) div {chunk}"))).alias("__chunk"))
+        df = df.repartition(*(F.col(c) for c in df.columns))
+    else:
+        df = df.withColumn("__chunk", zero)
+    last = F.least(F.col("__chunk") * chunk + chunk, F.col(copies)) - 1
+    return df.select("*", F.explode(F.sequence(F.col("__chunk") * chunk, last)).alias(number)).drop("__chunk")
+
+
 def least_by_hash(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """At most `limit` rows, those with the least hash of the key: the same for any partitioning. Rows whose hash is
     far too large are left out first, so that no more than about twice `limit` rows meet in one task."""

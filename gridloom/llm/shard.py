@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import spread_buckets, table
+from .common import copied, spread_buckets, table, written
 
 
 @dataclass(frozen=True)
@@ -74,20 +74,16 @@ def tree_shard(df: DataFrame, key: list[str], leaves: list[Leaf], out: str, salt
     return df.withColumn(out, _chosen(F.col(region), in_rack).cast("int")).drop(region, rack)
 
 
-def slots(df: DataFrame, group: str, key: list[str], order: list[str], out: str, n_buckets: int) -> DataFrame:
-    """Adds `out`: a number from 0 without gaps within each group. Groups may be as large as they like: numbers are
-    counted within hash buckets of the key, and each bucket starts where the buckets before it in its group end."""
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit("slot")), F.lit(n_buckets)).cast("int"))
-    starts = (
-        df.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__start", F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("__n")
-    )
-    w = Window.partitionBy(group, "__bucket").orderBy(*order)
-    return (
-        df.withColumn("__rn", F.row_number().over(w)).join(starts, [group, "__bucket"])
-        .withColumn(out, (F.col("__start") + F.col("__rn") - 1).cast("long")).drop("__bucket", "__rn", "__start")
-    )
+def slots(df: DataFrame, group: str, order: list[str], copies: str, out: str, n_buckets: int) -> DataFrame:
+    """Adds `out`: a number from 0 in each group, such that each row is followed by as many free numbers as it has
+    copies beside itself. `order`: columns that tell all rows apart. Groups may be as large as they like: numbers are
+    counted within hash buckets, and each bucket starts where the buckets before it in its group end."""
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(k) for k in order], F.lit("slot")), F.lit(n_buckets)).cast("int"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(group, "__bucket").agg(F.sum(copies).alias("__n"))
+    starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(before(group).orderBy("__bucket")), F.lit(0))).drop("__n")
+    df = df.withColumn(out, F.coalesce(F.sum(copies).over(before(group, "__bucket").orderBy(*order)), F.lit(0)))
+    return df.join(starts, [group, "__bucket"]).withColumn(out, (F.col(out) + F.col("__start")).cast("long")).drop("__bucket", "__start")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, base: int = 16) -> DataFrame:
@@ -99,10 +95,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, base: int = 16) -> Data
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    # Rows are counted where they lie, so that rows that are equal, even if they are most, make one.
+    rows = written(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")), "shard-rows")
+    count, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("copies"), F.lit(0))).first()
     rows = tree_shard(rows, ["doc_id"], topology(n_shards, base), "shard")
     rows = tree_shard(rows, ["doc_id"], topology(n_shards + 1, base), "grown_shard")
-    rows = slots(rows, "shard", ["doc_id"], ["doc_id", "text_crc32", "size"], "slot", spread_buckets(docs.count()))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = slots(rows, "shard", ["doc_id", "text_crc32", "size"], "copies", "slot", spread_buckets(count))
+    rows = copied(rows, "copies", "copy", most)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("copy")).alias("slot"), "grown_shard")
 
 
 def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
