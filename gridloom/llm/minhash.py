@@ -34,6 +34,7 @@ HASHES, BANDS, BATCH = 160, 32, 32
 ROWS = HASHES // BANDS
 #: Members of a bucket whose pairs are listed; those of larger buckets are compared in blocks of about this many.
 LISTED, BLOCK = 12, 512
+SALTS = 64
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -143,12 +144,15 @@ def block_sides(left: DataFrame) -> DataFrame:
     of = lambda k: F.count(F.when(F.col("side") == k, True))
     whole = sided.select("main", "side", "rep", "component").distinct()
     by_bucket = sided.groupBy("main", "bucket").agg((of(0) * of(1)).alias("pairs")).groupBy("main").agg(F.sum("pairs").alias("pairs"))
-    apart = whole.groupBy("main").agg((of(0) * of(1)).alias("all")).join(by_bucket, "main").filter(F.col("all") > 2 * F.col("pairs")).select("main")
+    apart = whole.groupBy("main").agg((of(0) * of(1)).alias("all")).join(by_bucket, "main").filter(F.col("all") > 2 * F.col("pairs"))
+    # A main component may hold most rows, so these are dealt over salts.
+    apart = apart.select("main", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    whole, sided = (x.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")) for x in (whole, sided))
     others = sided.filter("side = 0")
     several = others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     kinds = (
-        whole.join(apart, "main", "left_anti").select(F.lit(0).alias("kind"), F.lit(-1).alias("band"), F.col("main").alias("group"), "side", "rep", "component"),
-        sided.join(apart, "main").select(F.lit(1).alias("kind"), "band", F.col("bucket").alias("group"), "side", "rep", "component"),
+        whole.join(apart, ["main", "salt"], "left_anti").select(F.lit(0).alias("kind"), F.lit(-1).alias("band"), F.col("main").alias("group"), "side", "rep", "component"),
+        sided.join(apart, ["main", "salt"]).select(F.lit(1).alias("kind"), "band", F.col("bucket").alias("group"), "side", "rep", "component"),
         others.join(several, "bucket").select(F.lit(2).alias("kind"), "band", F.col("bucket").alias("group"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "rep", "component"),
     )
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
