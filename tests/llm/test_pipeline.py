@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from gridloom.llm import minhash, mix
 from gridloom.llm.components import connected_components
 
@@ -36,11 +37,17 @@ def test_dedup_keeps_one_of_each_group(spark, tmp_path):
     assert kept[100] == 1 and not kept.keys() & {101, 102, 103, 104, 205} and kept[204] == kept[200] == kept[201] == 1 and kept[None] == 2
 
 
-def test_repeated_ids_stay_once(spark, tmp_path):
-    rows = [(1, "a b c d e", "en", "s"), (1, "a b c d e", "en", "s"), (2, "q w e r t y", "en", "s")]
+def test_repeated_ids(spark, tmp_path):
+    """Rows that share an id: equal texts stay once, the least by its columns; texts that duplicate nothing stay;
+    texts linked with one that stays go; rows without words stay as they are."""
+    a, b, c = (tables.prose(k, 60) for k in (1, 2, 3))
+    rows = [(1, a, "fr", "s"), (1, a, "en", "t"), (1, b, "en", "s"), (2, b + " more", "en", "s"), (2, c, "en", "s"), (3, c + " end", "en", "s"), (4, None, "en", "s"), (4, None, "en", "s"), (4, " ", "en", "s"), (None, a, "en", "s")]
     folder = tables.write(spark, tmp_path, docs=tables.documents(spark, rows))
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()) == [1, 2]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("__unit", F.lit("?")).withColumn("__n", F.lit(1))
+    for d in (docs, docs.repartition(3)):
+        got = Counter((r.doc_id, r.text, r.lang) for r in corpus_pipeline.near_dedup(spark, d, folder).collect())
+        assert got == Counter([(1, a, "en"), (1, b, "en"), (2, c, "en"), (4, None, "en"), (4, None, "en"), (4, " ", "en"), (None, a, "en")])
+    assert corpus_pipeline.near_dedup(spark, docs, folder).columns == docs.columns
 
 
 def test_mixed_texts_hold_the_taken_words(spark):
