@@ -5,6 +5,7 @@ Missing values are made from keys by the same rule in both, as the tables have n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .operators import charts, fusion, joins, profile
 from .operators.registry import apply
-from .plans.table import Table
+from .plans.table import Table, shared_folder
 from .plans.template import Template
+from .sources import writers
+from .sources.delimited import read_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +94,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 op("reinspect", customers, "Reinspect", "SELECT * FROM customer")
 query("drop_empty_rows", f"SELECT value, note FROM {EVENTS} WHERE NOT (value IS NULL AND coalesce(trim(note), '') = '')")(lambda s, d: apply(apply(events(s, d), "KeepColumns", columns=["value", "note"]), "DropEmptyRows").rows())
 query("deduplicate_rows", "SELECT DISTINCT lang, source FROM documents")(lambda s, d: apply(Table.of(_read(s, d, "documents").select("lang", "source"), "lang", "source"), "DeduplicateRows").rows())
+query("deduplicate_documents", "SELECT DISTINCT text, lang, source, n_chars FROM documents")(lambda s, d: apply(Table.of(_read(s, d, "documents"), "doc_id").select(["text", "lang", "source", "n_chars"]), "DeduplicateRows").rows())
 op("filter_rows_contains", parts, "FilterRowsContains", "SELECT * FROM part WHERE contains(lower(p_type), 'a')", column="p_type", keyword=" A ")
 op("drop_rows_not_contains", events, "DropRowsNotContains", f"SELECT * FROM {EVENTS} WHERE NOT coalesce(contains(lower(note), 'click'), false)", column="note", keyword="CLICK")
 op("keep_row_range", orders, "KeepRowRange", "SELECT * FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) BETWEEN 101 AND 900", start=101, end=900)
@@ -119,6 +123,20 @@ op("add_constant_column", customers, "AddConstantColumn", "SELECT *, 2.5 :: DOUB
 op("add_expression_column", events, "AddExpressionColumn", f"SELECT *, round(-(value + 2.0) * 3.0 / nullif(event_id - 5.0, 0), 6) AS x FROM {EVENTS}", target="x", expression="-({value} + 2) * 3 / ({event_id} - 5)")
 op("add_conditional_column", events, "AddConditionalColumn", f"SELECT *, CASE WHEN coalesce(value >= 200, false) THEN 'high' ELSE 'low' END AS band FROM {EVENTS}", target="band", source="value", operator=">=", value="200", true_value="high", false_value="low")
 query("add_conditional_not_equal", f"SELECT *, CASE WHEN coalesce(trim(note) = 'click', false) THEN 0 ELSE 1 END :: INTEGER AS other FROM {EVENTS}")(lambda s, d: apply(events(s, d), "AddConditionalColumn", target="other", source="note", operator="<>", value="click", true_value="1", false_value="0").rows())
+_TESTS = (
+    ("above", "value", ">", "250", "value > 250"), ("below", "value", "<", "100.5", "value < 100.5"), ("upto", "value", "<=", "250", "value <= 250"), ("since", "ts", ">=", "2024-01-15", "ts >= TIMESTAMP '2024-01-15'"),
+    ("holds", "note", "包含", "ic", "contains(note, 'ic')"), ("after", "note", ">", "error", "trim(note) > 'error'"), ("blank", "note", "为空", "", "coalesce(trim(note), '') = ''"), ("same", "value", "==", "100", "value = 100"), ("odd", "value", "!=", "100", "value IS NULL OR value <> 100"),
+)
+
+
+def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = events(spark, sf_dir)
+    for name, column, operator, value, _ in _TESTS:
+        t = apply(t, "AddConditionalColumn", target=name, source=column, operator=operator, value=value, true_value="in", false_value="out")
+    return apply(t, "KeepColumns", columns=["event_id", *(x[0] for x in _TESTS)]).rows()
+
+
+query("predicates", f"SELECT event_id, {', '.join(f"CASE WHEN coalesce({x[4]}, false) THEN 'in' ELSE 'out' END AS {x[0]}" for x in _TESTS)} FROM {EVENTS}")(_tested)
 query("add_time_diff_column", "SELECT event_id, ts, later, date_diff('second', ts, later) / 3600.0 :: DOUBLE AS gap FROM (SELECT event_id, ts, ts + INTERVAL 90 MINUTE AS later FROM events)")(lambda s, d: apply(Table.of(_read(s, d, "events").select("event_id", "ts", (F.col("ts") + F.expr("INTERVAL '90' MINUTE")).alias("later")), "event_id"), "AddTimeDiffColumn", start="ts", end="later", target="gap", unit="hours").rows())
 op("apply_mappings", customers, "ApplyMappings", "SELECT * RENAME (c_name AS label, c_acctbal AS balance) FROM customer", mappings=[["c_name", "n"], ["n", "label"], ["none", "x"], ["c_acctbal", "balance"]])
 op("cast_column", texts, "CastColumn", f"SELECT event_id, seen, CASE WHEN event_id % 4 IN (1, 3) THEN CAST(trim(num) AS BIGINT) END AS num, flag FROM {TEXTS}", column="num", target="整数")
@@ -213,28 +231,23 @@ query("compare_adjacent_whole_table", f"SELECT event_id, round(value - lag(value
 # --- joins
 
 
-def _sides(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[Table, Table]:
-    """Customers and orders, shifted so that both sides have rows without a partner; every order, or each third."""
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[Table, Table]:
+    """Customers and orders, shifted so that both sides have rows without a partner."""
     left = Table.of(_read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), "c_nationkey"), "c_custkey")
-    right = Table.of(_read(spark, sf_dir, "orders").filter("true" if every else "o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_custkey") + 20).alias("o_custkey"), F.col("o_orderpriority").alias("name")), "o_orderkey")
+    right = Table.of(_read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 20).alias("o_custkey"), F.col("o_orderpriority").alias("name")), "o_orderkey")
     return left, right
 
 
 _LEFT = "(SELECT c_custkey, c_name AS name, c_nationkey FROM customer)"
-_RIGHT = "(SELECT o_orderkey, o_custkey + 20 AS o_custkey, o_orderpriority AS name FROM orders WHERE o_orderkey % 3 = 0)"
-for _kind, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
-    query(f"join_{_kind}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS name_right FROM {_LEFT} l {_join} {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d, k=_kind: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], k).rows())
-query("join_right_prefix", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS right_name FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "内连接", "right_prefix").rows())
-query("join_keep_left_only", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey FROM {_LEFT} l LEFT JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "left", "keep_left_only").rows())
-query("join_report", f"SELECT (SELECT count(*) FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey) AS matched_pairs, (SELECT count(*) FROM {_LEFT} l WHERE c_custkey NOT IN (SELECT o_custkey FROM {_RIGHT})) AS unmatched_left, (SELECT count(*) FROM {_RIGHT} r WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS unmatched_right, 'name' AS conflict_fields")(lambda s, d: joins.join_report(*_sides(s, d), ["c_custkey"], ["o_custkey"]))
-
-# The same joins over all orders.
-_EVERY = "(SELECT o_orderkey, o_custkey + 20 AS o_custkey, o_orderpriority AS name FROM orders)"
-for _kind, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
-    query(f"join_{_kind}_all", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS name_right FROM {_LEFT} l {_join} {_EVERY} r ON l.c_custkey = r.o_custkey")(lambda s, d, k=_kind: joins.join_tables(*_sides(s, d, True), ["c_custkey"], ["o_custkey"], k).rows())
-query("join_right_prefix_all", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS right_name FROM {_LEFT} l JOIN {_EVERY} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d, True), ["c_custkey"], ["o_custkey"], "内连接", "right_prefix").rows())
-query("join_keep_left_only_all", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey FROM {_LEFT} l LEFT JOIN {_EVERY} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d, True), ["c_custkey"], ["o_custkey"], "left", "keep_left_only").rows())
-query("join_report_all", f"SELECT (SELECT count(*) FROM {_LEFT} l JOIN {_EVERY} r ON l.c_custkey = r.o_custkey) AS matched_pairs, (SELECT count(*) FROM {_LEFT} l WHERE c_custkey NOT IN (SELECT o_custkey FROM {_EVERY})) AS unmatched_left, (SELECT count(*) FROM {_EVERY} r WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS unmatched_right, 'name' AS conflict_fields")(lambda s, d: joins.join_report(*_sides(s, d, True), ["c_custkey"], ["o_custkey"]))
+_RIGHT = "(SELECT o_orderkey, o_custkey + 20 AS o_custkey, o_orderpriority AS name FROM orders)"
+_COUNTS = f"(SELECT count(*) FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey) AS matched_pairs, (SELECT count(*) FROM {_LEFT} l WHERE c_custkey NOT IN (SELECT o_custkey FROM {_RIGHT})) AS unmatched_left, (SELECT count(*) FROM {_RIGHT} r WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS unmatched_right, 'name' AS conflict_fields"
+for _all in ("", "_all"):  # two names for each
+    for _kind, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
+        query(f"join_{_kind}{_all}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS name_right FROM {_LEFT} l {_join} {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d, k=_kind: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], k).rows())
+    query(f"join_right_prefix{_all}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS right_name FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "内连接", "right_prefix").rows())
+    query(f"join_keep_left_only{_all}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey FROM {_LEFT} l LEFT JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "left", "keep_left_only").rows())
+    query(f"join_report{_all}", f"SELECT {_COUNTS}")(lambda s, d: joins.join_report(*_sides(s, d), ["c_custkey"], ["o_custkey"]))
+query("join_report_with_hint", f"SELECT *, '内连接丢弃了未匹配记录：左表 ' || unmatched_left || ' 条，右表 ' || unmatched_right || ' 条' AS data_loss_hint FROM (SELECT {_COUNTS})")(lambda s, d: joins.join_report(*_sides(s, d), ["c_custkey"], ["o_custkey"], "inner"))
 
 # --- chart tables
 
@@ -248,6 +261,67 @@ query("chart_heatmap", f"SELECT CAST(event_id AS DOUBLE) AS event_id, coalesce(v
 
 _PROFILE = "SELECT '{c}' AS \"column\", count(*) AS rows, count({v}) AS non_blank, count(*) - count({v}) AS missing, round((count(*) - count({v})) / count(*), 6) AS missing_rate, count(DISTINCT {v}) AS \"distinct\", count(*) = count(DISTINCT {v}) AS key_candidate FROM " + EVENTS
 query("profile_columns", " UNION ALL ".join(_PROFILE.format(c=c, v="nullif(trim(note), '')" if c == "note" else c) for c in ("event_id", "ts", "user_id", "event_type", "value", "note")))(lambda s, d: profile.profile_columns(events(s, d)).select("column", "rows", "non_blank", "missing", "missing_rate", "distinct", "key_candidate"))
+query("profile_roles", f"""SELECT 'event_id' AS "column", false AS time_candidate, CASE WHEN count(*) = count(DISTINCT event_id) THEN '主键候选' ELSE '数值字段' END AS role FROM {EVENTS} UNION ALL
+SELECT 'ts', true, CASE WHEN count(*) = count(DISTINCT ts) THEN '主键候选' ELSE '时间字段' END FROM {EVENTS} UNION ALL SELECT 'user_id', false, CASE WHEN count(*) = count(DISTINCT user_id) THEN '主键候选' ELSE '数值字段' END FROM {EVENTS} UNION ALL
+SELECT 'event_type', false, '普通字段' UNION ALL SELECT 'value', false, '数值字段' UNION ALL SELECT 'note', false, '普通字段'""")(lambda s, d: profile.profile_columns(events(s, d)).select("column", "time_candidate", "role"))
+
+
+def _dirty(spark: SparkSession, sf_dir: str) -> Table:
+    """Rows without any cell, repeated and missing keys, numbers that are none, and times out of order."""
+    e, some = _read(spark, sf_dir, "events"), F.col("event_id") % 11 != 0
+    k = F.expr("CAST(event_id div 2 AS STRING)")
+    num = F.when(F.col("event_id") % 4 == 2, "broken").when(F.col("event_id") % 4 == 3, " ").otherwise(F.concat((F.col("event_id") % 50).cast("string"), F.lit(".5")))
+    at = F.date_format(F.col("ts") - F.make_dt_interval((F.col("event_id") % 3).cast("int")), "yyyy-MM-dd HH:mm:ss")
+    df = e.select("event_id", F.when(some, k).alias("code"), F.when(some, num).alias("num"), F.when(some, at).alias("seen_time"))
+    t = Table.of(df, "event_id").select(["code", "num", "seen_time"])
+    return Table(t.df, t.order, {"num": "float"})
+
+
+_DIRTY = """(SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id // 2 AS VARCHAR) END AS code, CASE WHEN event_id % 11 <> 0 THEN CASE event_id % 4 WHEN 2 THEN 'broken' WHEN 3 THEN ' ' ELSE (event_id % 50) || '.5' END END AS num,
+CASE WHEN event_id % 11 <> 0 THEN date_trunc('second', ts - to_days(CAST(event_id % 3 AS INTEGER))) END AS seen_time FROM events)"""
+query("quality_issues_of_dirty_table", f"""WITH e AS (SELECT * FROM {_DIRTY}), m AS (SELECT count(*) AS n, (count(*) - count(nullif(trim(num), ''))) / count(*) AS rate FROM e)
+SELECT '缺失字段' AS category, CASE WHEN rate >= 0.6 THEN '高' ELSE '中' END AS severity, 'num' AS field, CAST(round(rate * n) AS BIGINT) AS count FROM m WHERE rate >= 0.3 UNION ALL
+SELECT '空记录', '中', '整表', count(*) FROM e WHERE code IS NULL UNION ALL SELECT '类型异常', '高', 'num', count(*) FROM e WHERE num = 'broken' UNION ALL SELECT '类型混杂', '高', 'num', 2 UNION ALL
+SELECT '重复记录', '中', '整表', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM e GROUP BY code, trim(num), seen_time) UNION ALL
+SELECT '主键规则', '高', 'code', count(*) FROM e WHERE code IS NULL UNION ALL SELECT '主键重复', '高', 'code', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM e WHERE code IS NOT NULL GROUP BY code) UNION ALL
+SELECT '时间规则', '中', 'seen_time', count(*) FROM (SELECT seen_time < lag(seen_time) OVER (ORDER BY event_id) AS b FROM e WHERE seen_time IS NOT NULL) WHERE b""")(
+    lambda s, d: profile.quality_issues(_dirty(s, d), profile.Rules(primary_key="code")).drop("detail")
+)
+query("quality_issue_details", f"SELECT '文本长度' AS category, '6/' || max(length(trim(note))) AS detail FROM {EVENTS} UNION ALL SELECT '缺失字段', printf('%.1f%%', 100.0 * count(*) FILTER (WHERE coalesce(trim(note), '') = '') / count(*)) FROM {EVENTS}")(
+    lambda s, d: profile.quality_issues(events(s, d), profile.Rules(primary_key="event_id", time_column="ts", max_lengths=(("note", 6),))).filter(F.col("category").isin("文本长度", "缺失字段")).select("category", "detail")
+)
+
+
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+query("suggest_fields", "SELECT * FROM (VALUES ('x', 'ts'), ('y', 'value'), ('group', 'event_type')) t(part, field)")(lambda s, d: _listed(s, list(charts.suggest_fields(events(s, d)).items()), "part string, field string"))
+query("mapping_suggestions", "SELECT * FROM (VALUES ('ts', 'timestamp'), ('Temp', 'temperature'), ('batch no', 'batch_id'), ('state', 'status'), ('dev-id', 'device_id'), ('压力', 'pressure')) t(source, target)")(
+    lambda s, d: _listed(s, profile.mapping_suggestions([*events(s, d).columns, "Temp", "batch no", "state", "dev-id", "压力"]), "source string, target string")
+)
+query("join_suggestions", "SELECT * FROM (VALUES ('id', 'dev_id', 'left'), ('time', 'ts', 'inner'), ('batch', 'batch_no', 'inner'), ('zip_code', 'zip_code', 'left')) t(\"left\", \"right\", kind)")(
+    lambda s, d: _listed(s, profile.join_suggestions(["id", "time", "batch", "zip_code", "my col"], ["dev_id", *events(s, d).columns[1:2], "batch_no", "zip_code", "my_col"]), "left string, right string, kind string")
+)
+query("preview_page", "SELECT * FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) BETWEEN 101 AND 150")(lambda s, d: profile.preview(orders(s, d), 3, 50))
+
+# --- files: what is written is read back
+
+_FILE = "SELECT event_id, user_id, value, CASE event_id % 5 WHEN 0 THEN 'say \"hi\", ok' WHEN 1 THEN 'two' || chr(10) || 'lines' WHEN 2 THEN event_type WHEN 3 THEN 'semi;colon' || chr(9) || 'tab' END AS note FROM events"
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    note = F.when(k == 0, 'say "hi", ok').when(k == 1, "two\nlines").when(k == 2, F.col("event_type")).when(k == 3, "semi;colon\ttab")
+    t = Table.of(_read(spark, sf_dir, "events").select("event_id", "user_id", "value", note.alias("note")), "event_id")
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}.{kind}"
+    {"csv": writers.write_csv, "tsv": writers.write_tsv, "txt": writers.write_txt}[kind](t, path)
+    return read_delimited(spark, path).rows()
+
+
+for _kind in ("csv", "tsv", "txt"):
+    query(f"{_kind}_written_and_read", _FILE)(lambda s, d, k=_kind: _round_trip(s, d, k))
+
 query("duplicate_rows", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus)")(lambda s, d: profile.duplicate_rows(orders(s, d), ["o_custkey", "o_orderstatus"]))
 query("time_disorder", "SELECT count(*) AS disordered FROM (SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS x FROM orders) WHERE x")(lambda s, d: profile.time_disorder(orders(s, d), "o_orderdate"))
 query("time_gaps", "SELECT count(*) AS gaps, max(m) AS largest FROM (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts, event_id), ts) // 60000000 AS m FROM events) WHERE m > 5")(lambda s, d: profile.time_gaps(apply(events(s, d), "SortByDateTime", column="ts"), "ts", 5))
@@ -284,6 +358,48 @@ query("fusion_exact", f"SELECT p.event_id, s.click_id FROM {_PRIMARY} p LEFT JOI
 query("fusion_quality")(lambda s, d: _fusion(s, d, mode="exact_then_window", missing="linear").table.rows())
 query("fusion_report", f"SELECT count(*) AS rows, count(d) AS matched_rows FROM {_NEAREST}")(lambda s, d: _fusion(s, d, mode="nearest").report.select("rows", "matched_rows"))
 _GAP = "PARTITION BY user_id ORDER BY ts, event_id"
+
+# Events of two in three ids, whatever their type, as second source: some primary rows have one of their very time.
+_THIRDS = "(SELECT event_id AS log_id, user_id, ts, value * 1.8 + 40 AS temp_degf, CASE event_id % 4 WHEN 0 THEN 'Running' WHEN 1 THEN '停机' WHEN 2 THEN ' standby ' ELSE 'odd one' END AS run_status FROM events WHERE event_id % 3 <> 0)"
+_SOME = "(SELECT event_id, user_id, ts, CASE WHEN event_id % 5 <> 0 THEN value END AS temp_degc FROM events WHERE event_type = 'view')"
+
+
+def _logs(spark: SparkSession, sf_dir: str, **options) -> fusion.Result:
+    e = _read(spark, sf_dir, "events")
+    p = Table.of(e.filter("event_type = 'view'").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("temp_degc")), "event_id")
+    k = F.col("event_id") % 4
+    status = F.when(k == 0, "Running").when(k == 1, "停机").when(k == 2, " standby ").otherwise("odd one")
+    q = Table.of(e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("log_id"), "user_id", "ts", (F.col("value") * 1.8 + 40).alias("temp_degf"), status.alias("run_status")), "log_id")
+    return fusion.fuse(fusion.Request(**{"keys": ("user_id",), "time": "ts", "window_seconds": 21600, "clean_outliers": False} | options), ("views", p), [("logs", q)])
+
+
+_PAIRS = f"(SELECT p.event_id AS pid, s.*, abs(date_diff('microsecond', p.ts, s.ts)) // 1000000 AS d, p.ts = s.ts AS hit FROM {_SOME} p JOIN {_THIRDS} s USING (user_id) WHERE abs(date_diff('microsecond', p.ts, s.ts)) // 1000000 <= 21600)"
+_FOUND = f"(SELECT p.*, s.log_id, round((s.temp_degf - 32) / 1.8, 6) AS other, s.run_status, s.d, s.hit FROM {_SOME} p LEFT JOIN (SELECT * FROM {_PAIRS} QUALIFY row_number() OVER (PARTITION BY pid ORDER BY NOT hit, d, ts, log_id) = 1) s ON s.pid = p.event_id)"
+query("fusion_exact_then_nearest", f"SELECT event_id, log_id, CASE WHEN d IS NULL THEN '辅源1: 未命中' WHEN hit THEN '辅源1: 精确命中' ELSE '辅源1: 最近邻 ' || d || 's' END AS fusion_trace FROM {_FOUND}")(lambda s, d: _logs(s, d, mode="exact_then_nearest").table.rows().select("event_id", "log_id", "fusion_trace"))
+query("fusion_exact_then_window", f"SELECT p.event_id, CASE WHEN count(s.pid) = 0 THEN '辅源1: 未命中' WHEN bool_or(s.hit) THEN '辅源1: 精确命中' ELSE '辅源1: 时间窗聚合 ' || count(s.pid) || ' 行' END AS fusion_trace FROM {_SOME} p LEFT JOIN {_PAIRS} s ON s.pid = p.event_id GROUP BY 1")(lambda s, d: _logs(s, d, mode="exact_then_window").table.rows().select("event_id", "fusion_trace"))
+# How sure the second source is: 0.8 (a column of times, hardly a blank cell), less with the distance.
+_WEIGHT = "CASE WHEN hit THEN 0.8 ELSE least(greatest(0.8 * (0.55 + 0.45 * (1 - least(d / 21600.0, 1.0))), 0.1), 1.0) END"
+for _strategy, _expr in (
+    ("secondary_first", "coalesce(other, temp_degc)"), ("complementary", "coalesce(temp_degc, other)"), ("keep_conflict", "coalesce(temp_degc, other)"), ("primary_first", "coalesce(temp_degc, other)"),
+    ("confidence_weighted", f"CASE WHEN temp_degc IS NULL OR other IS NULL THEN coalesce(temp_degc, other) ELSE (temp_degc + other * w) / (1 + w) END"),
+):
+    query(f"fusion_{_strategy}", f"SELECT event_id, round({_expr} + 0.00037, 3) AS temp_degc FROM (SELECT *, {_WEIGHT} AS w FROM {_FOUND})")(
+        lambda s, d, x=_strategy: _logs(s, d, mode="exact_then_nearest", strategy=x, by_confidence=False).table.rows().select("event_id", F.round(F.col("temp_degc") + 0.00037, 3).alias("temp_degc"))
+    )
+query("fusion_state_words", f"SELECT event_id, CASE run_status WHEN 'Running' THEN 'RUN' WHEN '停机' THEN 'STOP' WHEN ' standby ' THEN 'IDLE' WHEN 'odd one' THEN 'ODD ONE' END AS run_status FROM {_FOUND}")(lambda s, d: _logs(s, d, mode="exact_then_nearest").table.rows().select("event_id", "run_status"))
+query("fusion_fill_backward", f"SELECT event_id, first_value(log_id IGNORE NULLS) OVER ({_GAP} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS log_id FROM (SELECT * REPLACE (CASE WHEN hit THEN log_id END AS log_id) FROM {_FOUND})")(lambda s, d: _logs(s, d, mode="exact", missing="backward").table.rows().select("event_id", "log_id"))
+query("fusion_outliers", "SELECT event_id, CASE WHEN NOT bad THEN v END AS v, CAST(bad AS INTEGER) AS anomalies FROM (SELECT event_id, v, abs((v - avg(v) OVER ()) / stddev_pop(v) OVER ()) > 3.5 AS bad FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN value * 40 ELSE value END AS v FROM events))")(
+    lambda s, d: fusion.prepared(Table.of(_read(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), F.col("event_id").cast("string").alias("label"), "ts", F.when(F.col("event_id") % 50 == 0, F.col("value") * 40).otherwise(F.col("value")).alias("v")), "event_id"), ["user_id"], "ts", fusion.Request(keys=("user_id",), time="ts")).select("event_id", "v", F.col("__an").alias("anomalies"))
+)
+query("fusion_packets", f"SELECT event_id FROM {EVENTS} QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY (value IS NOT NULL) :: INTEGER + (coalesce(trim(note), '') <> '') :: INTEGER DESC, event_id DESC) = 1")(
+    lambda s, d: fusion.prepared(events(s, d).with_column("ts", F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")), ["user_id"], "ts", fusion.Request(keys=("user_id",), time="ts", clean_outliers=False)).select("event_id")
+)
+_SCORE = f"(SELECT event_id, CASE WHEN d IS NULL THEN 36.0 ELSE 100 - 4 - 18 * (1 - (4 + 2 * least(greatest(0.8 * (0.55 + 0.45 * (1 - least(d / 21600.0, 1.0))), 0.1), 1.0)) / 6) END AS score FROM {_NEAREST})"
+query("fusion_score", f"SELECT event_id, round(score, 4) AS fusion_quality_score FROM {_SCORE}")(lambda s, d: _fusion(s, d, mode="nearest", by_confidence=False).table.rows().select("event_id", "fusion_quality_score"))
+query("fusion_score_alerts", f"SELECT event_id, CASE WHEN score < 52.5 THEN '高' ELSE '中' END AS severity FROM {_SCORE}")(lambda s, d: fusion.alerts(_fusion(s, d, mode="nearest", by_confidence=False).table).select("event_id", "severity"))
+query("fusion_segments", f"SELECT user_id, segment, count(*) AS rows, string_agg(fusion_trace, ' | ' ORDER BY ts, event_id) FILTER (WHERE k <= 2) AS trace_excerpt FROM (SELECT *, row_number() OVER (PARTITION BY user_id, segment ORDER BY ts, event_id) AS k FROM (SELECT *, sum(new) OVER ({_GAP} ROWS UNBOUNDED PRECEDING) :: BIGINT AS segment FROM (SELECT *, CASE WHEN d IS NULL THEN '辅源1: 未命中' ELSE '辅源1: 最近邻 ' || d || 's' END AS fusion_trace, CASE WHEN coalesce(date_diff('microsecond', lag(ts) OVER ({_GAP}), ts) // 1000000 > 86400, true) THEN 1 ELSE 0 END AS new FROM {_NEAREST}))) GROUP BY 1, 2")(
+    lambda s, d: fusion.event_segments(_fusion(s, d, mode="nearest").table, ["user_id"], "ts", 86400).select("user_id", "segment", "rows", "trace_excerpt")
+)
 query("fusion_fill_forward", f"SELECT event_id, last_value(click_id IGNORE NULLS) OVER ({_GAP} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS click_id FROM {_NEAREST}")(lambda s, d: _fusion(s, d, mode="nearest", missing="forward").table.rows().select("event_id", "click_id"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import CHART, is_text, is_time, number, text_of, time, trimmed
-from ..plans.table import Table
+from ..plans.table import Table, at_positions, quantile
 from .profile import kind_of
 
 EMPTY = "空值"
@@ -47,11 +47,16 @@ def histogram(t: Table, column: str, bins: int = 12) -> DataFrame:
 def box_groups(t: Table, value: str, group: str | None = None) -> DataFrame:
     """group, count, minimum, quartiles and maximum; without a group column all rows are one group."""
     name = F.coalesce(F.nullif(trimmed(text_of(F.col(group))), F.lit("")), F.lit(EMPTY)) if group else F.lit("样本组")
-    rows = t.df.select(name.alias("group"), number(t.df, value, CHART).alias("x")).filter("x is not null")
-    return rows.groupBy("group").agg(
-        F.count(F.lit(1)).alias("count"), F.min("x").alias("minimum"), F.percentile("x", F.lit(0.25)).alias("q1"),
-        F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.75)).alias("q3"), F.max("x").alias("maximum"),
-    )
+    x = number(t.df, value, CHART)
+    parts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+    def places(n: Column) -> dict[str, Column]:
+        of = {f"{k}_{side}": f((n - 1) * F.lit(q)) for k, q in parts.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+        return {"minimum": F.lit(0), **of, "maximum": n - 1}
+
+    found = at_positions(t, x, [name], places)
+    middle = [quantile(f"{k}_low", f"{k}_high", F.col("n"), q).alias(k) for k, q in parts.items()]
+    return found.select(F.col("k0").alias("group"), F.col("n").alias("count"), "minimum", *middle, "maximum")
 
 
 def heatmap(t: Table, columns: list[str] = (), rows: int = 80) -> DataFrame:

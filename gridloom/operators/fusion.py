@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.parsing import FUSION, as_fusion_time, as_number, blank, is_number, is_text, number, text_of, time, trimmed
-from ..plans.table import Key, Table, carried, in_blocks, running_sum
+from ..plans.table import Key, Table, carried, in_blocks, running_sum, stored
 from . import fusion_names as names
 from .profile import duplicate_rows
 
@@ -27,6 +27,7 @@ STRATEGY_NAMES = {"辅源优先": "secondary_first", "质量加权": "confidence
 FILLS = ("keep_null", "forward", "backward", "nearest", "linear", "window_mean")
 FILL_NAMES = {"前向填充": "forward", "后向填充": "backward", "前后就近填充": "nearest", "线性插值": "linear", "窗口均值": "window_mean"}
 FILL_LABELS = {"keep_null": "保留空值", "forward": "前向填充", "backward": "后向填充", "nearest": "就近填充", "linear": "线性插值", "window_mean": "窗口均值"}
+NO_TRACE = "无融合轨迹"
 # Words within a value, in order, and the word they become.
 STATES = (
     (("run", "running", "online", "normal", "生产", "运行"), "RUN"), (("stop", "stopped", "offline", "停机", "停止"), "STOP"), (("maint", "maintenance", "repair", "维护", "检修"), "MAINT"),
@@ -105,10 +106,11 @@ def prepared(t: Table, keys: list[str], when: str, request: Request) -> DataFram
     most cells filled, of several the later. Outliers are cells beyond the z-score over the whole column."""
     df = t.df
     order = F.struct(*(F.col(k.name) for k in t.order))
-    df = df.select(*t.columns, F.concat_ws("|", *(F.coalesce(text_of(F.col(k)), F.lit("NULL")) for k in keys)).alias("__key"), time(df, when, as_fusion_time).alias("__ts"), order.alias("__at"))
+    df = df.select(*t.columns, F.struct(*(text_of(F.col(k)).alias(f"k{i}") for i, k in enumerate(keys))).alias("__key"), time(df, when, as_fusion_time).alias("__ts"), order.alias("__at"))
     if request.deduplicate:
-        best = Window.partitionBy("__key", "__ts").orderBy(F.col("__full").desc(), F.col("__at").desc())
-        df = df.withColumn("__full", _count([~blank(df, c) for c in t.columns])).withColumn("__rn", F.row_number().over(best)).filter("__rn = 1").drop("__rn", "__full")
+        full = _count([~blank(df, c) for c in t.columns])
+        df = df.groupBy("__key", "__ts").agg(F.max_by(F.struct(*t.columns, "__at"), F.struct(full, "__at")).alias("__best")).select("__best.*", "__key", "__ts")
+        df = df.select(*t.columns, "__key", "__ts", "__at")
     df = df.withColumn("__an", F.lit(0))
     numeric = [c for c in t.columns if is_number(df, c)]
     if request.clean_outliers and numeric:
@@ -172,36 +174,82 @@ def source_confidence(t: Table, name: str) -> float:
     return min(max(score, 0.25), 1.0)
 
 
+def last_and_next(asking: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """asking: __id, keys, __t and more; answers: keys, __t, x. Adds __last, the x of the last answer of the key at or
+    before __t, and __next, that of the first one after it. Both sides are put in one order by key and time and
+    carried along it, so that no pairs are formed, however many rows a key has."""
+    asks = asking.columns
+    empty = {c: F.lit(None).cast(asking.schema[c].dataType) for c in asks if c not in (*keys, "__t")}
+    both = asking.withColumns({"x": F.lit(None).cast(answers.schema["x"].dataType), "__asks": F.lit(True)})
+    both = both.unionByName(answers.select(*keys, "__t", "x").withColumns({**empty, "__asks": F.lit(False)}))
+    rows = Table(both, tuple(Key(c) for c in (*keys, "__t", "__asks"))).numbered()  # answers come before those who ask at their time
+    by = [F.col(k) for k in keys]
+    rows = carried(carried(rows, {"__last": F.col("x")}, by), {"__next": F.col("x")}, by, forward=False)
+    return rows.filter("__asks").select(*asks, "__last", "__next")
+
+
+def nearest(primary: DataFrame, secondary: DataFrame, keys: list[str], exact_first: bool, limit: int | None) -> DataFrame:
+    """primary: __pid, keys, __ts; secondary: keys, __sts, __sat, x. For each primary row the x of the secondary row
+    with the least distance in whole seconds, at most `limit`: __pid, x, __sts, d. Of rows as near the earliest counts;
+    with exact_first one of the very time goes before all."""
+    second = F.expr("INTERVAL '1' SECOND")
+    one = secondary.groupBy(*keys, "__sts").agg(F.min_by("x", "__sat").alias("x"))  # of rows of one time only the first can be chosen
+    s = one.select(*keys, F.col("__sts").alias("__t"), F.struct("__sts", "x").alias("x"))
+    probes = s.select(F.lit(None).cast("long").alias("__pid"), *keys, (F.col("__t") - F.expr("INTERVAL '1' MICROSECOND")).alias("__t"))
+    p = primary.select("__pid", *keys, F.col("__ts").alias("__t"))
+    found = stored(last_and_next(p.unionByName(probes), s, keys), "neighbours")
+    # Two rows of one key within a second may be as near to a third one.
+    close = found.filter(F.col("__pid").isNull() & (F.timestamp_diff("MICROSECOND", F.col("__last.__sts"), F.col("__t")) < 999_999)).limit(1).count()
+    found = found.filter("__pid is not null")
+    away = lambda c: F.abs(F.timestamp_diff("SECOND", F.col("__t"), F.col(f"{c}.__sts")))
+    hit = F.coalesce(F.col("__last.__sts") == F.col("__t"), F.lit(False)) & F.lit(exact_first)
+    back = F.col("__last").isNotNull() & (hit | F.col("__next").isNull() | (away("__last") <= away("__next")))
+    found = found.withColumn("__back", back).withColumn("d", F.when(back, away("__last")).otherwise(away("__next")))
+    chosen = F.when(F.col("__back"), F.col("__last")).otherwise(F.col("__next"))
+    if close:
+        again = found.filter(F.col("__back") & ~hit).select("__pid", *keys, (F.col("__t") - second * (F.col("d") + 1)).alias("__t"))
+        first = last_and_next(again, s, keys).select("__pid", F.col("__next").alias("__first"))
+        found = found.join(first, "__pid", "left")
+        chosen = F.coalesce("__first", chosen)
+    found = found.filter("d is not null" if limit is None else f"d <= {limit}").withColumn("__chosen", chosen)
+    return found.select("__pid", F.col("__chosen.x").alias("x"), F.col("__chosen.__sts").alias("__sts"), "d", hit.alias("hit"))
+
+
 def matched(primary: DataFrame, secondary: DataFrame, columns: list[str], request: Request) -> DataFrame:
     """primary: __pid, __key, __ts. For each primary row with a match: __pid, cells (a struct of the columns as c0, c1
     and so on), distance (seconds), anomalies, how ('exact', 'near', 'window', 'bucket') and rows.
 
-    Rows meet in buckets of time somewhat wider than the window, each secondary row in three of them, so that even a
-    key with very many rows is dealt over many tasks and no pair of rows farther apart than two buckets is formed."""
+    Nearest rows are found without pairs. Only where windows are aggregated do rows meet, in buckets of time somewhat
+    wider than the window, each secondary row in three of them, so that even a key with very many rows is dealt over
+    many tasks and no pair of rows farther apart than two buckets is formed."""
     mode = request.mode
     cells = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))) if columns else F.struct(F.lit(0).alias("none"))
     s = secondary.filter("__ts is not null").select("__key", F.col("__ts").alias("__sts"), F.col("__at").alias("__sat"), F.col("__an").alias("__san"), cells.alias("cells"))
     p = primary.filter("__ts is not null").select("__pid", "__key", "__ts")
     epoch = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    exact_first = mode.startswith("exact")
+    if mode in ("exact_then_nearest", "nearest", "resample"):
+        s = s.select("__key", "__sts", "__sat", F.struct("cells", F.col("__san").cast("long").alias("anomalies")).alias("x"))
+        if mode == "resample":
+            size = request.resample_seconds
+            found = nearest(p.withColumn("__b", F.floor(epoch("__ts") / size)), s.withColumn("__b", F.floor(epoch("__sts") / size)), ["__key", "__b"], False, None)
+        else:
+            found = nearest(p, s, ["__key"], exact_first, request.window_seconds)
+        how = F.when(F.col("hit"), "exact").otherwise("bucket" if mode == "resample" else "near")
+        return found.select("__pid", "x.cells", F.col("d").alias("distance"), "x.anomalies", how.alias("how"), F.lit(1).cast("long").alias("rows"))
     if mode == "exact":
         rows = p.join(s.withColumnRenamed("__sts", "__ts"), ["__key", "__ts"]).withColumn("__sts", F.col("__ts"))
-    elif mode == "resample":
-        size = request.resample_seconds
-        rows = p.withColumn("__b", F.floor(epoch("__ts") / size)).join(s.withColumn("__b", F.floor(epoch("__sts") / size)), ["__key", "__b"])
     else:
         size = request.window_seconds + 1  # distances are cut to whole seconds
         spread = s.withColumn("__b0", F.floor(epoch("__sts") / size)).withColumn("__b", F.explode(F.sequence(F.col("__b0") - 1, F.col("__b0") + 1)))
         rows = p.withColumn("__b", F.floor(epoch("__ts") / size)).join(spread, ["__key", "__b"])
     rows = rows.withColumn("d", F.abs(F.timestamp_diff("SECOND", F.col("__ts"), F.col("__sts")))).withColumn("other", F.col("__ts") != F.col("__sts"))
-    if mode not in ("exact", "resample"):
+    if mode != "exact":
         rows = rows.filter(F.col("d") <= request.window_seconds)
-    exact_first = mode.startswith("exact")
     place = F.struct(*([F.col("other")] * exact_first), "d", "__sts", "__sat")
     one = F.min_by(F.struct("cells", F.col("d").alias("distance"), F.col("__san").cast("long").alias("anomalies"), "other"), place).alias("one")
-    if "window" not in mode:
-        out = rows.groupBy("__pid").agg(one)
-        how = F.when(~F.col("one.other") & exact_first, "exact").otherwise("bucket" if mode == "resample" else "near")
-        return out.select("__pid", "one.cells", "one.distance", "one.anomalies", how.alias("how"), F.lit(1).cast("long").alias("rows"))
+    if mode == "exact":
+        return rows.groupBy("__pid").agg(one).select("__pid", "one.cells", "one.distance", "one.anomalies", F.lit("exact").alias("how"), F.lit(1).cast("long").alias("rows"))
     kinds = {i: secondary.schema[c].dataType.simpleString() for i, c in enumerate(columns)}
     texts = [i for i in kinds if kinds[i] == "string"]
     value = lambda i: F.col(f"cells.c{i}")
@@ -418,7 +466,7 @@ def feature_table(t: Table, keys: list[str], when: str, columns: int = 12) -> Da
 
 def event_segments(t: Table, keys: list[str], when: str, gap_seconds: int = 60) -> DataFrame:
     """Runs of rows of a key without a gap above the limit: segment (from 1), start_time, end_time, rows and, of fused
-    rows, average_score."""
+    rows, average_score and trace_excerpt (the first two traces that are not blank)."""
     rows = t.with_df(t.df.withColumn("__at", time(t.df, when, as_fusion_time)).filter("__at is not null"))
     rows = rows.sorted_by([*((F.col(k), True, True) for k in keys), (F.col("__at"), True, True)]).numbered()
     w = Window.partitionBy("__block", *keys).orderBy("__pos")
@@ -426,7 +474,14 @@ def event_segments(t: Table, keys: list[str], when: str, gap_seconds: int = 60)
     rows = in_blocks(rows, 1).withColumn("__new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).filter(~F.col("__copy"))
     rows = running_sum(rows, "segment", F.col("__new"), [F.col(k) for k in keys])
     score = [F.round(F.avg("fusion_quality_score"), 4).alias("average_score")] if "fusion_quality_score" in t.columns else []
-    return rows.groupBy(*keys, "segment").agg(F.min("__at").alias("start_time"), F.max("__at").alias("end_time"), F.count(F.lit(1)).alias("rows"), *score)
+    traces = []
+    if "fusion_trace" in t.columns:  # the first, and the first of those that come after it; a row has one place
+        told = F.col("fusion_trace")
+        place = F.when(~F.coalesce(trimmed(told).isin("", NO_TRACE), F.lit(True)), F.col("__pos"))
+        firsts = running_sum(rows.withColumn("__place", place), "__nth", F.when(F.col("__place").isNotNull(), 1), [*(F.col(k) for k in keys), F.col("segment")])
+        rows = firsts.withColumn("__told", F.when(F.col("__place").isNotNull() & (F.col("__nth") <= 2), F.struct("__pos", told.alias("trace"))))
+        traces = [F.array_join(F.transform(F.array_sort(F.collect_list("__told")), lambda x: x["trace"]), " | ").alias("trace_excerpt")]
+    return rows.groupBy(*keys, "segment").agg(F.min("__at").alias("start_time"), F.max("__at").alias("end_time"), F.count(F.lit(1)).alias("rows"), *score, *traces)
 
 
 def alerts(t: Table, threshold: float = 70.0) -> DataFrame:

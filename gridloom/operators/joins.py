@@ -72,8 +72,8 @@ def join_tables(left: Table, right: Table, left_keys: list[str], right_keys: lis
     return Table(rows, tuple(order), {**right.labels, **left.labels})
 
 
-def join_report(left: Table, right: Table, left_keys: list[str], right_keys: list[str], conflict: str = "suffix") -> DataFrame:
-    """One row: matched_pairs, unmatched_left, unmatched_right, conflict_fields. Both sides are counted per key before
+def join_report(left: Table, right: Table, left_keys: list[str], right_keys: list[str], kind: str | None = None) -> DataFrame:
+    """One row: matched_pairs, unmatched_left, unmatched_right, conflict_fields and, for a kind of join, data_loss_hint. Both sides are counted per key before
     they meet, so a key with very many rows is one row on each side."""
     as_text = _check(left, right, left_keys, right_keys)
     keys = [f"k{i}" for i in range(len(left_keys))]
@@ -86,7 +86,21 @@ def join_report(left: Table, right: Table, left_keys: list[str], right_keys: lis
     both = a.join(b, reduce(and_, (a[k].eqNullSafe(b[k]) for k in keys)), "full_outer")
     clash = sorted(set(left.columns) & (set(right.columns) - set(right_keys)))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return both.agg(
+    out = both.agg(
         total(F.col("nl") * F.col("nr")).alias("matched_pairs"), total(F.when(F.col("nr").isNull(), F.col("nl"))).alias("unmatched_left"),
         total(F.when(F.col("nl").isNull(), F.col("nr"))).alias("unmatched_right"), F.lit(", ".join(clash)).alias("conflict_fields"),
     )
+    if kind is None:
+        return out
+    row = out.first()
+    return out.withColumn("data_loss_hint", F.lit(loss_hint(kind, row.unmatched_left, row.unmatched_right)))
+
+
+def loss_hint(kind: str, unmatched_left: int, unmatched_right: int) -> str:
+    """What a join of this kind loses or fills with nulls, in words."""
+    how = kind_of(kind)
+    if how == "left":
+        return f"左连接未保留右表未匹配记录 {unmatched_right} 条" if unmatched_right else "左连接未发现右表未匹配记录"
+    if how == "inner":
+        return f"内连接丢弃了未匹配记录：左表 {unmatched_left} 条，右表 {unmatched_right} 条" if unmatched_left or unmatched_right else "内连接全部记录均成功匹配"
+    return "外连接已保留未匹配记录，结果中可能出现空值列" if unmatched_left or unmatched_right else "外连接未发现未匹配记录"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import reduce
+from math import gcd
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,8 @@ from .rows import key
 
 # Other names of well-known columns, by their canonical name.
 ALIASES = {
-    "timestamp": ("time", "datetime", "date_time", "ts", "时间", "采样时间", "日期"),
-    "device_id": ("id", "device", "deviceid", "equipment", "设备", "设备编号", "dev_id", "设备id"),
+    "timestamp": ("time", "时间", "日期", "datetime", "ts"),
+    "device_id": ("device", "dev_id", "设备编号", "设备id", "id"),
     "temperature": ("temp", "温度", "temp_c", "temperature_c"),
     "pressure": ("press", "压力"),
     "status": ("state", "状态", "result_status"),
@@ -113,7 +115,7 @@ def duplicate_rows(t: Table, columns: list[str] | None = None, skip_blank: bool
 def time_steps(t: Table, column: str) -> DataFrame:
     """at and before: each row's time and that of the row before, in the table's order, without rows that have none."""
     at = time(t.df, column, as_plain_time)
-    rows = t.with_df(t.df.withColumn("__at", at).filter(F.col("__at").isNotNull())).numbered()
+    rows = t.with_df(t.df.select(at.alias("__at"), *(k.name for k in t.order)).filter(F.col("__at").isNotNull())).numbered()
     w = Window.partitionBy("__block").orderBy("__pos")
     return in_blocks(rows, 1).withColumn("before", F.lag("__at").over(w)).filter(~F.col("__copy")).select(F.col("__at").alias("at"), "before")
 
@@ -143,7 +145,8 @@ COUNTERS = {
 
 
 def quality_issues(t: Table, rules: Rules = Rules()) -> DataFrame:
-    """category, severity, field, count, detail of what the checks find. All counts per cell come from one pass."""
+    """category, severity, field, count, detail of what the checks find: a share, the kinds of cells, the longest gap
+    in minutes, or the allowed and the longest length. All counts per cell come from one pass."""
     rules = rules.checked(t.columns)
     spark, df = t.df.sparkSession, t.df
     profile = profile_columns(t, rules).collect()  # one row per column
@@ -155,6 +158,7 @@ def quality_issues(t: Table, rules: Rules = Rules()) -> DataFrame:
             found.append(("缺失字段", "高" if by[c]["missing_rate"] >= 0.6 else "中", c, by[c]["missing"], f"{by[c]['missing_rate']:.1%}"))
     labelled = {c: t.labels.get(c, kind_of(df, c)) for c in t.columns}
     checks: dict[tuple, Column] = {("空记录", "中", "整表"): F.count_if(reduce(and_, (blank(df, c) for c in t.columns)))}
+    details: dict[tuple, Column] = {}
     for c in t.columns:
         if labelled[c] in ("integer", "float") and is_text(df, c):
             checks["类型异常", "高", c] = F.count_if(~blank(df, c) & number(df, c, LENIENT).isNull())
@@ -165,10 +169,14 @@ def quality_issues(t: Table, rules: Rules = Rules()) -> DataFrame:
         outside = reduce(or_, [x < F.lit(float(low))] * (low is not None) + [x > F.lit(float(high))] * (high is not None) or [F.lit(False)])
         checks["范围规则", "高", c] = F.count_if(outside)
     for c, most in rules.max_lengths:
-        checks["文本长度", "中", c] = F.count_if(F.length(trimmed(text_of(F.col(c)))) > most)
+        length = F.length(trimmed(text_of(F.col(c))))
+        checks["文本长度", "中", c] = F.count_if(length > most)
+        details["文本长度", "中", c] = F.concat(F.lit(f"{most}/"), F.max(length).cast("string"))
     kinds = {c: F.collect_set(_cell_kind(df, c)) for c in t.columns if is_text(df, c)}  # four values at most
-    row = df.agg(*(v.alias(f"a{i}") for i, v in enumerate(checks.values())), *(v.alias(f"k{i}") for i, v in enumerate(kinds.values()))).first()
-    found += [(*k, row[f"a{i}"], "") for i, k in enumerate(checks) if row[f"a{i}"]]
+    row = df.agg(
+        *(v.alias(f"a{i}") for i, v in enumerate(checks.values())), *(v.alias(f"k{i}") for i, v in enumerate(kinds.values())), *(details[k].alias(f"d{i}") for i, k in enumerate(checks) if k in details)
+    ).first()
+    found += [(*k, row[f"a{i}"], row[f"d{i}"] if k in details else "") for i, k in enumerate(checks) if row[f"a{i}"]]
     found += [("类型混杂", "高" if labelled[c] in ("integer", "float") else "中", c, len(row[f"k{i}"]), "/".join(sorted(row[f"k{i}"]))) for i, c in enumerate(kinds) if len(row[f"k{i}"]) > 1]
 
     def one(category: str, severity: str, name: str, result: DataFrame) -> None:
@@ -176,9 +184,10 @@ def quality_issues(t: Table, rules: Rules = Rules()) -> DataFrame:
         if n:
             found.append((category, severity, name, n, ""))
 
-    one("重复记录", "中", "整表", duplicate_rows(t))
-    if pk:
-        one("主键重复", "高", pk, duplicate_rows(t, [pk], True))
+    if not any(r["key_candidate"] for r in profile):  # a column that tells all rows apart leaves none that repeat
+        one("重复记录", "中", "整表", duplicate_rows(t))
+    if pk and (again := by[pk]["non_blank"] - by[pk]["distinct"]):  # the profile has counted its values
+        found.append(("主键重复", "高", pk, again, ""))
     if len(rules.composite_keys) > 1:
         one("组合重复", "中", ",".join(rules.composite_keys), duplicate_rows(t, list(rules.composite_keys), True))
     if when:  # both checks from one pass over the steps
@@ -195,32 +204,39 @@ def overview(issues: DataFrame) -> DataFrame:
     return issues.agg(*(F.coalesce(F.sum(F.when(F.col("category") == k, F.lit(1) if k in by_column else F.col("count"))), F.lit(0)).cast("bigint").alias(v) for k, v in COUNTERS.items()))
 
 
-def canonical(name: str) -> str:
+def canonical(name: str) -> str | None:
+    """The well-known column that a name stands for."""
     n = name.strip().lower().replace(" ", "_").replace("-", "_")
-    return next((k for k, names in ALIASES.items() if n == k or n in names), n)
+    return next((k for k, names in ALIASES.items() if n == k or n in names), None)
 
 
 def mapping_suggestions(columns: list[str]) -> list[tuple[str, str]]:
-    """Columns whose name stands for a canonical one."""
-    return [(c, canonical(c)) for c in columns if canonical(c) in ALIASES and canonical(c) != c.strip().lower()]
+    """Columns whose name stands for a canonical one, other than itself."""
+    return [(c, canonical(c)) for c in columns if canonical(c) not in (None, c)]
 
 
 def join_suggestions(left: list[str], right: list[str]) -> list[tuple[str, str, str]]:
-    """(left, right, kind): the same name, or the same canonical one; eight at most."""
-    out = [(a, b, "left" if a.lower().endswith("id") or "code" in a.lower() else "inner") for a in left for b in right if a == b or canonical(a) == canonical(b)]
-    return out[:8]
+    """(left, right, kind) of columns that have the same name or stand for the same canonical one; eight at most. Names
+    of ids and codes suggest a left join."""
+    same = lambda a, b: a == b or canonical(a) is not None and canonical(a) == canonical(b)
+    return [(a, b, "left" if a.endswith("id") or "code" in a else "inner") for a in left for b in right if same(a, b)][:8]
 
 
-def preview(t: Table, page: int, size: int, shuffled: bool = False) -> DataFrame:
-    """A page of rows, counted from 0. Shuffled pages take rows at steps that share no factor with the number of rows,
-    so that the pages together show every row once."""
-    from math import gcd
+def shuffled_places(rows: int, page: int, size: int) -> list[int]:
+    """Places from 0 of the rows on a shuffled page, counted from 1. The number of rows decides the first place and a
+    step that shares no factor with it, the page where on that walk it begins: pages are the same each time, and
+    together show every row once."""
+    first, start = (zlib.crc32(f"{rows}/{what}".encode()) for what in ("step", "start"))
+    step = next(s for k in range(rows + 1) if gcd(s := (first + k) % rows or 1, rows) == 1) if rows else 1
+    return [(start + k * step) % rows for k in range((page - 1) * size, min(page * size, rows))]
 
+
+def preview(t: Table, page: int, size: int, shuffled: bool = False) -> DataFrame:
+    """A page of rows, counted from 1; pages beyond the last are the last. Shuffled pages take rows from all over the
+    table."""
     rows = t.numbered()
-    n = rows.count()
-    at = range(page * size, min((page + 1) * size, n))
-    if shuffled and n > 2:
-        step = next(s for s in range(max(2, int(n * 0.618)), n + 2) if gcd(s, n) == 1)
-        at = [(7 + k * step) % n for k in at]
+    n, size = rows.count(), max(size, 1)
+    page = min(max(page, 1), max(1, -(-n // size)))
+    at = shuffled_places(n, page, size) if shuffled else range((page - 1) * size, min(page * size, n))
     wanted = t.df.sparkSession.createDataFrame([(k, p + 1) for k, p in enumerate(at)], "__k long, __pos long")
-    return rows.join(F.broadcast(wanted), "__pos").orderBy("__k").select(*t.columns)
+    return rows.join(F.broadcast(wanted), "__pos").orderBy("__k").select(*t.columns)  # a page of rows

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.parsing import LENIENT, STRICT, as_boolean, as_epoch, as_number, blank, is_text, is_time, number, text_of, time, trimmed
-from ..plans.table import Table, carried
+from ..plans.table import Table, at_positions, carried, quantile
 from .columns import fresh
 from .registry import operation
 
@@ -247,9 +247,12 @@ def fill_null_statistic(t: Table, column: str, strategy: str = "mean") -> Table:
         seen = t.df.filter(~blank(t.df, column)).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
         one = seen.agg(F.max(F.struct("__n")).alias("m"))
         top = seen.join(F.broadcast(one), seen["__n"] == one["m.__n"]).agg(F.min(column).alias("__value"))
-    else:
+    elif kind == "median":
         x = number(t.df, column, STRICT)
-        top = t.df.agg((F.avg(x) if kind == "mean" else F.median(x)).alias("__value"))
+        middle = at_positions(t, x, [], lambda n: {"a": F.floor((n - 1) / 2), "b": F.ceil((n - 1) / 2)})
+        top = middle.agg(F.first(quantile("a", "b", F.col("n"), 0.5)).alias("__value"))
+    else:
+        top = t.df.agg(F.avg(number(t.df, column, STRICT)).alias("__value"))
     value = top.first()[0]
     if value is None:
         raise ValueError(f"column {column!r} has no value to take the {kind} of")

@@ -82,7 +82,7 @@ class Session:
             raise ValueError("a dataset is not joined with itself")
         a, b = self.datasets[left].table, self.datasets[right].table
         out = joins.join_tables(a, b, left_keys, right_keys, kind, conflict)
-        return self.add(f"{left}_merge_{right}", out), joins.join_report(a, b, left_keys, right_keys, conflict)
+        return self.add(f"{left}_merge_{right}", out), joins.join_report(a, b, left_keys, right_keys, kind)
 
     def fuse(self, primary: str, secondaries: list[str], **request):
         """A new dataset <primary>_fusion and the report; secondaries follow the datasets' order, the primary left out."""

@@ -1,4 +1,5 @@
-"""An ordered table: a lazy DataFrame with the order of its rows kept as hidden key columns."""
+"""An ordered table: a DataFrame with the order of its rows kept as hidden key columns. It stays lazy but for positions,
+for which rows are written in their order."""
 
 from __future__ import annotations
 
@@ -29,17 +30,34 @@ class Key:
         return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the folder that the cluster shares, and read back: rows are computed once, and a lost executor costs no more than a read."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, spark.checkpoint.dir. A local master may do without: it gets a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # no cluster: a local folder
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[app] = folder
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet to the folder that the cluster shares, and read back: rows are computed once, and a lost executor costs no more than a read."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+RUN_BYTES = 256 << 20
+
+
+def run_count(df: DataFrame) -> int:
+    """Into how many runs rows are dealt: as many as shuffles have partitions, or more if the files read are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 55)  # what is read from no file has no size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // RUN_BYTES))
 
 
 @dataclass(frozen=True)
@@ -103,16 +121,16 @@ class Table:
 
     def numbered(self) -> DataFrame:
         """df with __pos, the position of each row from 1, and __part, a run of positions. Rows are dealt to runs by
-        range and numbered within their run; the runs' lengths, one short row for each, give where each starts. So no
-        task sees more than its share of rows."""
-        n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        range, sorted and written once, each with its number in its run; the runs' lengths, one short row for each, give
+        where each starts. So no task sees more than its share of rows, and they move only once."""
         drop = [c for c in ("__pos", "__part") if c in self.df.columns]
-        placed = self.df.drop(*drop).repartitionByRange(n, *self.sort).sortWithinPartitions(*self.sort)
-        placed = stored(placed.withColumn("__part", F.spark_partition_id()), "ordered")
+        placed = self.df.drop(*drop).repartitionByRange(run_count(self.df), *self.sort).sortWithinPartitions(*self.sort)
+        # An id that Spark gives has the partition in its high bits and the row's number there in the low 33.
+        placed = stored(placed.withColumn("__id", F.monotonically_increasing_id()), "ordered")
+        placed = placed.withColumns({"__part": F.shiftright("__id", 33).cast("int"), "__rn": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("__id")
         lengths = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
         starts = lengths.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-        rows = placed.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(*self.sort)))
-        rows = rows.join(F.broadcast(starts), "__part")  # n rows at most
+        rows = placed.join(F.broadcast(starts), "__part")  # one row for each run
         return rows.withColumn("__pos", F.col("__start") + F.col("__rn")).drop("__rn", "__start")
 
     def rows(self) -> DataFrame:
@@ -181,3 +199,26 @@ def running_sum(numbered: DataFrame, name: str, value: Column, keys: list[Column
     df = df.withColumn("__in", F.sum("__v").over(inside)).join(F.broadcast(before), ["__part", "__run_key"], "left")
     total = F.when(F.col("__in").isNull(), F.col("__before")).otherwise(F.col("__in") + F.coalesce("__before", F.lit(0)))
     return df.withColumn(name, total).drop("__run_key", "__v", "__in", "__before")
+
+
+def at_positions(t: Table, value: Column, keys: list[Column], at) -> DataFrame:
+    """One row per key, k0, k1 and so on, with n (its values that are not null) and what `at(n)`, a dict of names and
+    places from 0, picks from its values in ascending order. A value of very many rows is counted first, and the
+    values are numbered in runs, so that neither a key's rows nor its distinct values meet in one task."""
+    keys = keys or [F.lit(0)]
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = t.df.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), value.alias("v")).filter("v is not null")
+    counted = rows.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("c"))
+    numbered = Table(counted, tuple(Key(x) for x in (*names, "v"))).numbered()
+    upto = running_sum(numbered, "upto", F.col("c"), [F.col(n) for n in names])
+    total = upto.groupBy(*names).agg(F.max("upto").alias("n"))
+    both = upto.join(total, names)  # which Spark can split where a key is large
+    places = at(F.col("n"))
+    picks = [F.min(F.when((F.col("upto") - F.col("c") <= p) & (p < F.col("upto")), F.col("v"))).alias(name) for name, p in places.items()]
+    return both.groupBy(*names, "n").agg(*picks)
+
+
+def quantile(low: str, high: str, n: Column, q: float) -> Column:
+    """The quantile between two values at the places floor and ceil of q * (n - 1)."""
+    place = (n - 1) * F.lit(q)
+    return F.col(low) + (F.col(high) - F.col(low)) * (place - F.floor(place))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import NULL_MARKERS, as_boolean, as_number, as_plain_time, trimmed
 from ..operators.columns import normalised
-from ..plans.table import Key, Table
+from ..plans.table import Key, Table, stored
 
 CANDIDATES = (",", ";", "\t", "|")
 EXTENSIONS = ("csv", "tsv", "txt", "xlsx")
@@ -71,26 +75,61 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: cast(c, k) for c, k in types.items() if k != "string"})
 
 
+@contextmanager
+def charsets(spark: SparkSession, encoding: str) -> Iterator[None]:
+    """Lets Spark read GBK, which it knows only with this setting, and puts the setting back."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name)
+    try:
+        if encoding == "GBK":
+            spark.conf.set(name, "true")
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _first_row(spark: SparkSession, files: list[str], raw: T.StructType, options: dict) -> tuple[int, list] | None:
+    """The first of the files that has a row, and that row, the header."""
+    for i, f in enumerate(files):
+        found = spark.read.schema(raw).options(**options).csv(f).head(1)
+        if found:
+            return i, list(found[0])
+    return None
+
+
 def read_delimited(spark: SparkSession, path: str, keep_text: bool = False) -> Table:
-    """A file with a header row. Short rows get nulls, long ones further columns; cells are trimmed, and those that mark
-    a missing value are null. With keep_text, columns stay text."""
+    """A file, or a folder of part files in the order of their names, of which the first begins with a header row.
+    Short rows get nulls, long ones further columns; cells are trimmed, and those that mark a missing value are null.
+    With keep_text, columns stay text. Where a quoted cell goes on in the next line, a file is read by one task each,
+    else files are split. GBK is decoded once and stored, other text is read when it is needed."""
     lines = raw_lines(spark, path)
     encoding = encoding_of(lines)
-    if encoding == "GBK":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark knows Unicode and Latin encodings only
     head = [x.line.encode("latin-1").decode(encoding, "replace") for x in lines.filter("line is not null").head(50)]
     sep = delimiter_of(head, extension(path))
-    width = lines.agg(F.max(F.size(F.split("line", f"\\Q{sep}\\E", -1)))).first()[0] or 1
-    raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    options = {"sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
-    first = spark.read.schema(raw).options(**options).csv(path).head(1)
-    if not first:
-        raise ValueError(f"{path}: no rows")
-    header = list(first[0])
+    width, open_quotes = lines.agg(F.max(F.size(F.split("line", f"\\Q{sep}\\E", -1))), F.max(F.regexp_count("line", F.lit('"')) % 2)).first()
+    width, broken = width or 1, bool(open_quotes)
+    files = sorted(unquote(f) for f in lines.inputFiles())
+    options = {"sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": broken}
+    with charsets(spark, encoding):
+        while True:
+            raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+            first = _first_row(spark, files, raw, options)
+            if first is None:
+                raise ValueError(f"{path}: no rows")
+            at, header = first
+            reader = lambda head: spark.read.schema(raw).options(**options, header=head, enforceSchema=True)  # noqa: B023, E731
+            place = (F.col("_metadata.file_path").alias("__o0"), F.col("_metadata.file_block_start").alias("__o1"))
+            df = reader(True).csv(files[at]).select(*raw.names, *place)
+            if files[at + 1 :]:  # parts after the first have no header
+                df = df.unionByName(reader(False).csv(files[at + 1 :]).select(*raw.names, *place))
+            df = df.withColumn("__o2", F.monotonically_increasing_id())
+            if encoding == "GBK":
+                df = stored(df, "decoded")
+            full = df.agg(*(F.max(F.when(F.col(c).isNotNull(), 1)).alias(c) for c in raw.names)).first()
+            if not (broken and (full[-1] or header[-1])):  # a row over several lines may have more cells than any line
+                break
+            width *= 2
     used = max([i + 1 for i, x in enumerate(header) if x is not None], default=1)
-    df = spark.read.schema(raw).options(**options, header=True, enforceSchema=True).csv(path)
-    df = df.select(*raw.names, F.col("_metadata.file_path").alias("__o0"), F.col("_metadata.file_block_start").alias("__o1"), F.monotonically_increasing_id().alias("__o2"))
-    full = df.agg(*(F.max(F.when(F.col(c).isNotNull(), 1)).alias(c) for c in raw.names)).first()
     width = max([used, *(i + 1 for i, c in enumerate(raw.names) if full[c])])  # separators within quotes made it too large
     names = header_names([(header[i] or "").lstrip("﻿") for i in range(used)] + [""] * (width - used))
     cells = [F.when(~trimmed(F.col(f"c{i}")).isin(*NULL_MARKERS), trimmed(F.col(f"c{i}"))).alias(n) for i, n in enumerate(names)]

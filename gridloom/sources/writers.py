@@ -16,9 +16,9 @@ BOM = "﻿"
 
 def write_delimited(t: Table, path: str, sep: str = ",") -> None:
     """Part files that, one after the other, are one file: a byte order mark, the header, and the rows in order; null is
-    the empty text. Rows are dealt to parts by range, so no task holds more than its share."""
+    the empty text, and quotes within a cell are doubled. Rows are dealt to parts by range, so no task holds more than its share."""
     spark = t.df.sparkSession
-    options = {"sep": sep, "nullValue": "", "emptyValue": "", "quoteAll": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    options = {"sep": sep, "escape": '"', "nullValue": "", "emptyValue": "", "quoteAll": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     line = F.to_csv(F.struct(*(F.col(c).cast("string").alias(c) for c in t.columns)), options)
     rows = t.numbered().select("__pos", line.alias("value"))
     names = spark.range(1).select(F.lit(0).cast("long").alias("__pos"), F.concat(F.lit(BOM), F.to_csv(F.struct(*(F.lit(c).alias(f"c{i}") for i, c in enumerate(t.columns))), options)).alias("value"))

@@ -30,13 +30,21 @@ def test_profile_and_issues(spark):
 
 def test_pages_show_every_row_once(spark):
     t = Table.of(spark.range(23), "id")
-    assert [r.id for r in profile.preview(t, 1, 5).collect()] == [5, 6, 7, 8, 9]
-    assert sorted(r.id for k in range(5) for r in profile.preview(t, k, 5, shuffled=True).collect()) == list(range(23))
+    assert [r.id for r in profile.preview(t, 2, 5).collect()] == [5, 6, 7, 8, 9]
+    assert [r.id for r in profile.preview(t, 99, 5).collect()] == [20, 21, 22]
+    assert sorted(r.id for k in range(1, 6) for r in profile.preview(t, k, 5, shuffled=True).collect()) == list(range(23))
+
+
+def test_shuffled_pages_differ():
+    for n in (1, 2, 3, 10, 97, 1000):
+        assert sorted(p for k in range(1, n // 7 + 2) for p in profile.shuffled_places(n, k, 7)) == list(range(n))
+    assert profile.shuffled_places(1000, 1, 7) != profile.shuffled_places(1001, 1, 7) and profile.shuffled_places(0, 1, 7) == []
 
 
 def test_suggestions():
     assert profile.mapping_suggestions(["id", "x", "时间"]) == [("id", "device_id"), ("时间", "timestamp")]
     assert ("order_id", "order_id", "left") in profile.join_suggestions(["order_id", "x"], ["order_id"])
+    assert profile.join_suggestions(["temp", "my col", "a_code"], ["Temperature_C", "my_col", "a_code"]) == [("temp", "Temperature_C", "inner"), ("a_code", "a_code", "left")]
 
 
 def test_mapping_names():

@@ -31,6 +31,29 @@ def test_encoding_delimiter_and_types(spark, tmp_path):
     assert dict(t.rows().dtypes) == {"a": "bigint", "b": "bigint", "c": "double"}
 
 
+def test_cells_over_several_lines(spark, tmp_path):
+    t = read_delimited(spark, put(tmp_path / "m.csv", '"a, ""x""",b\n1,"two\nlines"\n2,"q ""z"", \n\n w",3,"e\n",f\n3,plain\n'))
+    assert t.columns == ["a,_\"x\"", "b", "column_3", "column_4", "column_5"]
+    assert [tuple(r) for r in t.ordered().collect()] == [(1, "two\nlines", None, None, None), (2, 'q "z", \n\n w', 3, "e", "f"), (3, "plain", None, None, None)]
+    gbk = put(tmp_path / "g.csv", '名,值\n甲,"一\n二"\n'.encode("gbk"))
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    t = read_delimited(spark, gbk)
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
+    assert [tuple(r) for r in t.ordered().collect()] == [("甲", "一\n二")]
+
+
+@pytest.mark.parametrize("kind", ["csv", "tsv", "txt"])
+@pytest.mark.parametrize("breaks", [False, True])
+def test_what_is_written_is_read_back(spark, tmp_path, kind, breaks):
+    rows = [(i, (None, 'a "b", c', "x\ty", "two\nlines" if breaks else "a;b", "'", '"')[i % 6], i / 4, f"n{i % 3}") for i in range(200)]
+    t = Table.of(spark.createDataFrame(rows, "id long, s string, v double, t string").repartition(5), "id")
+    path = str(tmp_path / f"out.{kind}")
+    getattr(writers, f"write_{kind}")(t, path)
+    assert len(list((tmp_path / f"out.{kind}").glob("part-*"))) > 1
+    back = read_delimited(spark, path)
+    assert back.columns == t.columns and [tuple(r) for r in back.ordered().collect()] == rows
+
+
 def test_sniffing():
     assert delimiter_of(["a;b;c", "1,2;3;4"], "csv") == ";" and delimiter_of(["abc"], "csv") == "|" and delimiter_of(["a,b"], "tsv") == "\t"
     assert extension("/x/Y.CSV") == "csv"
@@ -70,7 +93,7 @@ def lines(path):
 def test_writers(spark, tmp_path):
     t = Table.of(spark.createDataFrame([(3, 'q "x", y', None), (1, "", 1.5), (2, "plain", 2.0)], "id long, s string, v double"), "id")
     writers.write_csv(t, str(tmp_path / "csv"))
-    assert lines(tmp_path / "csv") == ["﻿id,s,v", "1,,1.5", "2,plain,2.0", '3,"q \\"x\\", y",']
+    assert lines(tmp_path / "csv") == ["﻿id,s,v", "1,,1.5", "2,plain,2.0", '3,"q ""x"", y",']
     writers.write_tsv(t, str(tmp_path / "tsv"))
     assert lines(tmp_path / "tsv")[0] == "﻿id\ts\tv"
     writers.write_quality_report(t, "demo", str(tmp_path / "report"), profile.Rules(primary_key="id"))
