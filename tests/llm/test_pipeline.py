@@ -1,8 +1,9 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
-from gridloom.llm import minhash, mix
+from gridloom.llm import embdup, minhash, mix
 from gridloom.llm.components import connected_components
 
 from . import tables
@@ -128,3 +129,24 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
         monkeypatch.setattr(minhash, "BLOCK", block)
         got = {r.doc_id: r.component_id for r in minhash.near_duplicates(tables.documents(spark, rows), k=4).collect()}
         assert got == want
+
+
+def test_dense_groups_of_vectors(spark, monkeypatch):
+    """Vectors around one, many near the threshold, with copies; in listed buckets, in blocks, and in both."""
+    r = np.random.default_rng(6)
+    axis = r.normal(size=(3, 24))
+    rows = [(i, (axis[i % 3] / np.linalg.norm(axis[i % 3]) + r.normal(size=24) * (0.03 + 0.08 * (i % 5 == 0))).tolist(), i % 2) for i in range(150)]
+    rows += [(1000 + i, rows[7 * i][1], rows[7 * i][2]) for i in range(8)] + [(2000 + i, r.normal(size=24).tolist(), 0) for i in range(40)]
+    x = np.array([v for _, v, _ in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([k for _, _, k in rows])
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(rows), dtype=bool)
+    root = embdup._components(near)
+    want = {rows[i][0]: (int(near[i].sum()), min(rows[j][0] for j in np.flatnonzero(root == root[i]))) for i in range(len(rows))}
+    assert near.sum() > 2000
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for listed, block in ((32, 512), (4, 16), (10_000, 512)):
+        monkeypatch.setattr(embdup, "LISTED", listed)
+        monkeypatch.setattr(embdup, "BLOCK", block)
+        got = {g.vec_id: (g.n_links, g.component_id) for g in embdup.near_duplicates(table).collect()}
+        assert got == want
