@@ -281,19 +281,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     bands = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band", "bucket"))
     counts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1")
     members = written(bands.join(counts, "bucket"), "members")
-    ids = members.select(F.col("rep").alias("id")).distinct()
+    # Members and their pairs grow with the documents, so what they are joined with is merged at every size: Spark would
+    # broadcast them while they are few.
+    ids = written(members.select(F.col("rep").alias("id")).distinct(), "ids").hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
     if real.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["id", "text"])
     texts = written(texts, "texts")
     sigs = written(classes.select("rep", "signature").join(ids.withColumnRenamed("id", "rep"), "rep"), "signatures")
 
-    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def linked(pairs: DataFrame, many: bool = False) -> tuple[DataFrame, DataFrame]:
         pairs = written(promising(pairs, sigs, least).distinct(), "pairs")
-        return pairs, written(verified(pairs, texts, k, percent), "links")
+        return pairs, written(verified(pairs.hint("merge") if many else pairs, texts, k, percent), "links")
 
     first = members.filter("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    tried, links = linked(first)
+    tried, links = linked(first, True)
     component = written(connected_components(links), "components")
     members = members.select("bucket", "band", "n", "rep")
     for best_only in (True, False):
