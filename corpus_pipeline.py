@@ -38,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays, by all their columns. Documents without words or without an id stay as they are, each of their rows."""
     if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         found = written(minhash.near_duplicates(docs), "near-dedup")
-        return docs.join(found.filter("kept and doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+        kept = found.filter("kept and doc_id is not null").select("doc_id").hint("merge")  # most ids, however few there are
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
     p = free_prefix(docs)
     unit, digest, n = p + "unit", p + "digest", p + "n"
     named = docs.filter("doc_id is not null").withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
