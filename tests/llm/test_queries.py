@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gridloom.llm import embdup, gbt, langid, qda, quality, stats
+from gridloom.llm import embdup, gbt, langid, pieces, qda, quality, stats
 from gridloom.llm.queries import QUERIES
 
 from . import tables
@@ -87,6 +87,39 @@ def test_op2_without_labels(spark, tmp_path):
     assert {r.score for r in rows} == {0.5}
 
 
+def test_op3_verdicts(spark, folder):
+    """kept, by a walk through the trees node by node."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    f = quality.fit_rules(docs, labels)
+
+    def walk(node, row):
+        while f.left[node] != node:
+            node = f.left[node] if row[f.feature[node]] <= f.threshold[node] else f.right[node]
+        return f.value[node]
+
+    want = Counter()
+    for i, t, _, _ in rows_of(spark, folder):
+        counts, x = stats.document_stats([t])
+        n, repeat = counts[0][0], counts[0][4]
+        failed = n < 50 or 100 * repeat > 50 * n
+        want[i, bool(not failed and 1 / (1 + np.exp(-f.base - sum(walk(r, x[0]) for r in f.roots))) >= quality.THRESHOLD)] += 1
+    assert Counter((g.doc_id, g.kept) for g in QUERIES["op3_tree_rules"](spark, folder).collect()) == want
+
+
+def test_features_in_plain_words():
+    """The inputs of the classifiers, counted by hand."""
+    text = "Ab ab #x\nab ab #x\n\nZ9, é"
+    x = dict(zip(stats.FEATURES, stats.document_stats([text])[1][0], strict=True))
+    w = text.split()
+    chars, letters = len(text), [c for c in text if c.isascii() and c.isalpha()]
+    want = {
+        "words": len(w), "word_length": sum(map(len, w)) / len(w), "upper_share": sum(c.isupper() for c in letters) / len(letters), "symbol_share": text.count("#") / chars,
+        "punctuation_share": text.count(",") / chars, "digit_share": 1 / chars, "dup_line_share": 0.0, "repeat_share": 0.0, "unique_share": len(set(w)) / len(w), "lines_per_word": 3 / len(w),
+        "non_ascii_share": 2 / len(text.encode()), "echo_share": sum(a == b for a, b in zip(w, w[1:])) / len(w), "top_word_share": max(Counter(w).values()) / len(w),
+    }
+    assert x == pytest.approx(want)
+
+
 def test_op3(spark, folder):
     got = Counter(tuple(r)[:8] for r in QUERIES["op3_tree_rules"](spark, folder).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect())
     seen = Counter()
@@ -182,6 +215,58 @@ def test_narrow_embeddings(spark, width):
     assert {g.vec_id: (g.n_links, g.component_id) for g in got} == {i: (len(links.get(i, ())), comp.get(i, i)) for i, _, _ in rows}
 
 
+M64 = (1 << 64) - 1
+
+
+def test_op6_draws(spark, folder):
+    """The descent, from the same uniform draws, in plain Python."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.shard import topology
+
+    def draws(name):
+        h = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.xxhash64("doc_id", F.lit(name)).alias("h")).distinct().collect()
+        return {r.doc_id: (((r.h & M64) >> 11) + 0.5) * 2.0**-53 for r in h}
+
+    def descend(n):
+        tree = {}
+        for x in topology(n):
+            tree.setdefault(x.region, {}).setdefault(x.rack, {})[x.shard] = 1.0
+        weight = lambda node: sum(map(weight, node.values())) if isinstance(node, dict) else node
+        names = {("tree/region", r) for r in tree} | {(f"tree/rack/{r}", k) for r in tree for k in tree[r]} | {(f"tree/shard/{r}/{k}", s) for r in tree for k in tree[r] for s in tree[r][k]}
+        u = {at: draws(f"{at[0]}/{at[1]}") for at in names}
+        out = {}
+        for key in next(iter(u.values())):
+            pick = lambda level, node: min(node, key=lambda k: (-np.log(u[level, k][key]) / weight(node[k]), k))  # noqa: B023, E731
+            r = pick("tree/region", tree)
+            k = pick(f"tree/rack/{r}", tree[r])
+            out[key] = pick(f"tree/shard/{r}/{k}", tree[r][k])
+        return out
+
+    now, grown = descend(16), descend(17)
+    for g in QUERIES["op6_hash_tree"](spark, folder).collect():
+        assert (g.shard, g.grown_shard) == (now[g.doc_id], grown[g.doc_id])
+
+
+def test_equal_rows_in_masses(spark):
+    """Most rows are the same one: each gets a slot of its own and is taken for itself."""
+    from gridloom.llm import mix
+    from gridloom.llm.shard import shard_documents
+
+    rows = [(None, "same words here", "en", "s")] * 9000 + [(i, tables.prose(i, 20), "en", "t") for i in range(300)]
+    docs = tables.documents(spark, rows)
+    got = shard_documents(docs).collect()
+    of = defaultdict(list)
+    for g in got:
+        of[g.shard].append(g.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in of.values())
+    taken = mix.taken_words(docs).collect()
+    assert len(taken) == len(rows) and all(0 <= t.taken <= 3 * t.size for t in taken)
+    for source, size in (("s", 27000), ("t", 6000)):
+        mine = [t for t in taken if t.source_size == size]
+        assert abs(sum(t.taken for t in mine) - mine[0].target) <= 1, source
+
+
 def test_op6(spark, folder):
     got = QUERIES["op6_hash_tree"](spark, folder).collect()
     rows = rows_of(spark, folder)
@@ -210,9 +295,35 @@ def test_op6_growth_and_weights(spark):
     assert moved and all(y in (2, 3) for _, y in moved)
 
 
+def whole_viterbi(v, text):
+    """Ids of a text by the search over all its places at once."""
+    if not text:
+        return []
+    out = []
+    for k, part in enumerate(text.split("▁")):
+        out += [v.byte[b] for b in "▁".encode()] if k else []
+        s = ("▁" if not k else "") + part.replace(" ", "▁")
+        best, back = [0] + [None] * len(s), [None] * (len(s) + 1)
+        for j in range(1, len(s) + 1):
+            for i in range(max(0, j - v.longest), j):
+                if s[i:j] in v.piece and (best[j] is None or best[i] + v.score[s[i:j]] > best[j]):
+                    best[j], back[j] = best[i] + v.score[s[i:j]], (i, v.piece[s[i:j]])
+            if best[j] is None or best[j - 1] + v.unknown > best[j]:
+                best[j], back[j] = best[j - 1] + v.unknown, (j - 1, None)
+        ids, j = [], len(s)
+        while j:
+            i, piece = back[j]
+            ids.append([piece] if piece is not None else [v.byte[b] for b in s[i:j].encode()])
+            j = i
+        out += [x for run in ids[::-1] for x in run]
+    return out
+
+
 def test_op7(spark, folder):
     got = QUERIES["op7_viterbi_pieces"](spark, folder).collect()
     rows = rows_of(spark, folder)
+    v = pieces.encoder(pieces.default_model()).vocabulary
+    assert Counter((g.doc_id, tuple(g.ids)) for g in got) == Counter((i, tuple(whole_viterbi(v, t))) for i, t, _, _ in rows)
     assert all(g.exact and g.text_crc32 == g.decoded_crc32 and g.n_ids == len(g.ids) for g in got)
     assert Counter((g.doc_id, g.text_crc32) for g in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
 
@@ -266,6 +377,44 @@ def test_op10(spark, folder):
     assert all(0 <= g.score <= 1 and g.lang_pred in ("en", "fr", "und") for g in got)
 
 
+def test_op10_scores(spark, folder):
+    """Terms, frequencies and scores by dictionaries; the weights are the model's own."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    got = defaultdict(list)
+    for g in QUERIES["op10_ngram_ftrl"](spark, folder).collect():
+        got[g.doc_id].append((g.lang_pred, round(g.score, 6)))
+
+    def term(gram):
+        h = (ord(gram[0]) * int(langid._FACTORS[0]) + int(langid._SEEDS[len(gram) - 1])) & 0xFFFFFFFF
+        for k, c in enumerate(gram[1:], 1):
+            h = ((h ^ h >> 15) * int(langid._FACTORS[k]) + ord(c)) & 0xFFFFFFFF
+        h ^= h >> 13
+        return ((h * int(langid._FACTORS[1])) & 0xFFFFFFFF) >> 17
+
+    def expected(text):
+        low = (text or "").lower()
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        grams = Counter(low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1))
+        total = sum(grams.values())
+        z = np.array([sum(c * float(row[term(g)]) for g, c in grams.items()) / total for row in model.table]) + model.bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        return model.langs[int(p.argmax())], round(float(p.max()), 6)
+
+    want = defaultdict(list)
+    for i, t, _, _ in rows_of(spark, folder):
+        want[i].append(expected(t))
+    assert set(got) == set(want)
+    for i in want:
+        for (a, p), (b, q) in zip(sorted(got[i]), sorted(want[i]), strict=True):
+            assert a == b and abs(p - q) < 1e-5
+    df, n = langid.document_frequencies(docs.filter("text is not null"))
+    seen = Counter(t for _, x, _, _ in rows_of(spark, folder) if x and any(map(str.isalpha, x)) for t in {term(x.lower()[i : i + k]) for k in (1, 2, 3) for i in range(len(x.lower()) - k + 1)})
+    assert {int(t): int(df[t]) for t in np.flatnonzero(df)} == dict(seen)
+
+
 def test_rare_languages_are_learnt(spark):
     """Two languages of 40 and 2 documents among 2,000, beyond what a sample of 30 is sure to hold."""
     r = np.random.default_rng(8)
