@@ -84,6 +84,17 @@ KINDS_TOGETHER = {
     ("state", "text"): 0.72, ("event", "text"): 0.66, ("event", "state"): 0.35,
 }
 
+# How alike names are of which one holds the other; the shares of words and letter pairs; from where on a
+# name binds a column, or stands for a key; how well unknown, half known and convertible units go together; the least
+# score of kinds under one name; the parts of a binding's score; all scores of a column bound to none.
+CONTAINED = 0.86
+WORD_SHARE, PAIR_SHARE = 0.7, 0.3
+LEAST_TO_BIND, LEAST_FOR_KEY = 0.68, 0.84
+BOTH_UNKNOWN, ONE_UNKNOWN, CONVERTIBLE = 0.72, 0.82, 0.94
+SAME_NAME_KIND = 0.72
+NAME_PART, KIND_PART, UNIT_PART = 0.6, 0.25, 0.15
+UNBOUND = 0.55
+
 
 def plain(name: str) -> str:
     return "".join(c.lower() for c in name if c.isalnum())
@@ -107,12 +118,12 @@ def alike(a: str, b: str) -> float:
     if a == b:
         return 1.0
     if a in b or b in a:
-        return 0.86
+        return CONTAINED
     x, y = words_of(a), words_of(b)
     words = len(x & y) / len(x | y) if x and y else 0.0
     p, q = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (plain(a), plain(b)))
     pairs = len(p & q) / len(p | q) if p and q else 0.0
-    return max(words, 0.7 * words + 0.3 * pairs)
+    return max(words, WORD_SHARE * words + PAIR_SHARE * pairs)
 
 
 def value_kind(name: str, numeric: bool) -> str:
@@ -143,8 +154,8 @@ def units_score(a: Unit | None, b: Unit | None, kind_a: str, kind_b: str) -> flo
     if kind_a != "continuous" or kind_b != "continuous":
         return 1.0
     if a is None or b is None:
-        return 0.72 if a is b else 0.82
-    return 1.0 if a == b else 0.94 if a.domain == b.domain else 0.0
+        return BOTH_UNKNOWN if a is b else ONE_UNKNOWN
+    return 1.0 if a == b else CONVERTIBLE if a.domain == b.domain else 0.0
 
 
 @dataclass(frozen=True)
@@ -170,16 +181,16 @@ def bind(column: str, numeric: bool, primary: dict[str, bool], by_meaning: bool
     if column in primary:
         k, u = scores(column)
         if (k > 0 or not by_kind) and u > 0:
-            return Binding(column, column, 1.0, max(k, 0.72), u)
+            return Binding(column, column, 1.0, max(k, SAME_NAME_KIND), u)
     best: Binding | None = None
     for p in primary if by_meaning else ():
         s = alike(canonical(p), canonical(column))
         k, u = scores(p)
-        if s >= 0.68 and (k > 0 or not by_kind) and u > 0:
-            total = 0.6 * s + 0.25 * k + 0.15 * u
+        if s >= LEAST_TO_BIND and (k > 0 or not by_kind) and u > 0:
+            total = NAME_PART * s + KIND_PART * k + UNIT_PART * u
             if best is None or total > best.semantic:
                 best = Binding(column, p, total, k, u)
-    return best or Binding(column, None, 0.55, 0.55, 0.55)
+    return best or Binding(column, None, UNBOUND, UNBOUND, UNBOUND)
 
 
 def counterpart(name: str, columns: list[str]) -> str | None:
@@ -189,4 +200,4 @@ def counterpart(name: str, columns: list[str]) -> str | None:
             return c
     scored = [(alike(canonical(name), canonical(c)), c) for c in columns]
     top = max((s for s, _ in scored), default=0.0)
-    return next((c for s, c in scored if s == top), None) if top >= 0.84 else None
+    return next((c for s, c in scored if s == top), None) if top >= LEAST_FOR_KEY else None
