@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.parsing import FUSION, as_fusion_time, as_number, blank, is_number, is_text, number, text_of, time, trimmed
-from ..plans.table import Key, Table, carried, in_blocks, running_sum, stored
+from ..plans.table import Key, Table, carried_both, in_blocks, running_sum, stored
 from . import fusion_names as names
 from .profile import duplicate_rows
 
@@ -132,10 +132,9 @@ def filled_by_key(df: DataFrame, columns: list[str], how: str, order: list[str],
         return df
     rows = Table(df, tuple(Key(c) for c in ("__key", *order))).numbered()
     mark = {c: F.when(~blank(df, c), F.struct(F.col(c).alias("v"), F.col("__ts").alias("ts"), F.col("__pos").alias("n"))) for c in columns}
-    if how != "backward":
-        rows = carried(rows, {f"__a_{c}": x for c, x in mark.items()}, [F.col("__key")])
-    if how != "forward":
-        rows = carried(rows, {f"__b_{c}": x for c, x in mark.items()}, [F.col("__key")], forward=False)
+    before = {f"__a_{c}": x for c, x in mark.items()} if how != "backward" else {}
+    after = {f"__b_{c}": x for c, x in mark.items()} if how != "forward" else {}
+    rows = carried_both(rows, before, after, [F.col("__key")])
     out, hit = {}, F.lit(False)
     for c in columns:
         a, b = F.col(f"__a_{c}"), F.col(f"__b_{c}")
@@ -183,8 +182,7 @@ def last_and_next(asking: DataFrame, answers: DataFrame, keys: list[str]) -> Dat
     both = asking.withColumns({"x": F.lit(None).cast(answers.schema["x"].dataType), "__asks": F.lit(True)})
     both = both.unionByName(answers.select(*keys, "__t", "x").withColumns({**empty, "__asks": F.lit(False)}))
     rows = Table(both, tuple(Key(c) for c in (*keys, "__t", "__asks"))).numbered()  # answers come before those who ask at their time
-    by = [F.col(k) for k in keys]
-    rows = carried(carried(rows, {"__last": F.col("x")}, by), {"__next": F.col("x")}, by, forward=False)
+    rows = carried_both(rows, {"__last": F.col("x")}, {"__next": F.col("x")}, [F.col(k) for k in keys])
     return rows.filter("__asks").select(*asks, "__last", "__next")
 
 

@@ -171,24 +171,30 @@ def _handed_on(df: DataFrame, end: Column, combine, forward: bool) -> DataFrame:
 
 def carried(numbered: DataFrame, values: dict[str, Column], keys: list[Column] = (), forward: bool = True) -> DataFrame:
     """Adds columns: of each value, the last that is not null up to the row among the rows of its key, or the first
-    from it on. The numbering must begin with the keys. Runs are filled each on their own, so the rows of one key may
-    be dealt over many tasks; what a run hands on is one row."""
-    names = list(values)
-    df = numbered.withColumns({"__run_key": _key(list(keys)), **{f"__v{i}": v for i, v in enumerate(values.values())}})
-    inside = Window.partitionBy("__part", "__run_key").orderBy(F.col("__pos").asc() if forward else F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def pick(i: int) -> Column:
-        at = F.when(F.col(f"__v{i}").isNotNull(), F.col("__pos"))
-        return (F.max_by if forward else F.min_by)(f"__v{i}", at).alias(f"v{i}")
-
-    def combine(end: str, w: Window) -> Column:
-        return F.struct(*(F.last(F.col(end)[f"v{i}"], ignorenulls=True).over(w).alias(f"v{i}") for i in range(len(names))))
-
-    before = _handed_on(df, F.struct(*(pick(i) for i in range(len(names)))), combine, forward)
-    df = df.withColumns({f"__i{i}": F.last(f"__v{i}", ignorenulls=True).over(inside) for i in range(len(names))})
-    df = df.join(F.broadcast(before), ["__part", "__run_key"], "left")
-    df = df.withColumns({n: F.coalesce(f"__i{i}", F.col("__before")[f"v{i}"]) for i, n in enumerate(names)})
-    return df.drop("__run_key", "__before", *(f"__{x}{i}" for x in "vi" for i in range(len(names))))
+    from it on. The numbering must begin with the keys."""
+    return carried_both(numbered, values if forward else {}, {} if forward else values, keys)
+
+
+def carried_both(numbered: DataFrame, before: dict[str, Column], after: dict[str, Column], keys: list[Column] = ()) -> DataFrame:
+    """Adds `before`, values carried forward, and `after`, values carried backward. Runs are filled each on their own,
+    so the rows of one key may be dealt over many tasks; what a run hands on is one row."""
+    df = numbered.withColumn("__run_key", _key(list(keys)))
+    df = df.withColumns({f"__v{way}{i}": v for way, values in enumerate((before, after)) for i, v in enumerate(values.values())})
+    out, spare = df, ["__run_key"]
+    for way, values in enumerate((before, after)):
+        if not values:
+            continue
+        n, forward, handed = len(values), way == 0, f"__handed{way}"
+        inside = Window.partitionBy("__part", "__run_key").orderBy(F.col("__pos").asc() if forward else F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        at = lambda c: F.when(F.col(c).isNotNull(), F.col("__pos"))
+        ends = F.struct(*((F.max_by if forward else F.min_by)(f"__v{way}{i}", at(f"__v{way}{i}")).alias(f"v{i}") for i in range(n)))
+        combine = lambda end, w: F.struct(*(F.last(F.col(end)[f"v{i}"], ignorenulls=True).over(w).alias(f"v{i}") for i in range(n)))  # noqa: B023, E731
+        handed_on = _handed_on(df, ends, combine, forward).withColumnRenamed("__before", handed)
+        out = out.withColumns({f"__i{way}{i}": F.last(f"__v{way}{i}", ignorenulls=True).over(inside) for i in range(n)})
+        out = out.join(F.broadcast(handed_on), ["__part", "__run_key"], "left")  # two rows for each run at most
+        out = out.withColumns({name: F.coalesce(f"__i{way}{i}", F.col(handed)[f"v{i}"]) for i, name in enumerate(values)})
+        spare += [handed, *(f"__{x}{way}{i}" for x in "vi" for i in range(n))]
+    return out.drop(*spare)
 
 
 def running_sum(numbered: DataFrame, name: str, value: Column, keys: list[Column] = ()) -> DataFrame:
