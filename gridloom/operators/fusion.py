@@ -13,16 +13,19 @@ from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.parsing import FUSION, as_fusion_time, as_number, blank, is_number, is_text, number, text_of, time, trimmed
-from ..plans.table import Key, Table, carried_both, in_blocks, running_sum, stored
+from ..plans.table import Key, Table, carried_both, in_blocks, running_sum
 from . import fusion_names as names
+from .alignment import Source, aligned
 from .profile import duplicate_rows
 
 MODES = ("exact", "exact_then_nearest", "nearest", "exact_then_window", "window", "resample")
 MODE_NAMES = {"按时间精确对齐": "exact", "精确优先，最近邻兜底": "exact_then_nearest", "按最近邻对齐": "nearest", "精确优先，时间窗聚合兜底": "exact_then_window", "按时间窗聚合": "window", "按重采样对齐": "resample"}
 STRATEGIES = ("primary_first", "secondary_first", "confidence_weighted", "numeric_average", "complementary", "keep_conflict")
+AVERAGING = ("confidence_weighted", "numeric_average")
 STRATEGY_NAMES = {"辅源优先": "secondary_first", "质量加权": "confidence_weighted", "数值均值": "numeric_average", "互补填充": "complementary", "冲突保留": "keep_conflict"}
 FILLS = ("keep_null", "forward", "backward", "nearest", "linear", "window_mean")
 FILL_NAMES = {"前向填充": "forward", "后向填充": "backward", "前后就近填充": "nearest", "线性插值": "linear", "窗口均值": "window_mean"}
@@ -173,107 +176,6 @@ def source_confidence(t: Table, name: str) -> float:
     return min(max(score, 0.25), 1.0)
 
 
-def last_and_next(asking: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """asking: __id, keys, __t and more; answers: keys, __t, x. Adds __last, the x of the last answer of the key at or
-    before __t, and __next, that of the first one after it. Both sides are put in one order by key and time and
-    carried along it, so that no pairs are formed, however many rows a key has."""
-    asks = asking.columns
-    empty = {c: F.lit(None).cast(asking.schema[c].dataType) for c in asks if c not in (*keys, "__t")}
-    both = asking.withColumns({"x": F.lit(None).cast(answers.schema["x"].dataType), "__asks": F.lit(True)})
-    both = both.unionByName(answers.select(*keys, "__t", "x").withColumns({**empty, "__asks": F.lit(False)}))
-    rows = Table(both, tuple(Key(c) for c in (*keys, "__t", "__asks"))).numbered()  # answers come before those who ask at their time
-    rows = carried_both(rows, {"__last": F.col("x")}, {"__next": F.col("x")}, [F.col(k) for k in keys])
-    return rows.filter("__asks").select(*asks, "__last", "__next")
-
-
-def nearest(primary: DataFrame, secondary: DataFrame, keys: list[str], exact_first: bool, limit: int | None) -> DataFrame:
-    """primary: __pid, keys, __ts; secondary: keys, __sts, __sat, x. For each primary row the x of the secondary row
-    with the least distance in whole seconds, at most `limit`: __pid, x, __sts, d. Of rows as near the earliest counts;
-    with exact_first one of the very time goes before all."""
-    second = F.expr("INTERVAL '1' SECOND")
-    one = secondary.groupBy(*keys, "__sts").agg(F.min_by("x", "__sat").alias("x"))  # of rows of one time only the first can be chosen
-    s = one.select(*keys, F.col("__sts").alias("__t"), F.struct("__sts", "x").alias("x"))
-    probes = s.select(F.lit(None).cast("long").alias("__pid"), *keys, (F.col("__t") - F.expr("INTERVAL '1' MICROSECOND")).alias("__t"))
-    p = primary.select("__pid", *keys, F.col("__ts").alias("__t"))
-    found = stored(last_and_next(p.unionByName(probes), s, keys), "neighbours")
-    # Two rows of one key within a second may be as near to a third one.
-    close = found.filter(F.col("__pid").isNull() & (F.timestamp_diff("MICROSECOND", F.col("__last.__sts"), F.col("__t")) < 999_999)).limit(1).count()
-    found = found.filter("__pid is not null")
-    away = lambda c: F.abs(F.timestamp_diff("SECOND", F.col("__t"), F.col(f"{c}.__sts")))
-    hit = F.coalesce(F.col("__last.__sts") == F.col("__t"), F.lit(False)) & F.lit(exact_first)
-    back = F.col("__last").isNotNull() & (hit | F.col("__next").isNull() | (away("__last") <= away("__next")))
-    found = found.withColumn("__back", back).withColumn("d", F.when(back, away("__last")).otherwise(away("__next")))
-    chosen = F.when(F.col("__back"), F.col("__last")).otherwise(F.col("__next"))
-    if close:
-        again = found.filter(F.col("__back") & ~hit).select("__pid", *keys, (F.col("__t") - second * (F.col("d") + 1)).alias("__t"))
-        first = last_and_next(again, s, keys).select("__pid", F.col("__next").alias("__first"))
-        found = found.join(first, "__pid", "left")
-        chosen = F.coalesce("__first", chosen)
-    found = found.filter("d is not null" if limit is None else f"d <= {limit}").withColumn("__chosen", chosen)
-    return found.select("__pid", F.col("__chosen.x").alias("x"), F.col("__chosen.__sts").alias("__sts"), "d", hit.alias("hit"))
-
-
-def matched(primary: DataFrame, secondary: DataFrame, columns: list[str], request: Request) -> DataFrame:
-    """primary: __pid, __key, __ts. For each primary row with a match: __pid, cells (a struct of the columns as c0, c1
-    and so on), distance (seconds), anomalies, how ('exact', 'near', 'window', 'bucket') and rows.
-
-    Nearest rows are found without pairs. Only where windows are aggregated do rows meet, in buckets of time somewhat
-    wider than the window, each secondary row in three of them, so that even a key with very many rows is dealt over
-    many tasks and no pair of rows farther apart than two buckets is formed."""
-    mode = request.mode
-    cells = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))) if columns else F.struct(F.lit(0).alias("none"))
-    s = secondary.filter("__ts is not null").select("__key", F.col("__ts").alias("__sts"), F.col("__at").alias("__sat"), F.col("__an").alias("__san"), cells.alias("cells"))
-    p = primary.filter("__ts is not null").select("__pid", "__key", "__ts")
-    epoch = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    exact_first = mode.startswith("exact")
-    if mode in ("exact_then_nearest", "nearest", "resample"):
-        s = s.select("__key", "__sts", "__sat", F.struct("cells", F.col("__san").cast("long").alias("anomalies")).alias("x"))
-        if mode == "resample":
-            size = request.resample_seconds
-            found = nearest(p.withColumn("__b", F.floor(epoch("__ts") / size)), s.withColumn("__b", F.floor(epoch("__sts") / size)), ["__key", "__b"], False, None)
-        else:
-            found = nearest(p, s, ["__key"], exact_first, request.window_seconds)
-        how = F.when(F.col("hit"), "exact").otherwise("bucket" if mode == "resample" else "near")
-        return found.select("__pid", "x.cells", F.col("d").alias("distance"), "x.anomalies", how.alias("how"), F.lit(1).cast("long").alias("rows"))
-    if mode == "exact":
-        rows = p.join(s.withColumnRenamed("__sts", "__ts"), ["__key", "__ts"]).withColumn("__sts", F.col("__ts"))
-    else:
-        size = request.window_seconds + 1  # distances are cut to whole seconds
-        spread = s.withColumn("__b0", F.floor(epoch("__sts") / size)).withColumn("__b", F.explode(F.sequence(F.col("__b0") - 1, F.col("__b0") + 1)))
-        rows = p.withColumn("__b", F.floor(epoch("__ts") / size)).join(spread, ["__key", "__b"])
-    rows = rows.withColumn("d", F.abs(F.timestamp_diff("SECOND", F.col("__ts"), F.col("__sts")))).withColumn("other", F.col("__ts") != F.col("__sts"))
-    if mode != "exact":
-        rows = rows.filter(F.col("d") <= request.window_seconds)
-    place = F.struct(*([F.col("other")] * exact_first), "d", "__sts", "__sat")
-    one = F.min_by(F.struct("cells", F.col("d").alias("distance"), F.col("__san").cast("long").alias("anomalies"), "other"), place).alias("one")
-    if mode == "exact":
-        return rows.groupBy("__pid").agg(one).select("__pid", "one.cells", "one.distance", "one.anomalies", F.lit("exact").alias("how"), F.lit(1).cast("long").alias("rows"))
-    kinds = {i: secondary.schema[c].dataType.simpleString() for i, c in enumerate(columns)}
-    texts = [i for i in kinds if kinds[i] == "string"]
-    value = lambda i: F.col(f"cells.c{i}")
-    numeric = lambda i: as_number(value(i), FUSION) if i in texts else value(i).try_cast("double")
-    means = [F.round(F.avg(numeric(i)), 6).alias(f"m{i}") for i in kinds if kinds[i] not in ("boolean", "timestamp_ntz", "timestamp", "date")]
-    total = rows.groupBy("__pid").agg(one, *means, F.count(F.lit(1)).alias("rows"), F.sum("d").alias("sd"), F.sum("__san").cast("long").alias("san"))
-    if texts:
-        votes = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), worded(value(i), VOTES, trimmed(value(i))).alias("label")) for i in texts)))
-        v = rows.select("__pid", (1 / (1 + F.col("d"))).alias("w"), votes.alias("x")).filter("trim(x.label) != ''").groupBy("__pid", "x.i", "x.label").agg(F.sum("w").alias("w"))
-        v = v.groupBy("__pid", "i").agg(F.max_by("label", F.struct("w", "label")).alias("label")).groupBy("__pid").agg(F.map_from_entries(F.collect_list(F.struct("i", "label"))).alias("votes"))
-        total = total.join(v, "__pid", "left")
-
-    def cell(i: int) -> Column:
-        first = F.col(f"one.cells.c{i}")
-        if i in texts:
-            return F.coalesce(F.col(f"m{i}").cast("string"), F.col("votes")[F.lit(i)], first)
-        return F.coalesce(F.col(f"m{i}").cast(kinds[i]), first) if f"m{i}" in total.columns else first
-
-    both = F.struct(*(cell(i).alias(f"c{i}") for i in kinds)) if kinds else F.struct(F.lit(0).alias("none"))
-    hit = ~F.col("one.other") if exact_first else F.lit(False)
-    return total.select(
-        "__pid", F.when(hit, F.col("one.cells")).otherwise(both).alias("cells"), F.when(hit, F.col("one.distance")).otherwise(F.floor(F.col("sd") / F.col("rows"))).alias("distance"),
-        F.when(hit, F.col("one.anomalies")).otherwise(F.col("san")).alias("anomalies"), F.when(hit, "exact").otherwise("window").alias("how"), "rows",
-    )
-
-
 def merged(value: Column, weight: Column, candidates: Column, numeric: bool, strategy: str, by_confidence: bool) -> Column:
     """value with the candidates (value, weight) folded into it, in turn: a struct of value, weight and corrected."""
     x = (lambda c: c) if numeric else (lambda c: as_number(c, FUSION))
@@ -314,12 +216,10 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
     pt.require(*request.keys, request.time)
     if not secondaries:
         raise ValueError("a secondary table is needed")
-    base = pt.with_df(prepared(pt, list(request.keys), request.time, request))
-    order = [Key("__key"), Key("__ts"), Key("__at")]
-    p = Table(base.df, tuple(order)).numbered().withColumnRenamed("__pos", "__pid").drop("__part")
+    p = prepared(pt, list(request.keys), request.time, request)
     prior = source_confidence(pt, primary_name)
     kinds = {c: names.value_kind(c, is_number(p, c)) for c in pt.columns}
-    rows, skipped, sources, taken = p, [], [], {names.plain(c) for c in pt.columns}
+    skipped, sources, tables, taken = [], [], [], {names.plain(c) for c in pt.columns}
     for n, (name, st) in enumerate(secondaries):
         keys = [names.counterpart(k, st.columns) for k in request.keys]
         when = names.counterpart(request.time, st.columns)
@@ -335,15 +235,14 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
         confidence = source_confidence(st, name)
         if request.by_confidence:
             confidence = min(max(0.42 * confidence + 0.24 * semantic + 0.18 * kind_score + 0.16 * unit_score, 0.2), 1.0)
-        m = f"__m{n}"
-        found = matched(p, s, own, request)
-        rows = rows.join(found.select("__pid", F.struct("cells", "distance", "anomalies", "how", "rows").alias(m)), "__pid", "left")
-        sources.append((m, f"辅源{n + 1}", st, bindings, confidence, semantic))
+        sources.append((f"__m{len(tables)}", f"辅源{n + 1}", st, bindings, confidence, semantic))
+        tables.append(Source(s, own, lambda c: worded(c, VOTES, trimmed(c))))
     if not sources:
         raise ValueError("no secondary table can be aligned: " + "; ".join(skipped))
+    rows = aligned(p, tables, request.mode, request.window_seconds, request.resample_seconds)
 
     tags, traces, missing, new = [F.when(F.lit(False), "")], [], F.lit(0), []
-    into: dict[str, list[Column]] = {}
+    into: dict[str, list[tuple[Column, bool, bool, Column, Column]]] = {}
     weights: list[Column] = []
     anomalies, hits, fields = F.col("__an"), F.lit(0), 0
     for m, label, st, bindings, confidence, semantic in sources:
@@ -374,8 +273,8 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
             quality = F.when(cell.isNull(), 0.35).when(F.lit(kind == "continuous") & number_of(cell, numeric).isNull(), 0.55).otherwise(1.0 if kind == "continuous" else 0.9)
             w = _clamp(0.35 * weight + 0.18 * semantic + 0.18 * b.semantic + 0.14 * b.kind_score + 0.1 * b.unit_score + 0.05 * time_score + 0.05 * quality, 0.1, 1.25) if request.by_confidence else weight
             if b.into:
-                typed = number_of(cell, numeric) if is_number(p, b.into) else text_of(cell) if is_text(p, b.into) else cell.try_cast(p.schema[b.into].dataType)
-                into.setdefault(b.into, []).append(F.struct(typed.alias("v"), w.alias("w"), there.alias("there")))
+                whole = cell is raw and is_whole(st.df, b.column)
+                into.setdefault(b.into, []).append((cell, numeric, whole, w, there))
             else:
                 name, k = b.column, 2
                 while names.plain(name) in taken:
@@ -385,9 +284,13 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
                 weights.append(F.when(there, w).otherwise(F.lit(0.0)))
     own_weights = {c: primary_weight(p, c, kinds[c], prior, request.by_confidence) for c in pt.columns}
     steps: dict[str, Column] = {}
-    for c, candidates in into.items():
+    for c, listed in into.items():
         numeric = is_number(p, c)
-        start = F.col(c).cast("double") if numeric else F.when(~blank(p, c), F.col(c))
+        # Whole numbers stay whole where nothing is averaged: a double holds no more than 2^53 of them.
+        whole = is_whole(p, c) and all(x[2] for x in listed) and request.strategy not in AVERAGING
+        as_own = lambda cell, n: (cell.cast("long") if whole else number_of(cell, n)) if numeric else text_of(cell) if is_text(p, c) else cell.try_cast(p.schema[c].dataType)  # noqa: B023, E731
+        candidates = [F.struct(as_own(cell, n).alias("v"), w.alias("w"), there.alias("there")) for cell, n, _, w, there in listed]
+        start = F.col(c).cast("long" if whole else "double") if numeric else F.when(~blank(p, c), F.col(c))
         listed = F.filter(F.array(*candidates), lambda x: x["there"])
         if request.by_confidence and request.strategy != "secondary_first":
             ranked = F.array(*(F.struct((-x["w"]).alias("o"), F.lit(i).alias("i"), x["v"].alias("v"), x["w"].alias("w"), x["there"].alias("there")) for i, x in enumerate(candidates)))
@@ -423,6 +326,10 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
     return Result(table, report, skipped)
 
 
+def is_whole(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.IntegralType)
+
+
 def number_of(c: Column, numeric: bool) -> Column:
     return c.cast("double") if numeric else as_number(text_of(c), FUSION)
 

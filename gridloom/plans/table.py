@@ -197,14 +197,22 @@ def carried_both(numbered: DataFrame, before: dict[str, Column], after: dict[str
     return out.drop(*spare)
 
 
+def running_sums(numbered: DataFrame, values: dict[str, Column], keys: list[Column] = ()) -> DataFrame:
+    """Adds the sums of the values over the rows of the key up to each row; each null until its first value."""
+    n = range(len(values))
+    df = numbered.withColumns({"__run_key": _key(list(keys)), **{f"__v{i}": v for i, v in enumerate(values.values())}})
+    inside = Window.partitionBy("__part", "__run_key").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    combine = lambda end, w: F.struct(*(F.sum(F.col(end)[f"v{i}"]).over(w).alias(f"v{i}") for i in n))
+    before = _handed_on(df, F.struct(*(F.sum(f"__v{i}").alias(f"v{i}") for i in n)), combine, True)
+    df = df.withColumns({f"__in{i}": F.sum(f"__v{i}").over(inside) for i in n}).join(F.broadcast(before), ["__part", "__run_key"], "left")
+    was = lambda i: F.col("__before")[f"v{i}"]
+    df = df.withColumns({name: F.when(F.col(f"__in{i}").isNull(), was(i)).otherwise(F.when(was(i).isNull(), F.col(f"__in{i}")).otherwise(F.col(f"__in{i}") + was(i))) for i, name in enumerate(values)})
+    return df.drop("__run_key", "__before", *(f"__{x}{i}" for x in ("v", "in") for i in n))
+
+
 def running_sum(numbered: DataFrame, name: str, value: Column, keys: list[Column] = ()) -> DataFrame:
     """Adds the sum of the value over the rows of the key up to each row; null until the first value."""
-    df = numbered.withColumns({"__run_key": _key(list(keys)), "__v": value})
-    inside = Window.partitionBy("__part", "__run_key").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = _handed_on(df, F.sum("__v"), lambda end, w: F.sum(end).over(w), True)
-    df = df.withColumn("__in", F.sum("__v").over(inside)).join(F.broadcast(before), ["__part", "__run_key"], "left")
-    total = F.when(F.col("__in").isNull(), F.col("__before")).otherwise(F.col("__in") + F.coalesce("__before", F.lit(0)))
-    return df.withColumn(name, total).drop("__run_key", "__v", "__in", "__before")
+    return running_sums(numbered, {name: value}, keys)
 
 
 def at_positions(t: Table, value: Column, keys: list[Column], at) -> DataFrame:
