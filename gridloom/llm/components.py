@@ -2,10 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, map_arrow, written
+
+#: Edges that a task contracts at once.
+CONTRACTED = 400_000
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """edges (u, v) with each task's share replaced by stars around the least ids that it connects; and whether one
+    task had them all, so that these are the components."""
+    edges = written(edges, "edges")
+    tasks = max(1, -(-edges.count() // CONTRACTED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if not parts:
+            return
+        ids, ends = np.unique(np.concatenate([np.concatenate(p) for p in zip(*parts, strict=True)]), return_inverse=True)
+        u, v = np.split(ends, 2)
+        least = np.arange(len(ids))
+        while True:  # the least neighbour, and that one's, until nothing changes
+            new = least.copy()
+            np.minimum.at(new, u, least[v])
+            np.minimum.at(new, v, least[u])
+            np.minimum.at(new, least[u], new[u])
+            np.minimum.at(new, least[v], new[v])
+            new = new[new]
+            if (new == least).all():
+                break
+            least = new
+        far = np.flatnonzero(least != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[least[far]])], names=["u", "v"])
+
+    return map_arrow(edges.coalesce(tasks), run, "u long, v long"), tasks == 1
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,9 +50,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating large-star and small-star steps (Kiveris et al. 2014) turn each component into a star around its least
     id in a number of rounds that grows as the logarithm of its diameter. Each round is written to the shared folder,
     so lineage stays short. Nodes with very many edges meet their least neighbour in a join that Spark can split.
+    Before the first round each task contracts the edges it reads; where one task reads all, no round is left.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    now = Written(pairs, "edges")
+    pairs, done = contracted(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u != v"))
+    if done:
+        return _named(written(pairs, "stars"))
+    now = Written(pairs.distinct(), "edges")
     state = _state(now.df)
     while state[0]:
         e = now.df
@@ -30,7 +69,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before, now, state = state, new, _state(new.df)
         if state == before:
             break
-    return now.df.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.df.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return _named(now.df)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def joined(components: DataFrame, links: DataFrame) -> DataFrame:

@@ -94,8 +94,8 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, n_shingles long, signature binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with percent of 100 or more of their shingles shared, on full sets."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, hot: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) with percent of 100 or more of their shingles shared, on full sets. hot: as in `_dealt`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, np.zeros(0, np.uint64)
@@ -112,21 +112,36 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return map_arrow(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb"), run, "a long, b long")
+    rows = pairs.join(right, "b")
+    return map_arrow((rows.join(left, "a") if hot is None else _dealt(rows, left, hot)).select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
-def promising(pairs: DataFrame, signatures: DataFrame, least: list[int]) -> DataFrame:
-    """The pairs (a, b) that the sequential test of their signatures leaves."""
+#: Pairs of one bucket's first member that meet one copy of it.
+PAIRS_OF_ONE = 4096
+
+
+def _dealt(pairs: DataFrame, left: DataFrame, hot: DataFrame) -> DataFrame:
+    """pairs (a, b, salt and more) joined to left (a and more), of which those in hot (a, salt from 1) have a copy for
+    each salt, so that no row meets all pairs of a large bucket's first member."""
+    copies = left.withColumn("salt", F.lit(0)).unionByName(left.join(hot, "a"))
+    return pairs.join(copies, ["a", "salt"])
+
+
+def promising(pairs: DataFrame, signatures: DataFrame, least: list[int], hot: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b, and salt if there is a table hot, as in `_dealt`) that the sequential test of their signatures
+    leaves."""
+    names = ["a", "b"] if hot is None else ["a", "b", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rows, _ = surviving(_signatures(batch.column("sa")), _signatures(batch.column("sb")), least)
-                yield batch.select(["a", "b"]).take(pa.array(rows))
+                yield batch.select(names).take(pa.array(rows))
 
     left = signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
     right = signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+    met = pairs.join(left, "a") if hot is None else _dealt(pairs, left, hot)
+    return map_arrow(met.join(right, "b").select(*names, "sa", "sb"), run, "a long, b long" + ", salt int" * (hot is not None))
 
 
 def block_sides(left: DataFrame) -> DataFrame:
@@ -290,12 +305,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     texts = written(texts, "texts")
     sigs = written(classes.select("rep", "signature").join(ids.withColumnRenamed("id", "rep"), "rep"), "signatures")
 
-    def linked(pairs: DataFrame, many: bool = False) -> tuple[DataFrame, DataFrame]:
-        pairs = written(promising(pairs, sigs, least).distinct(), "pairs")
-        return pairs, written(verified(pairs.hint("merge") if many else pairs, texts, k, percent), "links")
+    def linked(pairs: DataFrame, many: bool = False, hot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        pairs = written(promising(pairs, sigs, least, hot).distinct(), "pairs")
+        return pairs.select("a", "b"), written(verified(pairs.hint("merge") if many else pairs, texts, k, percent, hot), "links")
 
-    first = members.filter("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    tried, links = linked(first, True)
+    first, hot = members.filter("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"), F.expr(f"cast(n div {PAIRS_OF_ONE} AS int)").alias("salts")), None
+    if first.agg(F.max("salts")).first()[0]:
+        first = first.groupBy("a", "b").agg(F.max("salts").alias("salts"))
+        hot = written(first.filter("salts > 0").groupBy("a").agg(F.max("salts").alias("salts")).select("a", F.explode(F.sequence(F.lit(1), F.col("salts"))).alias("salt")), "hot")
+        first = first.withColumn("salt", F.pmod(F.hash("b"), F.col("salts") + 1).cast("int"))
+    tried, links = linked(first.drop("salts").distinct(), True, hot)
     component = written(connected_components(links), "components")
     members = members.select("bucket", "band", "n", "rep")
     for best_only in (True, False):
@@ -321,12 +340,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         tried = tried.unionByName(new_tried)
         component = written(joined(component, links if found is None else links.unionByName(found)), "components")
         members = left.select("bucket", "band", "n", "rep")
-    out = rows.join(classes.select("digest", "rep"), "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    # Texts without words have no class; left under one null key they would meet in one task.
+    out = rows.filter("digest is not null").join(classes.select("digest", "rep"), "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     # A document listed with several texts belongs to several classes; the least id that any of them reaches is its component.
     out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")))
+    out = out.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near duplicates by shingles of four words."""
+    """doc_id, n_shingles, component_id and kept of every document, by shingles of four words; shorter texts are one
+    shingle. Null texts and those without words have no shingles and link with nothing; a null doc_id has no component
+    and is kept; of documents as near the least id is kept; repeated rows and ids count as one document; very long texts
+    are read whole; an empty table gives no rows; columns of other names are not read."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)

@@ -2,8 +2,9 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
-from gridloom.llm import embdup, minhash, mix
+from gridloom.llm import components, embdup, minhash, mix
 from gridloom.llm.components import connected_components
 
 from . import tables
@@ -86,7 +87,10 @@ def test_permutation(spark):
         assert sorted(got) == list(range(n)) and (n < 60 or got != sorted(got))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("contracted", [400_000, 7])
+def test_components(spark, monkeypatch, contracted):
+    """Contracted by one task, or by many and then in rounds."""
+    monkeypatch.setattr(components, "CONTRACTED", contracted)
     path = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame([*path, *star, (5000, 4000), (4000, 5000), (7, 7)], "a long, b long")).collect()}
@@ -124,9 +128,10 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
                 p, q = find(i), find(j)
                 up[max(p, q)] = min(p, q)
     want = {i: find(i) for i in sets}
-    for listed, block in ((12, 512), (2, 8)):
+    for listed, block, of_one in ((12, 512, 4096), (2, 8, 1)):
         monkeypatch.setattr(minhash, "LISTED", listed)
         monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "PAIRS_OF_ONE", of_one)
         got = {r.doc_id: r.component_id for r in minhash.near_duplicates(tables.documents(spark, rows), k=4).collect()}
         assert got == want
 
