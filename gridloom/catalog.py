@@ -213,6 +213,13 @@ _ROLL = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDI
 for _f, _expr in (("sum", f"round(sum(value) {_ROLL}, 4)"), ("mean", f"round(avg(value) {_ROLL}, 4)"), ("max", f"max(value) {_ROLL}"), ("count", f"count(*) {_ROLL}"), ("nunique", f"len(list_distinct(list(value) {_ROLL}))")):
     op(f"rolling_{_f}", events, "RollingAggregate", f"SELECT *, {_expr} AS rolled FROM {EVENTS}", group_columns=["user_id"], order_column="ts", target="value", window_size=5, function=_f, output="rolled")
 op("rolling_sum_whole_table", events, "RollingAggregate", f"SELECT *, round(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS rolled FROM {EVENTS}", group_columns=[], order_column="ts", target="value", window_size=10, function="sum", output="rolled")
+_LONG = "OVER (ORDER BY ts, event_id ROWS BETWEEN 9998 PRECEDING AND CURRENT ROW)"
+for _f, _expr in (("sum", f"round(sum(value) {_LONG}, 4)"), ("max", f"max(value) {_LONG}"), ("min", f"min(value) {_LONG}"), ("count", f"count(*) {_LONG}"), ("nunique", f"count(DISTINCT note) {_LONG}")):
+    _target, _source = ("note", "(SELECT * REPLACE (CASE WHEN trim(note) <> '' THEN note END AS note), note AS told FROM {})".format(EVENTS)) if _f == "nunique" else ("value", EVENTS)
+    op(f"rolling_{_f}_of_9999", events, "RollingAggregate", f"SELECT * {'EXCLUDE (told) REPLACE (told AS note)' if _f == 'nunique' else ''}, {_expr} AS rolled FROM {_source}", group_columns=[], order_column="ts", target=_target, window_size=9999, function=_f, output="rolled")
+# Values have two digits, so their mean is told from whole numbers, halves rounded up, as doubles would not round them.
+_CENTS = f"(200 * sum(CAST(round(value * 100) AS BIGINT)) {_LONG} + count(value) {_LONG}) // (2 * count(value) {_LONG}) / 10000.0"
+op("rolling_mean_of_9999", events, "RollingAggregate", f"SELECT *, {_CENTS} AS rolled FROM {EVENTS}", group_columns=[], order_column="ts", target="value", window_size=9999, function="mean", output="rolled")
 op("moving_average", orders, "MovingAverage", "SELECT *, round(avg(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS smooth FROM orders", order_column="o_orderdate", target="o_totalprice", window_size=7, output="smooth")
 query("cumulative_sum", f"SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM {EVENTS}")(lambda s, d: apply(apply(apply(events(s, d), "CumulativeSum", order_column="ts", target="value", output="total"), "RoundNumeric", column="total", digits=2), "KeepColumns", columns=["event_id", "total"]).rows())
 query("cumulative_sum_by_user", f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM {EVENTS}")(lambda s, d: apply(apply(apply(events(s, d), "CumulativeSum", order_column="ts", target="value", output="total", group_columns=["user_id"]), "RoundNumeric", column="total", digits=2), "KeepColumns", columns=["event_id", "total"]).rows())
@@ -353,6 +360,21 @@ QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY abs(date_diff('micro
 query("fusion_nearest", f"SELECT event_id, click_id, CASE WHEN d IS NULL THEN '辅源1: 未命中' ELSE '辅源1: 最近邻 ' || d || 's' END AS fusion_trace FROM {_NEAREST}")(lambda s, d: _fusion(s, d, mode="nearest").table.rows().select("event_id", "click_id", "fusion_trace"))
 query("fusion_numeric_average", f"SELECT event_id, round(CASE WHEN d IS NULL THEN temp_degc ELSE (temp_degc + (temp_degf - 32) / 1.8) / 2 END, 4) AS temp_degc FROM {_NEAREST}")(lambda s, d: _fusion(s, d, mode="nearest", strategy="numeric_average", by_confidence=False).table.rows().select("event_id", F.round("temp_degc", 4).alias("temp_degc")))
 query("fusion_window", f"SELECT p.event_id, CASE WHEN count(s.click_id) = 0 THEN '辅源1: 未命中' ELSE '辅源1: 时间窗聚合 ' || count(s.click_id) || ' 行' END AS fusion_trace, CAST(floor(round(avg(s.click_id), 6)) AS BIGINT) AS click_id FROM {_PRIMARY} p LEFT JOIN {_SECOND} s ON s.user_id = p.user_id AND abs(date_diff('microsecond', p.ts, s.ts)) // 1000000 <= 21600 GROUP BY 1")(lambda s, d: _fusion(s, d, mode="window").table.rows().select("event_id", "fusion_trace", F.col("click_id").cast("long").alias("click_id")))
+# Votes: each row of the window weighs 1 / (1 + its seconds) for its word; weights count to nine digits.
+_VOTED = "(SELECT event_id AS log_id, user_id, ts, CASE event_id % 5 WHEN 0 THEN 'Running now' WHEN 1 THEN '停机' WHEN 2 THEN ' odd ' WHEN 3 THEN ' ' END AS machine_mode FROM events WHERE event_type <> 'view')"
+_WORD = "CASE WHEN machine_mode = 'Running now' THEN 'RUN' WHEN machine_mode = '停机' THEN 'STOP' ELSE trim(machine_mode) END"
+query("fusion_votes", f"SELECT p.event_id, CASE v.word WHEN 'odd' THEN 'ODD' ELSE v.word END AS machine_mode FROM {_PRIMARY} p LEFT JOIN (SELECT event_id, arg_max(word, (w, word)) AS word FROM (SELECT p.event_id, {_WORD} AS word, round(sum(1 / (1 + abs(date_diff('microsecond', p.ts, s.ts)) // 1000000)), 9) AS w FROM {_PRIMARY} p JOIN {_VOTED} s ON s.user_id = p.user_id AND abs(date_diff('microsecond', p.ts, s.ts)) // 1000000 <= 86400 WHERE trim(machine_mode) <> '' GROUP BY ALL) GROUP BY 1) v USING (event_id)")(lambda s, d: _voted(s, d).table.rows().select("event_id", "machine_mode"))
+
+
+def _voted(spark: SparkSession, sf_dir: str) -> fusion.Result:
+    e = _read(spark, sf_dir, "events")
+    p = Table.of(e.filter("event_type = 'view'").select("event_id", "user_id", "ts", F.col("value").alias("temp_degc")), "event_id")
+    k = F.col("event_id") % 5
+    word = F.when(k == 0, "Running now").when(k == 1, "停机").when(k == 2, " odd ").when(k == 3, " ")
+    q = Table.of(e.filter("event_type <> 'view'").select(F.col("event_id").alias("log_id"), "user_id", "ts", word.alias("machine_mode")), "log_id")
+    return fusion.fuse(fusion.Request(keys=("user_id",), time="ts", mode="window", window_seconds=86400, clean_outliers=False), ("views", p), [("modes", q)])
+
+
 query("fusion_resample", f"SELECT p.event_id, arg_min(s.click_id, (abs(date_diff('microsecond', p.ts, s.ts)) // 1000000) * 10000000000 + epoch(s.ts)) AS click_id FROM {_PRIMARY} p LEFT JOIN {_SECOND} s ON s.user_id = p.user_id AND floor(epoch(p.ts) / 86400) = floor(epoch(s.ts) / 86400) GROUP BY 1")(lambda s, d: _fusion(s, d, mode="resample", resample_seconds=86400).table.rows().select("event_id", "click_id"))
 query("fusion_exact", f"SELECT p.event_id, s.click_id FROM {_PRIMARY} p LEFT JOIN {_SECOND} s ON s.user_id = p.user_id AND s.ts = p.ts")(lambda s, d: _fusion(s, d, mode="exact").table.rows().select("event_id", "click_id"))
 query("fusion_quality")(lambda s, d: _fusion(s, d, mode="exact_then_window", missing="linear").table.rows())
@@ -386,6 +408,34 @@ for _strategy, _expr in (
     query(f"fusion_{_strategy}", f"SELECT event_id, round({_expr} + 0.00037, 3) AS temp_degc FROM (SELECT *, {_WEIGHT} AS w FROM {_FOUND})")(
         lambda s, d, x=_strategy: _logs(s, d, mode="exact_then_nearest", strategy=x, by_confidence=False).table.rows().select("event_id", F.round(F.col("temp_degc") + 0.00037, 3).alias("temp_degc"))
     )
+# Three sources in one order of key and time; the first fits by hours, the others by type.
+_OF = "SELECT p.event_id, s.id FROM {p} p LEFT JOIN (SELECT p.event_id AS pid, s.event_id AS id FROM {p} p JOIN events s USING (user_id) WHERE s.event_type = '{t}' AND abs(date_diff('microsecond', p.ts, s.ts)) // 1000000 <= 43200 QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY abs(date_diff('microsecond', p.ts, s.ts)) // 1000000, s.ts, s.event_id) = 1) s ON s.pid = p.event_id"
+_TYPES = ("click", "purchase", "error")
+query("fusion_three_sources", f"SELECT event_id, a.id AS click_id, b.id AS purchase_id, c.id AS error_id, (a.id IS NOT NULL) :: INTEGER + (b.id IS NOT NULL) :: INTEGER + (c.id IS NOT NULL) :: INTEGER AS hits FROM ({_OF.format(p=_PRIMARY, t='click')}) a JOIN ({_OF.format(p=_PRIMARY, t='purchase')}) b USING (event_id) JOIN ({_OF.format(p=_PRIMARY, t='error')}) c USING (event_id)")(
+    lambda s, d: _three(s, d).table.rows().select("event_id", "click_id", "purchase_id", "error_id", (3 - F.regexp_count("fusion_trace", F.lit("未命中"))).alias("hits"))
+)
+
+
+def _three(spark: SparkSession, sf_dir: str) -> fusion.Result:
+    e = _read(spark, sf_dir, "events")
+    p = Table.of(e.filter("event_type = 'view'").select("event_id", "user_id", "ts", F.col("value").alias("temp_degc")), "event_id")
+    others = [(f"{t}s", Table.of(e.filter(F.col("event_type") == t).select(F.col("event_id").alias(f"{t}_id"), "user_id", "ts"), f"{t}_id")) for t in _TYPES]
+    return fusion.fuse(fusion.Request(keys=("user_id",), time="ts", mode="nearest", window_seconds=43200, clean_outliers=False), ("views", p), others)
+
+
+# A whole number stays one, beyond what a double holds.
+_BIG = "9007199254740993"
+query("fusion_whole_numbers", f"SELECT event_id, CASE WHEN d IS NULL THEN CASE WHEN event_id % 2 = 0 THEN {_BIG} + event_id END ELSE coalesce(CASE WHEN event_id % 2 = 0 THEN {_BIG} + event_id END, {_BIG} + click_id) END AS count_total FROM {_NEAREST}")(lambda s, d: _whole(s, d).table.rows().select("event_id", "count_total"))
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> fusion.Result:
+    e = _read(spark, sf_dir, "events")
+    big = F.lit(int(_BIG))
+    p = Table.of(e.filter("event_type = 'view'").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 2 == 0, big + F.col("event_id")).alias("count_total")), "event_id")
+    q = Table.of(e.filter("event_type = 'click'").select(F.col("event_id").alias("click_no"), "user_id", "ts", (big + F.col("event_id")).alias("count_total")), "click_no")
+    return fusion.fuse(fusion.Request(keys=("user_id",), time="ts", mode="nearest", window_seconds=21600, clean_outliers=False, by_confidence=False), ("views", p), [("clicks", q)])
+
+
 query("fusion_state_words", f"SELECT event_id, CASE run_status WHEN 'Running' THEN 'RUN' WHEN '停机' THEN 'STOP' WHEN ' standby ' THEN 'IDLE' WHEN 'odd one' THEN 'ODD ONE' END AS run_status FROM {_FOUND}")(lambda s, d: _logs(s, d, mode="exact_then_nearest").table.rows().select("event_id", "run_status"))
 query("fusion_fill_backward", f"SELECT event_id, first_value(log_id IGNORE NULLS) OVER ({_GAP} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS log_id FROM (SELECT * REPLACE (CASE WHEN hit THEN log_id END AS log_id) FROM {_FOUND})")(lambda s, d: _logs(s, d, mode="exact", missing="backward").table.rows().select("event_id", "log_id"))
 query("fusion_outliers", "SELECT event_id, CASE WHEN NOT bad THEN v END AS v, CAST(bad AS INTEGER) AS anomalies FROM (SELECT event_id, v, abs((v - avg(v) OVER ()) / stddev_pop(v) OVER ()) > 3.5 AS bad FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN value * 40 ELSE value END AS v FROM events))")(

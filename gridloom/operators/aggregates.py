@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import exact
 from ..functions.parsing import LENIENT, STRICT, blank, number, text_of
 from ..plans.table import Table, in_blocks, running_sum
 from .columns import fresh
@@ -69,22 +70,65 @@ def _windowed(t: Table, order: list[str], groups: list[str], reach: int, make, n
 
 @operation("RollingAggregate")
 def rolling_aggregate(t: Table, group_columns: list[str], order_column: str, target: str, window_size: int, function: str, output: str, compat: bool = False) -> Table:
-    """Over each row and the window_size - 1 rows before it, in the order of a column."""
+    """Over each row and the window_size - 1 rows before it, in the order of a column. What a row costs does not depend
+    on the window's size: frames are told from running sums, extremes of chunks and values' last places."""
     if window_size < 1:
         raise ValueError("window_size must be above 0")
     f = function_of(function)
     t.require(order_column, *([target] if target or f != "count" else []))
 
-    def make(w: Window) -> Column:
-        frame = w.rowsBetween(1 - window_size, 0)
-        if f == "nunique":  # at most window_size cells
-            return F.size(F.collect_set(F.when(~blank(t.df, target), F.col(target))).over(frame)).cast("bigint")
-        if f in ("sum", "mean"):
-            x = number(t.df, target, STRICT)
-            return F.round((F.sum(x) if f == "sum" else F.avg(x)).over(frame), 4)
-        return aggregate(t.df, target, f, compat).over(frame)
-
-    return _windowed(t, [order_column], list(group_columns), window_size - 1, make, fresh(t, output))
+    groups, name = [key(t, c) for c in group_columns], fresh(t, output)
+    rows, spare = _numbered(t, [order_column], list(group_columns))
+    rows = in_blocks(rows, window_size - 1)
+    w = Window.partitionBy("__block", *groups).orderBy("__pos")
+    rows = rows.withColumn("__nth", F.row_number().over(w) - 1)  # also deals the rows out, for all windows below
+    if f == "count":
+        rows = rows.withColumn(name, F.least(F.col("__nth") + 1, F.lit(window_size)).cast("long"))
+    elif f in ("sum", "mean"):
+        rows = _rolling_sum(rows, w, number(t.df, target, STRICT), window_size, f == "mean", name)
+    elif f == "nunique":
+        rows = _rolling_distinct(rows, groups, w, F.when(~blank(t.df, target), F.col(target)), window_size, name)
+    else:
+        cell = F.when(~blank(t.df, target), F.col(target))
+        rows = _rolling_extreme(rows, groups, w, text_of(cell) if compat else cell, window_size, f, name)
+    return t.with_df(rows.filter(~F.col("__copy")).drop("__block", "__copy", "__nth", *spare))
+
+
+def _rolling_sum(rows: DataFrame, w: Window, x: Column, size: int, mean: bool, name: str) -> DataFrame:
+    """A frame's sum is the running sum up to its end less that up to its start."""
+    parts = exact.amounts(x)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__{k}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for k, c in parts.items()})
+    rows = rows.withColumns({f"__was_{k}": F.lag(f"__{k}", size).over(w) for k in parts})
+    of = lambda k: F.col(f"__{k}") - F.coalesce(f"__was_{k}", F.lit(0))
+    value = exact.total(of) / of("n") if mean else exact.total(of)
+    return rows.withColumn(name, F.when(of("n") > 0, F.round(value, 4))).drop(*(x for k in parts for x in (f"__{k}", f"__was_{k}")))
+
+
+def _rolling_extreme(rows: DataFrame, groups: list[Column], w: Window, cell: Column, size: int, f: str, name: str) -> DataFrame:
+    """Rows are cut into chunks as long as the frame. A frame ends in one chunk and starts in the one before it: its
+    extreme is that of the first chunk from the frame's start on and of the second up to the frame's end."""
+    best, both = (F.max, F.greatest) if f == "max" else (F.min, F.least)
+    rows = rows.withColumns({"__cell": cell, "__chunk": F.expr(f"__nth div {size}")})
+    inside = Window.partitionBy("__block", *groups, "__chunk")
+    head = best("__cell").over(inside.orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0))
+    tail = best("__cell").over(inside.orderBy(F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"__head": head, "__tail": tail}).withColumn("__tail", F.lag("__tail", size - 1).over(w))
+    return rows.withColumn(name, both("__head", "__tail")).drop("__cell", "__chunk", "__head", "__tail")
+
+
+def _rolling_distinct(rows: DataFrame, groups: list[Column], w: Window, cell: Column, size: int, name: str) -> DataFrame:
+    """A value counts in a frame where it stands there last: from its row on, until it comes again or the frame has left
+    it behind. So a frame's number of values is a running sum of what enters less what leaves at each row."""
+    rows = rows.withColumn("__cell", cell)
+    alike = Window.partitionBy("__block", *groups, "__cell").orderBy("__pos")
+    rows = rows.withColumns({"__before": F.lag("__nth").over(alike), "__after": F.lead("__nth").over(alike)})
+    there = F.col("__cell").isNotNull()
+    again = there & F.coalesce(F.col("__nth") - F.col("__before") <= size, F.lit(False))
+    stays = there & F.coalesce(F.col("__after") - F.col("__nth") > size, F.lit(True))
+    rows = rows.withColumn("__left", F.coalesce(F.lag(stays.cast("int"), size).over(w), F.lit(0)))
+    change = there.cast("int") - again.cast("int") - F.col("__left")
+    return rows.withColumn(name, F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("__cell", "__before", "__after", "__left")
 
 
 @operation("MovingAverage")

@@ -15,14 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import exact
 from ..functions.parsing import FUSION, as_number, trimmed
 from ..plans.table import Key, Table, carried_both, running_sums
 
-EXACT = "decimal(38,12)"
-#: Values from here on are summed as doubles: the decimals above would not hold many of them.
-LARGE = 1e20
-
-
 @dataclass(frozen=True)
 class Source:
     """A secondary table: __key, __ts, __at (its order), __an (anomalies) and the columns to hand over. `word` makes the
@@ -48,6 +44,9 @@ class Source:
         c = F.col(f"`{self.columns[i]}`")
         return as_number(c, FUSION) if i in self.texts else c.try_cast("double")
 
+    def whole(self, i: int) -> bool:
+        return isinstance(self.kinds[i], T.IntegralType)
+
     @property
     def timed(self) -> DataFrame:
         return self.rows.filter("__ts is not null")
@@ -138,15 +137,10 @@ def nearest(rows: DataFrame, n: int, answers: DataFrame, exact_first: bool, limi
 
 
 def _amounts(s: Source, n: int) -> dict[str, Column]:
-    """What is summed over the rows of a window: rows, whole seconds, anomalies, and of each averaged column its values:
-    how many, their sum, and apart the large and the infinite ones and those that are no number."""
+    """What is summed over the rows of a window: rows, whole seconds, anomalies and the values of each averaged column."""
     out = {f"r{n}": F.lit(1).cast("long"), f"t{n}": F.floor(micros(F.col("__ts")) / 1_000_000), f"a{n}": F.col("__an").cast("long")}
     for i in s.averaged:
-        x = s.value(i)
-        plain = F.abs(x) < LARGE
-        out |= {f"n{n}_{i}": F.when(x.isNotNull(), 1).cast("long"), f"s{n}_{i}": F.when(plain, x).cast(EXACT)}
-        if not isinstance(s.kinds[i], (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-            out |= {f"l{n}_{i}": F.when(~plain & (F.abs(x) < float("inf")), x), f"u{n}_{i}": F.when(F.isnan(x), 1).cast("long"), f"p{n}_{i}": F.when(x == float("inf"), 1).cast("long"), f"m{n}_{i}": F.when(x == float("-inf"), 1).cast("long")}
+        out |= {f"{k}{n}_{i}": c for k, c in exact.amounts(s.value(i), s.whole(i)).items()}
     return out
 
 
@@ -174,12 +168,8 @@ def window_totals(primary: DataFrame, sources: list[Source], seconds: int) -> Da
         after = within(f"t{n}", 1, 2) - within(f"r{n}", 1, 2) * F.col("second")
         out += [within(f"r{n}").alias(f"rows{n}"), (before + after).alias(f"away{n}"), within(f"a{n}").alias(f"anomalies{n}")]
         for i in s.averaged:
-            total, of = within(f"s{n}_{i}").cast("double"), lambda k: f"{k}{n}_{i}"  # noqa: B023
-            if of("l") in names:
-                total = total + within(of("l"))
-                up, down = within(of("p")) > 0, within(of("m")) > 0
-                total = F.when((within(of("u")) > 0) | (up & down), float("nan")).when(up, float("inf")).when(down, float("-inf")).otherwise(total)
-            out.append(F.round(F.try_divide(total, within(of("n"))), 6).alias(f"mean{n}_{i}"))
+            of = lambda k: within(f"{k}{n}_{i}")  # noqa: B023, E731
+            out.append(F.round(F.try_divide(exact.total(of, s.whole(i)), of("n")), 6).alias(f"mean{n}_{i}"))
     return rows.select("__pid", *out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import CHART, is_text, is_time, number, text_of, time, trimmed
+from ..functions.parsing import CHART, is_number, is_text, is_time, number, text_of, time, trimmed
 from ..plans.table import Table, at_positions, quantile
 from .profile import kind_of
 
@@ -14,7 +14,9 @@ EMPTY = "空值"
 
 def xy_points(t: Table, x: str, y: str) -> DataFrame:
     """x and y: x a number, else seconds of a time, else the row's number from 1. Rows without a y go."""
-    rows = t.with_df(t.numbered())
+    rows = t if is_number(t.df, x) and not t.df.filter(F.col(x).isNull()).limit(1).count() else t.with_df(t.numbered())
+    if rows is t:  # no row's number is asked for
+        return t.df.select(F.col(x).cast("double").alias("x"), number(t.df, y, CHART).alias("y")).filter("y is not null")
     at = F.coalesce(number(rows.df, x, CHART), F.unix_timestamp(time(rows.df, x).cast("timestamp")).cast("double"), F.col("__pos").cast("double"))
     return rows.df.select(at.alias("x"), number(rows.df, y, CHART).alias("y")).filter("y is not null")
 

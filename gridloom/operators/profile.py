@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.parsing import LENIENT, STRICT, as_boolean, as_number, as_plain_time, blank, is_text, is_time, number, text_of, time, trimmed
+from ..plans.selection import POSITIONS, row_range, rows_at
 from ..plans.table import Table, in_blocks
 from .rows import key
 
@@ -234,9 +235,14 @@ def shuffled_places(rows: int, page: int, size: int) -> list[int]:
 def preview(t: Table, page: int, size: int, shuffled: bool = False) -> DataFrame:
     """A page of rows, counted from 1; pages beyond the last are the last. Shuffled pages take rows from all over the
     table."""
-    rows = t.numbered()
-    n, size = rows.count(), max(size, 1)
+    n, size = t.df.count(), max(size, 1)
     page = min(max(page, 1), max(1, -(-n // size)))
-    at = shuffled_places(n, page, size) if shuffled else range((page - 1) * size, min(page * size, n))
-    wanted = t.df.sparkSession.createDataFrame([(k, p + 1) for k, p in enumerate(at)], "__k long, __pos long")
-    return rows.join(F.broadcast(wanted), "__pos").orderBy("__k").select(*t.columns)  # a page of rows
+    start, end = (page - 1) * size + 1, min(page * size, n)
+    if not shuffled:
+        return row_range(t, start, end).ordered() if n else t.ordered()
+    at = [k + 1 for k in shuffled_places(n, page, size)]
+    rows = rows_at(t, at, n) if at and size <= POSITIONS else None
+    if rows is None:
+        wanted = t.df.sparkSession.createDataFrame(list(enumerate(at)), "__place long, __pos long")
+        rows = t.numbered().join(F.broadcast(wanted), "__pos")  # a page of rows
+    return rows.orderBy("__place").select(*t.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.parsing import as_time, blank, is_text, text_of, time
+from ..plans.selection import POSITIONS, row_range, rows_at
 from ..plans.table import Table
 from .registry import filled, operation
 
@@ -75,8 +76,7 @@ def drop_rows_containing(t: Table, column: str, keyword: str) -> Table:
 def _range(t: Table, start: int, end: int, keep: bool) -> Table:
     if not 1 <= start <= end:
         raise ValueError("a row range needs 1 <= start <= end")
-    inside = F.col("__pos").between(start, end)
-    return t.with_df(t.numbered().filter(inside if keep else ~inside))
+    return row_range(t, start, end, keep)
 
 
 @operation("KeepRowRange")
@@ -102,12 +102,16 @@ def sample_rows(t: Table, count: int) -> Table:
     """Rows at even steps from the first to the last; all rows if there are no more than `count`."""
     if count <= 0:
         raise ValueError("count must be above 0")
-    rows = t.numbered()
-    n = rows.count()
+    n = t.df.count()
     if count >= n:
-        return t.with_df(rows)
-    spark = rows.sparkSession
-    at = spark.range(count).select((F.floor(F.col("id") * (n - 1) / max(count - 1, 1)) + 1).alias("__pos")).distinct()
+        return t
+    step = max(count - 1, 1)
+    if count <= POSITIONS:
+        rows = rows_at(t, sorted({k * (n - 1) // step + 1 for k in range(count)}), n)
+        if rows is not None:
+            return t.with_df(rows.drop("__place"))
+    rows = t.numbered()
+    at = rows.sparkSession.range(count).select((F.floor(F.col("id") * (n - 1) / step) + 1).alias("__pos")).distinct()
     return t.with_df(rows.join(at, "__pos", "left_semi"))
 
 
