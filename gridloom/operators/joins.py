@@ -65,7 +65,13 @@ def join_tables(left: Table, right: Table, left_keys: list[str], right_keys: lis
         *(F.col(c).alias(f"__c{i}") for i, c in enumerate(names)), *(F.col(k.name).alias(f"__r{i}") for i, k in enumerate(right.order)),
     )
     on = reduce(and_, (a[k].eqNullSafe(b[f"{k}r"]) for k in keys))
-    rows = a.join(b, on, kind_of(kind)).withColumn("__side", F.coalesce("__in_left", F.lit(1)))
+    outer = kind_of(kind) == "full_outer"
+    rows = a.join(b, on, "left" if outer else kind_of(kind))
+    if outer:  # Spark splits a key of very many rows in a left join and in an anti-join, but not in a full outer one
+        known = a.select(*keys).distinct()
+        alone = b.join(known, reduce(and_, (known[k].eqNullSafe(b[f"{k}r"]) for k in keys)), "left_anti")
+        rows = rows.unionByName(alone, allowMissingColumns=True)
+    rows = rows.withColumn("__side", F.coalesce("__in_left", F.lit(1)))
     order = [Key("__side")] + [Key(f"__{s}{i}", k.ascending, k.nulls_first) for s, t in (("l", left), ("r", right)) for i, k in enumerate(t.order)]
     hidden = [k.name for k in order]
     rows = rows.select(*left.columns, *(F.col(f"__c{i}").alias(n) for i, n in enumerate(names.values())), *hidden)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +34,27 @@ def header_names(cells: list[str]) -> list[str]:
     return normalised([c.replace(".", "_").replace("`", "_") for c in cells])
 
 
+_PART = r"/part-([0-9]+)[^/]*$"
+
+
+def part_number(path: str) -> int:
+    """The number in the name of a part file, which has five digits or more; 0 for other files."""
+    found = re.search(_PART, path)
+    return int(found[1]) if found else 0
+
+
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """line: each line with one character for each byte, whatever its encoding."""
     return spark.read.schema("line string").option("sep", "\x01").option("quote", "").option("encoding", "ISO-8859-1").csv(path)
 
 
-def encoding_of(lines: DataFrame) -> str:
-    """UTF-8 if all lines are valid, else GBK."""
-    bad = lines.filter(~F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))).limit(1).count()
-    return "GBK" if bad else "UTF-8"
+def summary(lines: DataFrame) -> tuple[str, dict[str, int], bool]:
+    """From one pass over all lines: the encoding (UTF-8 if all are valid, else GBK), for each candidate the most cells
+    of a line, and whether a line has an odd number of quotes, so that a cell may go on in the next."""
+    valid = F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))
+    widths = [F.max(F.length("line") - F.length(F.translate("line", sep, "")) + 1) for sep in CANDIDATES]
+    bad, odd, *most = lines.agg(F.max(~valid), F.max(F.regexp_count("line", F.lit('"')) % 2), *widths).first()
+    return "GBK" if bad else "UTF-8", {sep: n or 1 for sep, n in zip(CANDIDATES, most, strict=True)}, bool(odd)
 
 
 def delimiter_of(lines: list[str], ext: str) -> str:
@@ -51,20 +65,24 @@ def delimiter_of(lines: list[str], ext: str) -> str:
     return max(reversed(CANDIDATES), key=text.count)
 
 
+def counters(v: Column) -> Column:
+    """Of a text column: how many cells are there, and how many of them are whole numbers, numbers, truth values and
+    times. Counters of parts of a table add up."""
+    t = trimmed(v)
+    tests = (v.isNotNull(), t.rlike(r"^[+-]?[0-9]+$") & t.try_cast("bigint").isNotNull(), as_number(v).isNotNull(), as_boolean(v, False).isNotNull(), as_plain_time(v).isNotNull())
+    return F.array(*(F.count_if(F.coalesce(x, F.lit(False))) for x in tests))
+
+
+def kind_of_cells(counted: list[int]) -> str:
+    """Whole numbers, numbers or truth values if all cells are, times if 80 % are, else text."""
+    n, whole, number, truth, time = counted
+    return "string" if not n else "bigint" if whole == n else "double" if number == n else "boolean" if truth == n else "timestamp_ntz" if 100 * time // n >= TIME_SHARE else "string"
+
+
 def infer(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """Type of each text column, from one pass over all its cells: whole numbers, numbers, truth values, times (80 % of
-    the cells), else text."""
-    def counts(c: str) -> list:
-        v, t = F.col(c), trimmed(F.col(c))
-        tests = (v.isNotNull(), t.rlike(r"^[+-]?[0-9]+$") & t.try_cast("bigint").isNotNull(), as_number(v).isNotNull(), as_boolean(v, False).isNotNull(), as_plain_time(v).isNotNull())
-        return [F.count_if(F.coalesce(x, F.lit(False))) for x in tests]
-
-    row = df.agg(*(F.array(*counts(c)).alias(f"a{i}") for i, c in enumerate(names))).first()
-    out = {}
-    for i, c in enumerate(names):
-        n, whole, number, truth, time = row[f"a{i}"]
-        out[c] = "string" if not n else "bigint" if whole == n else "double" if number == n else "boolean" if truth == n else "timestamp_ntz" if 100 * time // n >= TIME_SHARE else "string"
-    return out
+    """The type of each text column, from one pass over all its cells."""
+    row = df.agg(*(counters(F.col(c)).alias(f"a{i}") for i, c in enumerate(names))).first()
+    return {c: kind_of_cells(row[f"a{i}"]) for i, c in enumerate(names)}
 
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -98,17 +116,16 @@ def _first_row(spark: SparkSession, files: list[str], raw: T.StructType, options
 
 
 def read_delimited(spark: SparkSession, path: str, keep_text: bool = False) -> Table:
-    """A file, or a folder of part files in the order of their names, of which the first begins with a header row.
+    """A file, or a folder of part files in the order of their numbers and names, of which the first begins with a header row.
     Short rows get nulls, long ones further columns; cells are trimmed, and those that mark a missing value are null.
     With keep_text, columns stay text. Where a quoted cell goes on in the next line, a file is read by one task each,
     else files are split. GBK is decoded once and stored, other text is read when it is needed."""
     lines = raw_lines(spark, path)
-    encoding = encoding_of(lines)
+    encoding, widths, broken = summary(lines)
     head = [x.line.encode("latin-1").decode(encoding, "replace") for x in lines.filter("line is not null").head(50)]
     sep = delimiter_of(head, extension(path))
-    width, open_quotes = lines.agg(F.max(F.size(F.split("line", f"\\Q{sep}\\E", -1))), F.max(F.regexp_count("line", F.lit('"')) % 2)).first()
-    width, broken = width or 1, bool(open_quotes)
-    files = sorted(unquote(f) for f in lines.inputFiles())
+    width = widths[sep]
+    files = sorted((unquote(f) for f in lines.inputFiles()), key=lambda f: (part_number(f), f))
     options = {"sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": broken}
     with charsets(spark, encoding):
         while True:
@@ -118,30 +135,34 @@ def read_delimited(spark: SparkSession, path: str, keep_text: bool = False) -> T
                 raise ValueError(f"{path}: no rows")
             at, header = first
             reader = lambda head: spark.read.schema(raw).options(**options, header=head, enforceSchema=True)  # noqa: B023, E731
-            place = (F.col("_metadata.file_path").alias("__o0"), F.col("_metadata.file_block_start").alias("__o1"))
+            file = F.col("_metadata.file_path")
+            number = F.coalesce(F.regexp_extract(file, _PART, 1).try_cast("long"), F.lit(0).cast("long"))
+            place = (number.alias("__o0"), file.alias("__o1"), F.col("_metadata.file_block_start").alias("__o2"))
             df = reader(True).csv(files[at]).select(*raw.names, *place)
             if files[at + 1 :]:  # parts after the first have no header
                 df = df.unionByName(reader(False).csv(files[at + 1 :]).select(*raw.names, *place))
-            df = df.withColumn("__o2", F.monotonically_increasing_id())
+            df = df.withColumn("__o3", F.monotonically_increasing_id())
             if encoding == "GBK":
                 df = stored(df, "decoded")
-            full = df.agg(*(F.max(F.when(F.col(c).isNotNull(), 1)).alias(c) for c in raw.names)).first()
+            marked = {c: F.when(~trimmed(F.col(c)).isin(*NULL_MARKERS), trimmed(F.col(c))) for c in raw.names}
+            # One more pass tells which columns hold anything and of what type.
+            seen = df.agg(*(F.struct(F.count(c).alias("n"), (F.lit(None) if keep_text else counters(marked[c])).alias("of")).alias(c) for c in raw.names)).first()
+            full = [x["n"] > 0 for x in seen]
             if not (broken and (full[-1] or header[-1])):  # a row over several lines may have more cells than any line
                 break
             width *= 2
     used = max([i + 1 for i, x in enumerate(header) if x is not None], default=1)
-    width = max([used, *(i + 1 for i, c in enumerate(raw.names) if full[c])])  # separators within quotes made it too large
+    width = max([used, *(i + 1 for i in range(len(full)) if full[i])])  # separators within quotes made it too large
     names = header_names([(header[i] or "").lstrip("﻿") for i in range(used)] + [""] * (width - used))
-    cells = [F.when(~trimmed(F.col(f"c{i}")).isin(*NULL_MARKERS), trimmed(F.col(f"c{i}"))).alias(n) for i, n in enumerate(names)]
-    df = df.select(*cells, "__o0", "__o1", "__o2")
+    df = df.select(*(marked[f"c{i}"].alias(n) for i, n in enumerate(names)), "__o0", "__o1", "__o2", "__o3")
     if not keep_text:
-        df = typed(df, infer(df, names))
-    return Table(df, (Key("__o0"), Key("__o1"), Key("__o2")))
+        df = typed(df, {n: kind_of_cells(seen[i]["of"]) for i, n in enumerate(names)})
+    return Table(df, tuple(Key(f"__o{i}") for i in range(4)))
 
 
 def load_paths(spark: SparkSession, paths: list[str]) -> dict[str, Table]:
-    """Tables by name: the file's, with [sheet] after it for the sheets of a workbook with several. Files that cannot be
-    read are left out; it is an error if none can."""
+    """Tables by name: the file's, with [sheet] after it for the sheets of a workbook with several. It is an error, which
+    names them all, if files cannot be read: no table is left out without a word."""
     from .workbook import read_workbook
 
     out: dict[str, Table] = {}
@@ -154,8 +175,8 @@ def load_paths(spark: SparkSession, paths: list[str]) -> dict[str, Table]:
                 out |= {stem if len(sheets) == 1 else f"{stem}[{name}]": t for name, t in sheets.items()}
             else:
                 out[stem] = read_delimited(spark, path)
-        except ValueError as e:
+        except (ValueError, AnalysisException) as e:
             errors.append(f"{path}: {e}")
-    if not out:
+    if errors or not out:
         raise ValueError("; ".join(errors) or "no file to read")
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile
-from ..plans.table import Table
+from ..plans.table import Table, run_count
 from ..plans.template import Template
 
 BOM = "﻿"
@@ -16,14 +16,13 @@ BOM = "﻿"
 
 def write_delimited(t: Table, path: str, sep: str = ",") -> None:
     """Part files that, one after the other, are one file: a byte order mark, the header, and the rows in order; null is
-    the empty text, and quotes within a cell are doubled. Rows are dealt to parts by range, so no task holds more than its share."""
+    the empty text, and quotes within a cell are doubled. Rows move once, to parts by range, sized by what is read."""
     spark = t.df.sparkSession
     options = {"sep": sep, "escape": '"', "nullValue": "", "emptyValue": "", "quoteAll": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     line = F.to_csv(F.struct(*(F.col(c).cast("string").alias(c) for c in t.columns)), options)
-    rows = t.numbered().select("__pos", line.alias("value"))
-    names = spark.range(1).select(F.lit(0).cast("long").alias("__pos"), F.concat(F.lit(BOM), F.to_csv(F.struct(*(F.lit(c).alias(f"c{i}") for i, c in enumerate(t.columns))), options)).alias("value"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.unionByName(names).repartitionByRange(n, "__pos").sortWithinPartitions("__pos").select("value").write.text(path)
+    names = spark.range(0, 1, 1, 1).select(F.concat(F.lit(BOM), F.to_csv(F.struct(*(F.lit(c).alias(f"c{i}") for i, c in enumerate(t.columns))), options)).alias("value"))
+    rows = t.df.repartitionByRange(run_count(t.df), *t.sort).sortWithinPartitions(*t.sort) if t.order else t.df
+    names.union(rows.select(line.alias("value"))).write.text(path)  # a union's parts keep their order
 
 
 def write_csv(t: Table, path: str) -> None:

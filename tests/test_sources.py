@@ -76,14 +76,21 @@ def workbook(path):
 
 
 def test_workbooks(spark, tmp_path):
-    found = load_paths(spark, [workbook(tmp_path / "book.xlsx"), put(tmp_path / "d.csv", "x,y\n1,2\n"), str(tmp_path / "e.pdf")])
+    found = load_paths(spark, [workbook(tmp_path / "book.xlsx"), put(tmp_path / "d.csv", "x,y\n1,2\n")])
     assert set(found) == {"book[One]", "book[Two]", "d"}
     one = found["book[One]"]
     assert one.columns == ["name", "column_2", "when"]
     assert found["book[Two]"].columns == ["1_5"]
     assert [tuple(r) for r in one.ordered().collect()] == [("ab", "3", datetime(2024, 1, 1, 12)), ("true", "ERROR", None)]
-    with pytest.raises(ValueError):
-        load_paths(spark, [str(tmp_path / "e.pdf")])
+    with pytest.raises(ValueError, match="e.pdf.*none.csv"):  # all that cannot be read are named
+        load_paths(spark, [str(tmp_path / "e.pdf"), str(tmp_path / "d.csv"), str(tmp_path / "none.csv")])
+
+
+def test_parts_beyond_five_digits_keep_their_order(spark, tmp_path):
+    (tmp_path / "p.csv").mkdir()
+    for n, text in ((99_999, "a\n1\n"), (100_000, "2\n"), (100_001, "3\n")):
+        put(tmp_path / "p.csv" / f"part-{n:05d}-x.csv", text)
+    assert [r.a for r in read_delimited(spark, str(tmp_path / "p.csv")).ordered().collect()] == [1, 2, 3]
 
 
 def lines(path):
