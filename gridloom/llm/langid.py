@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import id_crc, least_by_hash, map_arrow, table
+from .common import id_crc, least_by_hash, map_arrow, table, written
 
 TERMS = 1 << 15
 #: Rows that the weights and the temperature are fitted on at most.
 FIT_ROWS = 4000
-#: Of each language, so many documents are learnt from at least, or all it has.
-LANG_ROWS = 100
+#: Of each language, so many documents are learnt from at least, or all it has; of all languages together so many, shared alike.
+LANG_ROWS, LANGS_ROWS = 100, 8000
+#: Weights (terms times languages) at most: with very many languages, as in a column that holds something else, terms share weights.
+WEIGHTS = 1 << 24
 UNKNOWN = "und"
 _ORDERS = 3
 _SCALE = 40.0
@@ -65,11 +67,13 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass(frozen=True)
 class Model:
-    """table: weight times idf times scale of each term and language, divided by the temperature; bias likewise."""
+    """table: weight times idf times scale of each term and language, divided by the temperature; bias likewise. Where
+    terms share weights, the table's columns stand for terms of one remainder, and idf, apart, weighs the terms."""
 
     langs: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
+    idf: np.ndarray | None = None
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         z = np.zeros((len(texts), len(self.langs)))
@@ -77,6 +81,10 @@ class Model:
         for i, text in enumerate(texts):
             if self.langs and has_letter(text):
                 known[i] = True
+                if self.idf is not None:
+                    count = term_counts(text)
+                    z[i] = self.table @ (count * self.idf).reshape(-1, self.table.shape[1]).sum(axis=0) / count.sum() + self.bias
+                    continue
                 n = 0
                 for t in terms(text):
                     n += len(t)
@@ -88,9 +96,9 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p.max(axis=1), 0.0)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights (term, class) and biases. A weight whose gradients sum to less than l1 is exactly 0."""
-    z, n = np.zeros((TERMS, n_classes)), np.zeros((TERMS, n_classes))
+    z, n = (np.zeros((width or TERMS, n_classes)) for _ in range(2))
     zb, nb = np.zeros(n_classes), np.zeros(n_classes)
 
     def weights(z, n):
@@ -113,14 +121,20 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: in
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the logits with the least log loss, between 1/20 and 20."""
-    if not len(y):
+    """The divisor of the logits with the least log loss, between 1/20 and 20. Against the labels alone, rows that are
+    all told apart would ask for ever surer scores; so the right language of a row is aimed at with (n + 1) / (n + 2),
+    n the rows of that language, and the others share the rest."""
+    if not len(y) or logits.shape[1] < 2:
         return 1.0
+    n = np.bincount(y, minlength=logits.shape[1])[y]
+    right = (n + 1) / (n + 2)
 
     def loss(t: float) -> float:
         z = logits / t
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
+        log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        own = log_p[np.arange(len(y)), y]
+        return float(-(right * own + (1 - right) * (log_p.sum(axis=1) - own) / (logits.shape[1] - 1)).mean())
 
     return float(min(np.geomspace(0.05, 20, 121), key=loss))
 
@@ -153,14 +167,16 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def labelled_rows(docs: DataFrame, limit: int) -> tuple[list[str], list[np.ndarray]]:
-    """Languages and terms of at most `limit` documents, and of the LANG_ROWS with the least hash of each language. Of
-    documents that share an id, the least language counts."""
-    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("label"))
-    near = ids.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).join(F.broadcast(ids.groupBy("label").agg(F.count(F.lit(1)).alias("of"))), "label")
-    near = near.filter((F.col("of") <= 4 * LANG_ROWS) | (F.col("hash") * F.col("of").cast("double") < 2.0**64 * LANG_ROWS))  # about twice as many as are taken
+    """Languages and terms of at most `limit` documents, and of the LANG_ROWS with the least hash of each language, or
+    fewer, so that they are LANGS_ROWS in all. Of documents that share an id, the least language counts."""
+    ids = written(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("label")), "labelled-ids")
+    of = written(ids.groupBy("label").agg(F.count(F.lit(1)).alias("of")), "languages")
+    each = min(LANG_ROWS, LANGS_ROWS // max(1, of.count()))
+    near = ids.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).join(of, "label")
+    near = near.filter((F.col("of") <= 4 * each) | (F.col("hash") * F.col("of").cast("double") < 2.0**64 * each))  # about twice as many as are taken
     place = F.row_number().over(Window.partitionBy("label").orderBy("hash", "doc_id"))
-    of_each = near.withColumn("place", place).filter(F.col("place") <= LANG_ROWS).select("doc_id", "label")
-    ids = least_by_hash(ids, "doc_id", limit).union(of_each).distinct()
+    of_each = near.withColumn("place", place).filter(F.col("place") <= each).select("doc_id", "label")
+    ids = least_by_hash(ids, "doc_id", limit).union(of_each).distinct()  # limit and LANGS_ROWS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +215,15 @@ def fit(docs: DataFrame, limit: int = FIT_ROWS) -> Model:
     idf = np.log((n + 1) / (df + 1)) + 1
     y = np.array([langs.index(x) for x in labels])
     rows = [(t, x * idf[t] * _SCALE) for t, x in rows]
+    width = min(TERMS, 1 << max(6, (WEIGHTS // len(langs)).bit_length() - 1))
+    if width < TERMS:
+        folded = [np.bincount(t % width, x, width) for t, x in rows]
+        rows = [(np.flatnonzero(x), x[x != 0]) for x in folded]
     rest, last = parts(y)
-    w, b = ftrl([rows[i] for i in rest], y[rest], len(langs))
+    w, b = ftrl([rows[i] for i in rest], y[rest], len(langs), width=width)
     t = temperature(np.array([rows[i][1] @ w[rows[i][0]] + b for i in last]).reshape(-1, len(langs)), y[last])
+    if width < TERMS:
+        return Model(langs, np.ascontiguousarray((w * _SCALE / t).T.astype(np.float32)), b / t, idf.astype(np.float32))
     return Model(langs, np.ascontiguousarray((w * idf[:, None] * _SCALE / t).T.astype(np.float32)), b / t)
 
 
@@ -223,6 +245,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document. A text that is null or has no letter is 'und' with
     score 0, as is every text if nothing could be learnt; equal texts have equal results; a null doc_id counts as the
-    empty id, which may be learnt from by frequency only. Other columns are not read."""
+    empty id, which may be learnt from by frequency only. Very long texts are read whole, in parts; an empty table gives
+    no rows; other columns are not read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs, fit(docs.filter(~held_out())))

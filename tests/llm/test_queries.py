@@ -497,10 +497,35 @@ def test_temperature_and_sparsity():
     assert (w[10:210] == 0).mean() > 0.5 and (np.argmax(w[:3], axis=1) == np.arange(3)).all()
 
 
+def test_scores_rank_mixed_texts_below_pure_ones(spark):
+    r = np.random.default_rng(9)
+    voices = {"en": "the of and with shall thing where house", "fr": "le des été pour nous vous maison près", "de": "und nicht über groß wir haben ein Straße"}
+    say = lambda x, n: " ".join(r.choice(voices[x].split(), n))
+    rows = [(i, say(x := ("en", "fr", "de")[i % 3], 40), x) for i in range(600)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pure = [(x, say(x, 40)) for x in voices for _ in range(20)]
+    said, sure = model.predict([t for _, t in pure])
+    assert said == [x for x, _ in pure] and 0.9 < sure.min() and len(set(sure.round(6))) > 10
+    _, mixed = model.predict([say(a, 20) + " " + say(b, 20) for a in voices for b in voices if a < b for _ in range(10)])
+    assert mixed.mean() < 0.9 * sure.mean() and (mixed < sure.min()).mean() > 0.9
+
+
+def test_very_many_languages(spark, monkeypatch):
+    """Terms share weights, and rows of all languages together stay within their bound."""
+    monkeypatch.setattr(langid, "WEIGHTS", 1 << 15)
+    monkeypatch.setattr(langid, "LANGS_ROWS", 64)
+    words = [f"{a}{b}{c}" * 3 for a in "bdgk" for b in "aeio" for c in "lmn"]
+    rows = [(i, " ".join([words[i % 48]] * 5), f"l{i % 48}") for i in range(480)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 300)
+    assert model.table.size <= 1 << 15 and model.idf is not None and len(model.langs) >= 40
+    said, score = model.predict([t for _, t, _ in rows[:48]])
+    assert sum(a == x for a, (_, _, x) in zip(said, rows, strict=False)) >= 40 and (score <= 1).all()
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES])
 def test_tables_of_nulls(spark, tmp_path, name):
     """Rows without text, source or id, and nothing else."""
     docs = [(None, None, None, None), (None, None, None, None), (3, None, None, "s"), (4, "", "en", None)]
     folder = tables.write(spark, tmp_path, docs=tables.documents(spark, docs), labels=[], embeddings=[(None, None, None, "?", "?"), (1, None, None, "?", "?")], conversations=[(None, None, None, None, "?", "?")] * 2)
     n = QUERIES[name](spark, folder).count()
-    assert n == (2 if name.startswith(("op5", "op9")) else 4)
+    assert n == (0 if name.startswith(("op11", "op12")) else 2 if name.startswith(("op5", "op9")) else 4)
