@@ -248,12 +248,11 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[Table, Table]:
 _LEFT = "(SELECT c_custkey, c_name AS name, c_nationkey FROM customer)"
 _RIGHT = "(SELECT o_orderkey, o_custkey + 20 AS o_custkey, o_orderpriority AS name FROM orders)"
 _COUNTS = f"(SELECT count(*) FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey) AS matched_pairs, (SELECT count(*) FROM {_LEFT} l WHERE c_custkey NOT IN (SELECT o_custkey FROM {_RIGHT})) AS unmatched_left, (SELECT count(*) FROM {_RIGHT} r WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS unmatched_right, 'name' AS conflict_fields"
-for _all in ("", "_all"):  # two names for each
-    for _kind, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
-        query(f"join_{_kind}{_all}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS name_right FROM {_LEFT} l {_join} {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d, k=_kind: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], k).rows())
-    query(f"join_right_prefix{_all}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS right_name FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "内连接", "right_prefix").rows())
-    query(f"join_keep_left_only{_all}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey FROM {_LEFT} l LEFT JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "left", "keep_left_only").rows())
-    query(f"join_report{_all}", f"SELECT {_COUNTS}")(lambda s, d: joins.join_report(*_sides(s, d), ["c_custkey"], ["o_custkey"]))
+for _kind, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
+    query(f"join_{_kind}", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS name_right FROM {_LEFT} l {_join} {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d, k=_kind: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], k).rows())
+query("join_right_prefix", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey, r.name AS right_name FROM {_LEFT} l JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "内连接", "right_prefix").rows())
+query("join_keep_left_only", f"SELECT l.c_custkey, l.name, l.c_nationkey, r.o_orderkey FROM {_LEFT} l LEFT JOIN {_RIGHT} r ON l.c_custkey = r.o_custkey")(lambda s, d: joins.join_tables(*_sides(s, d), ["c_custkey"], ["o_custkey"], "left", "keep_left_only").rows())
+query("join_report", f"SELECT {_COUNTS}")(lambda s, d: joins.join_report(*_sides(s, d), ["c_custkey"], ["o_custkey"]))
 query("join_report_with_hint", f"SELECT *, '内连接丢弃了未匹配记录：左表 ' || unmatched_left || ' 条，右表 ' || unmatched_right || ' 条' AS data_loss_hint FROM (SELECT {_COUNTS})")(lambda s, d: joins.join_report(*_sides(s, d), ["c_custkey"], ["o_custkey"], "inner"))
 
 # --- chart tables
@@ -299,17 +298,6 @@ query("quality_issue_details", f"SELECT '文本长度' AS category, '6/' || max(
 )
 
 
-def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-query("suggest_fields", "SELECT * FROM (VALUES ('x', 'ts'), ('y', 'value'), ('group', 'event_type')) t(part, field)")(lambda s, d: _listed(s, list(charts.suggest_fields(events(s, d)).items()), "part string, field string"))
-query("mapping_suggestions", "SELECT * FROM (VALUES ('ts', 'timestamp'), ('Temp', 'temperature'), ('batch no', 'batch_id'), ('state', 'status'), ('dev-id', 'device_id'), ('压力', 'pressure')) t(source, target)")(
-    lambda s, d: _listed(s, profile.mapping_suggestions([*events(s, d).columns, "Temp", "batch no", "state", "dev-id", "压力"]), "source string, target string")
-)
-query("join_suggestions", "SELECT * FROM (VALUES ('id', 'dev_id', 'left'), ('time', 'ts', 'inner'), ('batch', 'batch_no', 'inner'), ('zip_code', 'zip_code', 'left')) t(\"left\", \"right\", kind)")(
-    lambda s, d: _listed(s, profile.join_suggestions(["id", "time", "batch", "zip_code", "my col"], ["dev_id", *events(s, d).columns[1:2], "batch_no", "zip_code", "my_col"]), "left string, right string, kind string")
-)
 query("preview_page", "SELECT * FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) BETWEEN 101 AND 150")(lambda s, d: profile.preview(orders(s, d), 3, 50))
 
 # --- files: what is written is read back
@@ -436,6 +424,36 @@ def _whole(spark: SparkSession, sf_dir: str) -> fusion.Result:
     return fusion.fuse(fusion.Request(keys=("user_id",), time="ts", mode="nearest", window_seconds=21600, clean_outliers=False, by_confidence=False), ("views", p), [("clicks", q)])
 
 
+# Fusion as it is by default: outliers go, and every value is weighed by how sure its table, binding, distance and cell
+# are. The numbers are the parts of those weights; bindings: click_id is a column of its own, temp_degf goes into temp_degc.
+_SPIKES = "CASE WHEN event_id % {} = 0 THEN value * 40 ELSE value END"
+_CLEAN_P = f"(SELECT * REPLACE (CASE WHEN an = 0 THEN v END AS v) FROM (SELECT *, coalesce(abs((v - avg(v) OVER ()) / stddev_pop(v) OVER ()) > 3.5, false) :: INTEGER AS an FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 5 <> 1 THEN {_SPIKES.format(50)} END AS v FROM events WHERE event_type = 'view')))"
+_CLEAN_S = f"(SELECT * REPLACE (CASE WHEN an = 0 THEN f END AS f) FROM (SELECT *, (abs((f - avg(f) OVER ()) / stddev_pop(f) OVER ()) > 3.5) :: INTEGER AS an FROM (SELECT event_id AS click_id, user_id, ts, {_SPIKES.format(40)} * 1.8 + 40 AS f FROM events WHERE event_type = 'click')))"
+_SURE = f"""WITH p AS MATERIALIZED {_CLEAN_P}, s AS MATERIALIZED {_CLEAN_S},
+near AS (SELECT p.event_id, s.click_id, s.f, s.an AS san, abs(date_diff('microsecond', p.ts, s.ts)) // 1000000 AS d FROM p JOIN s USING (user_id) WHERE d <= 21600 QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY d, s.ts, s.click_id) = 1),
+met AS (SELECT p.*, click_id, round(f * 5 / 9 - 160.0 / 9, 6) AS c, coalesce(san, 0) AS san, click_id IS NOT NULL AS there, 1 - d / 21600.0 AS near FROM p LEFT JOIN near USING (event_id)),
+weighed AS (SELECT *, least(greatest((0.42 * 0.8 + 0.24 * 0.7705 + 0.18 * 0.775 + 0.16 * 0.745) * (0.55 + 0.45 * near), 0.1), 1) AS w FROM met),
+each AS (SELECT *, 0.35 * w + 0.18 * 0.7705 + 0.05 * near + (0.18 + 0.14 + 0.1) * 0.55 + 0.05 AS w_click, 0.35 * w + 0.18 * 0.7705 + 0.05 * near + 0.18 * 0.991 + 0.14 + 0.1 * 0.94 + 0.05 * CASE WHEN c IS NULL THEN 0.35 ELSE 1 END AS w_c, 0.55 * 0.8 + 0.1 * (1 - 0.08 * an) + 0.1 AS base FROM weighed),
+sure AS (SELECT *, CASE WHEN v IS NOT NULL THEN base + 0.25 WHEN there AND c IS NOT NULL THEN w_c ELSE 0 END AS w_v FROM each),
+fields AS (SELECT *, (base + 0.25 * 0.92 + base + 0.25 + base + 0.25 * 0.85 + w_v + CASE WHEN there THEN w_click ELSE 0 END) / (3 + (w_v > 0) :: INTEGER + there :: INTEGER) AS conf, CASE WHEN NOT there THEN 2 WHEN c IS NULL THEN 1 ELSE 0 END AS missing, (there AND c IS NOT NULL) :: INTEGER AS unit, (san > 0) :: INTEGER AS odd FROM sure),
+scored AS (SELECT event_id, coalesce(v, c) AS v, there, missing, an + san AS anomalies, conf, greatest(0, 100 - CASE WHEN there THEN 0 ELSE 34 END - 15 * missing - least(4 * (an + san), 24) - 2 * (unit + odd) - 18 * (1 - least(conf, 1))) AS score, CASE WHEN unit + odd = 0 THEN '保留空值' ELSE concat_ws(' | ', CASE WHEN unit = 1 THEN '单位换算' END, CASE WHEN odd = 1 THEN '异常值剔除' END) END AS fixes FROM fields)"""
+
+
+def _sure(spark: SparkSession, sf_dir: str) -> fusion.Result:
+    e = _read(spark, sf_dir, "events")
+    spiked = lambda n: F.when(F.col("event_id") % n == 0, F.col("value") * 40).otherwise(F.col("value"))
+    p = Table.of(e.filter("event_type = 'view'").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 5 != 1, spiked(50)).alias("temp_degc")), "event_id")
+    q = Table.of(e.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "ts", (spiked(40) * 1.8 + 40).alias("temp_degf")), "click_id")
+    return fusion.fuse(fusion.Request(keys=("user_id",), time="ts", mode="nearest", window_seconds=21600), ("views", p), [("clicks", q)])
+
+
+query("fusion_confidence", f"{_SURE} SELECT event_id, round(v + 0.00037, 3) AS temp_degc, round(round(score, 4) + 0.00037, 3) AS score, fixes AS fusion_corrections FROM scored")(
+    lambda s, d: _sure(s, d).table.rows().select("event_id", F.round(F.col("temp_degc") + 0.00037, 3).alias("temp_degc"), F.round(F.col("fusion_quality_score") + 0.00037, 3).alias("score"), "fusion_corrections")
+)
+query("fusion_confidence_report", f"{_SURE} SELECT count(*) AS rows, count_if(there) AS matched_rows, round(round(avg(score), 4) + 0.00037, 3) AS average_quality, round(round(avg(conf), 4) + 0.00037, 3) AS average_confidence, sum(missing) :: BIGINT AS missing_fields, sum(anomalies) :: BIGINT AS anomaly_cells, 1 AS sources, '' AS skipped FROM scored")(
+    lambda s, d: _sure(s, d).report.withColumns({c: F.round(F.col(c) + 0.00037, 3) for c in ("average_quality", "average_confidence")})
+)
+query("fusion_confidence_alerts", f"{_SURE} SELECT event_id, fixes AS fusion_corrections, CASE WHEN round(score, 4) < 52.5 THEN '高' ELSE '中' END AS severity FROM scored WHERE round(score, 4) < 70 OR fixes <> '保留空值'")(lambda s, d: fusion.alerts(_sure(s, d).table).select("event_id", "fusion_corrections", "severity"))
 query("fusion_state_words", f"SELECT event_id, CASE run_status WHEN 'Running' THEN 'RUN' WHEN '停机' THEN 'STOP' WHEN ' standby ' THEN 'IDLE' WHEN 'odd one' THEN 'ODD ONE' END AS run_status FROM {_FOUND}")(lambda s, d: _logs(s, d, mode="exact_then_nearest").table.rows().select("event_id", "run_status"))
 query("fusion_fill_backward", f"SELECT event_id, first_value(log_id IGNORE NULLS) OVER ({_GAP} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS log_id FROM (SELECT * REPLACE (CASE WHEN hit THEN log_id END AS log_id) FROM {_FOUND})")(lambda s, d: _logs(s, d, mode="exact", missing="backward").table.rows().select("event_id", "log_id"))
 query("fusion_outliers", "SELECT event_id, CASE WHEN NOT bad THEN v END AS v, CAST(bad AS INTEGER) AS anomalies FROM (SELECT event_id, v, abs((v - avg(v) OVER ()) / stddev_pop(v) OVER ()) > 3.5 AS bad FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN value * 40 ELSE value END AS v FROM events))")(

@@ -2,7 +2,7 @@
 
 Every secondary table is matched to the primary rows by key and time, its values are brought into the primary's units
 and words, values for one field are merged by a strategy and their confidence, gaps are filled and each row is scored.
-All of it is one lazy plan of joins, aggregations and windows; only schemas and a few totals reach the driver.
+Rows are written when they are put in one order and when they are fused; only schemas and a few totals reach the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.parsing import FUSION, as_fusion_time, as_number, blank, is_number, is_text, number, text_of, time, trimmed
-from ..plans.table import Key, Table, carried_both, in_blocks, running_sum
+from ..plans.table import Key, Table, carried_both, in_blocks, running_sum, stored
 from . import fusion_names as names
 from .alignment import Source, aligned
 from .profile import duplicate_rows
@@ -314,6 +314,8 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
     rows = rows.withColumns({c: F.col(f"__s_{c}.v").cast(p.schema[c].dataType) if not is_number(p, c) else F.col(f"__s_{c}.v") for c in steps})
     rows = rows.select(*pt.columns, *(F.col(f"__n{i}").alias(x) for i, (x, _) in enumerate(new)), "__pid", "__key", "__ts", "__hits", "__missing", "__anomalies", "__conf", "__quality", "__trace", "__tags")
     columns = [*(x for x, _ in new), *pt.columns[1:]]
+    if request.missing == "keep_null":  # filling writes the rows; else once here, for the report and all that follows
+        rows = stored(rows, "fused")
     rows = filled_by_key(rows, columns, request.missing, ["__ts", "__pid"], F.lit(FILL_LABELS[request.missing]))
     corrected = F.when(F.size("__tags") > 0, F.array_join(F.array_sort(F.array_distinct("__tags")), " | ")).otherwise(FILL_LABELS[request.missing])
     out = rows.select(*pt.columns, *(x for x, _ in new), F.col("__quality").alias("fusion_quality_score"), F.col("__trace").alias("fusion_trace"), corrected.alias("fusion_corrections"), "__pid", "__hits", "__missing", "__anomalies", "__conf")

@@ -44,6 +44,6 @@ def test_query(spark, duck, name):
 
 def test_joins_over_all_orders(spark, duck):
     every = [r[0] for r in duck.execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()]
-    assert sorted(r.o_orderkey for r in catalog.QUERIES["join_outer_all"](spark, SF).select("o_orderkey").collect() if r.o_orderkey is not None) == every
-    got = catalog.QUERIES["join_report_all"](spark, SF).first()
+    assert sorted(r.o_orderkey for r in catalog.QUERIES["join_outer"](spark, SF).select("o_orderkey").collect() if r.o_orderkey is not None) == every
+    got = catalog.QUERIES["join_report"](spark, SF).first()
     assert got.matched_pairs + got.unmatched_right == len(every)
