@@ -66,22 +66,29 @@ def kind_of(df: DataFrame, name: str) -> str:
 
 
 def profile_columns(t: Table, rules: Rules = Rules()) -> DataFrame:
-    """One row per column: column, kind, rows, non_blank, missing, missing_rate, distinct, sample (the first value),
-    key_candidate, time_candidate, role.
+    """One row per column of a table with rows: column, kind, rows, non_blank, missing, missing_rate, distinct, sample (the
+    first value), key_candidate, time_candidate, role.
 
-    Cells are turned to (column, value) and counted per value first, so that neither many columns nor many equal
-    values make the work larger than one pass and two aggregations."""
+    Cells are turned to (column, digest of 128 bits) and counted before they move, so the shuffle does not grow with the
+    length of texts; samples come from a pass that moves one row for each task."""
     rules = rules.checked(t.columns)
     order = F.struct(*(F.col(k.name) for k in t.order))
-    values = F.array(*(F.struct(F.lit(i).alias("i"), F.when(~blank(t.df, c), trimmed(text_of(F.col(c)))).alias("v")) for i, c in enumerate(t.columns)))
-    cells = t.df.select(order.alias("o"), F.explode(values).alias("x")).select("o", "x.i", "x.v")
-    per = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
-    looks = as_plain_time(F.col("v")).isNotNull()
-    some = F.col("v").isNotNull()
-    p = per.groupBy("i").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("non_blank"), F.count("v").alias("distinct"),
-        F.min_by("v", F.when(some, F.col("o"))).alias("sample"), F.coalesce(F.sum(F.when(some & looks, F.col("n"))), F.lit(0)).alias("times"),
-    )
+    cell = {c: F.when(~blank(t.df, c), trimmed(F.col(c)) if is_text(t.df, c) else text_of(F.col(c))) for c in t.columns}
+
+    def may_be_time(c: str) -> Column:
+        """Of numbers only whole ones of eight digits are read as times; that columns of times are is known."""
+        return {"text": F.lit(True), "integer": F.length(cell[c]) == 8}.get(kind_of(t.df, c), F.lit(c in t.labels and is_time(t.df, c)))
+
+    cells = t.df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v"), may_be_time(c).alias("may")) for i, (c, v) in enumerate(cell.items())))))
+    v, some = F.col("v"), F.col("a").isNotNull()
+    digest = (F.when(v.isNotNull(), F.xxhash64(v)).alias("a"), F.when(v.isNotNull(), F.xxhash64(F.lit(1), v, "i")).alias("b"))
+    cells = cells.select("i", *digest, F.when(F.col("may"), as_plain_time(v)).isNotNull().cast("int").alias("looks"))
+    per = cells.groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("looks").alias("looks"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    p = per.groupBy("i").agg(F.sum("n").alias("rows"), total(F.when(some, F.col("n"))).alias("non_blank"), F.count("a").alias("distinct"), total(F.col("n") * F.col("looks")).alias("times"))
+    first = lambda c: F.min(F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("v"))))["v"]
+    samples = t.df.agg(F.array(*(F.struct(F.lit(i).alias("i"), first(c).alias("sample")) for i, c in enumerate(cell.values()))).alias("x")).select(F.inline("x"))
+    p = p.join(samples, "i")  # a row for each column on both sides
     names = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(t.labels.get(c, kind_of(t.df, c))).alias("kind")) for c in t.columns))
     p = p.withColumn("x", F.element_at(names, F.col("i") + 1)).withColumn("column", F.col("x.column")).withColumn("kind", F.col("x.kind"))
     p = p.withColumn("missing", F.col("rows") - F.col("non_blank")).withColumn("missing_rate", F.round(F.col("missing") / F.col("rows"), 6))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.parsing import NULL_MARKERS, as_boolean, as_number, as_plain_time, trimmed
 from ..operators.columns import normalised
 from ..plans.table import Key, Table, stored
+from .records import PLACE, left_open, records
 
 CANDIDATES = (",", ";", "\t", "|")
 EXTENSIONS = ("csv", "tsv", "txt", "xlsx")
@@ -48,13 +49,16 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("line string").option("sep", "\x01").option("quote", "").option("encoding", "ISO-8859-1").csv(path)
 
 
-def summary(lines: DataFrame) -> tuple[str, dict[str, int], bool]:
-    """From one pass over all lines: the encoding (UTF-8 if all are valid, else GBK), for each candidate the most cells
-    of a line, and whether a line has an odd number of quotes, so that a cell may go on in the next."""
-    valid = F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))
-    widths = [F.max(F.length("line") - F.length(F.translate("line", sep, "")) + 1) for sep in CANDIDATES]
-    bad, odd, *most = lines.agg(F.max(~valid), F.max(F.regexp_count("line", F.lit('"')) % 2), *widths).first()
-    return "GBK" if bad else "UTF-8", {sep: n or 1 for sep, n in zip(CANDIDATES, most, strict=True)}, bool(odd)
+def summary(lines: DataFrame) -> tuple[str, dict[str, int], dict[str, bool]]:
+    """From one pass over all lines: the encoding (UTF-8 if all are valid, else GBK) and, for each candidate, the most
+    cells of a line and whether a line ends within a quoted cell. A byte of a GBK character may look like a candidate, so
+    there any quote counts."""
+    line = F.col("line")
+    valid = F.is_valid_utf8(F.encode(line, "ISO-8859-1").cast("string"))
+    widths = [F.max(F.length(line) - F.length(F.translate(line, sep, "")) + 1) for sep in CANDIDATES]
+    found = list(lines.agg(F.max(~valid), F.max(line.contains('"')), *widths, *(F.max(left_open(line, sep)) for sep in CANDIDATES)).first())
+    n = len(CANDIDATES)
+    return "GBK" if found[0] else "UTF-8", {sep: x or 1 for sep, x in zip(CANDIDATES, found[2:], strict=False)}, {sep: bool(found[1] if found[0] else x) for sep, x in zip(CANDIDATES, found[2 + n :], strict=True)}
 
 
 def delimiter_of(lines: list[str], ext: str) -> str:
@@ -95,65 +99,90 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 @contextmanager
 def charsets(spark: SparkSession, encoding: str) -> Iterator[None]:
-    """Lets Spark read GBK, which it knows only with this setting, and puts the setting back."""
-    name = "spark.sql.legacy.javaCharsets"
-    before = spark.conf.get(name)
+    """Lets Spark read GBK, which it knows only with these settings (the second marks bytes that are no character instead
+    of ending the job), and puts them back."""
+    names = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {name: spark.conf.get(name) for name in names}
     try:
-        if encoding == "GBK":
+        for name in names if encoding == "GBK" else ():
             spark.conf.set(name, "true")
         yield
     finally:
-        spark.conf.set(name, before)
-
-
-def _first_row(spark: SparkSession, files: list[str], raw: T.StructType, options: dict) -> tuple[int, list] | None:
-    """The first of the files that has a row, and that row, the header."""
-    for i, f in enumerate(files):
-        found = spark.read.schema(raw).options(**options).csv(f).head(1)
-        if found:
-            return i, list(found[0])
-    return None
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _place() -> dict[str, Column]:
+    """The columns that rows of files are ordered by, but for the row's place in its split."""
+    file = F.col("_metadata.file_path")
+    number = F.coalesce(F.regexp_extract(file, _PART, 1).try_cast("long"), F.lit(0).cast("long"))
+    return {"__o0": number, "__o1": file, "__o2": F.col("_metadata.file_block_start")}
+
+
+def _raw(width: int) -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+
+
+def _by_line(spark: SparkSession, files: list[str], width: int, options: dict) -> tuple[list, DataFrame]:
+    """The header, the first row of the first file that has one, and the other rows, where each line is a row."""
+    raw, place = _raw(width), [c.alias(n) for n, c in _place().items()]
+    for at, file in enumerate(files):
+        first = spark.read.schema(raw).options(**options).csv(file).head(1)
+        if first:
+            break
+    else:
+        raise ValueError("no rows")
+    reader = lambda head: spark.read.schema(raw).options(**options, header=head, enforceSchema=True)
+    df = reader(True).csv(files[at]).select(*raw.names, *place)
+    if files[at + 1 :]:  # parts after the first have no header
+        df = df.unionByName(reader(False).csv(files[at + 1 :]).select(*raw.names, *place))
+    return list(first[0]), df.withColumn("__o3", F.monotonically_increasing_id())
+
+
+def _by_record(spark: SparkSession, path: str, options: dict) -> tuple[list, DataFrame]:
+    """The same where cells go on in the next line: records are found in all splits at once, then read as rows. Line
+    breaks within cells are \n, however the file ends its lines."""
+    sep, gbk = options["sep"], options["encoding"] == "GBK"
+    value = F.decode(F.col("value").cast("binary"), "GBK") if gbk else F.col("value")
+    lines = spark.read.text(path).select(*(c.alias(n) for n, c in _place().items()), F.monotonically_increasing_id().alias("__o3"), value.alias("line"))
+    rows = records(lines, sep).filter(F.trim("line") != "")
+    place = F.struct(*PLACE)
+    cells = F.max(F.length("line") - F.length(F.translate("line", sep, "")) + 1).alias("width")
+    found = rows.agg(F.min(place).alias("place"), F.min_by("line", place).alias("line"), cells).first()
+    if found.line is None:
+        raise ValueError("no rows")
+    raw = _raw(found.width)
+    parsed = F.from_csv("line", F.lit(raw.simpleString()[len("struct<") : -1].replace(":", " ")), {k: str(v) for k, v in options.items() if k != "encoding"})
+    header = spark.createDataFrame([(found.line,)], "line string").select(parsed.alias("r")).select("r.*").first()
+    rest = rows.filter(place != F.struct(*(F.lit(v).alias(n) for n, v in found.place.asDict().items())))
+    return list(header), rest.select(parsed.alias("r"), *PLACE).select("r.*", *PLACE)
 
 
 def read_delimited(spark: SparkSession, path: str, keep_text: bool = False) -> Table:
     """A file, or a folder of part files in the order of their numbers and names, of which the first begins with a header row.
     Short rows get nulls, long ones further columns; cells are trimmed, and those that mark a missing value are null.
-    With keep_text, columns stay text. Where a quoted cell goes on in the next line, a file is read by one task each,
-    else files are split. GBK is decoded once and stored, other text is read when it is needed."""
+    With keep_text, columns stay text. Files are split, those with cells over several lines too. The cells of such
+    files and of GBK are stored once, other text is read when it is needed."""
     lines = raw_lines(spark, path)
-    encoding, widths, broken = summary(lines)
+    encoding, widths, opened = summary(lines)
     head = [x.line.encode("latin-1").decode(encoding, "replace") for x in lines.filter("line is not null").head(50)]
     sep = delimiter_of(head, extension(path))
-    width = widths[sep]
     files = sorted((unquote(f) for f in lines.inputFiles()), key=lambda f: (part_number(f), f))
-    options = {"sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": broken}
+    options = {"sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
     with charsets(spark, encoding):
-        while True:
-            raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-            first = _first_row(spark, files, raw, options)
-            if first is None:
-                raise ValueError(f"{path}: no rows")
-            at, header = first
-            reader = lambda head: spark.read.schema(raw).options(**options, header=head, enforceSchema=True)  # noqa: B023, E731
-            file = F.col("_metadata.file_path")
-            number = F.coalesce(F.regexp_extract(file, _PART, 1).try_cast("long"), F.lit(0).cast("long"))
-            place = (number.alias("__o0"), file.alias("__o1"), F.col("_metadata.file_block_start").alias("__o2"))
-            df = reader(True).csv(files[at]).select(*raw.names, *place)
-            if files[at + 1 :]:  # parts after the first have no header
-                df = df.unionByName(reader(False).csv(files[at + 1 :]).select(*raw.names, *place))
-            df = df.withColumn("__o3", F.monotonically_increasing_id())
-            if encoding == "GBK":
-                df = stored(df, "decoded")
-            marked = {c: F.when(~trimmed(F.col(c)).isin(*NULL_MARKERS), trimmed(F.col(c))) for c in raw.names}
-            # One more pass tells which columns hold anything and of what type.
-            seen = df.agg(*(F.struct(F.count(c).alias("n"), (F.lit(None) if keep_text else counters(marked[c])).alias("of")).alias(c) for c in raw.names)).first()
-            full = [x["n"] > 0 for x in seen]
-            if not (broken and (full[-1] or header[-1])):  # a row over several lines may have more cells than any line
-                break
-            width *= 2
+        try:
+            header, df = _by_record(spark, path, options) if opened[sep] else _by_line(spark, files, widths[sep], options)
+        except ValueError as e:
+            raise ValueError(f"{path}: {e}") from e
+        if encoding == "GBK" or opened[sep]:
+            df = stored(df, "cells")
+    cells = [c for c in df.columns if not c.startswith("__")]
+    marked = {c: F.when(~trimmed(F.col(c)).isin(*NULL_MARKERS), trimmed(F.col(c))) for c in cells}
+    # One more pass tells which columns hold anything and of what type.
+    seen = df.agg(*(F.struct(F.count(c).alias("n"), (F.lit(None) if keep_text else counters(marked[c])).alias("of")).alias(c) for c in cells)).first()
     used = max([i + 1 for i, x in enumerate(header) if x is not None], default=1)
-    width = max([used, *(i + 1 for i in range(len(full)) if full[i])])  # separators within quotes made it too large
-    names = header_names([(header[i] or "").lstrip("﻿") for i in range(used)] + [""] * (width - used))
+    width = max([used, *(i + 1 for i, x in enumerate(seen) if x["n"])])  # separators within quotes made it too large
+    names = header_names([(header[i] or "").lstrip("\ufeff") for i in range(used)] + [""] * (width - used))
     df = df.select(*(marked[f"c{i}"].alias(n) for i, n in enumerate(names)), "__o0", "__o1", "__o2", "__o3")
     if not keep_text:
         df = typed(df, {n: kind_of_cells(seen[i]["of"]) for i, n in enumerate(names)})

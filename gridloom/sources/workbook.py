@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import NULL_MARKERS
-from ..plans.table import Key, Table
+from ..plans.table import Key, Table, stored
 from .delimited import header_names, infer, typed
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -83,7 +83,8 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
 
 
 def read_workbook(spark: SparkSession, path: str) -> dict[str, Table]:
-    """A table for each sheet that has a row; the first row is the header."""
+    """A table for each sheet that has a row; the first row is the header. The file is unpacked and parsed once, by one
+    task, and the rows of its sheets are stored: widths, types and all later use read those."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -97,7 +98,7 @@ def read_workbook(spark: SparkSession, path: str) -> dict[str, Table]:
                 if batch:
                     yield pd.DataFrame(batch, columns=["sheet", "row", "cells"])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "sheet string, row long, cells array<string>")
+    rows = stored(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "sheet string, row long, cells array<string>"), "sheets")
     sheets = rows.groupBy("sheet").agg(F.max(F.size("cells")).alias("width"), F.min_by("cells", "row").alias("header")).collect()
     out = {}
     for s in sheets:

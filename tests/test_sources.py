@@ -1,14 +1,19 @@
+import csv
+import io
 import json
+import random
 import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import profile
 from gridloom.plans.table import Table
 from gridloom.plans.template import Template
 from gridloom.sources import writers
 from gridloom.sources.delimited import delimiter_of, extension, load_paths, read_delimited
+from gridloom.sources.records import left_open
 
 
 def put(path, data):
@@ -42,6 +47,34 @@ def test_cells_over_several_lines(spark, tmp_path):
     assert [tuple(r) for r in t.ordered().collect()] == [("甲", "一\n二")]
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "gbk"])
+def test_lines_of_one_record_in_several_splits(spark, tmp_path, encoding):
+    draw = random.Random(3)
+    rows = [[str(i), "".join(draw.choice('值b ",\n') for _ in range(draw.choice((3, 9, 300 if i % 20 == 0 else 5)))), f"z{i}"] for i in range(80)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["i", "v", "w"], *rows])
+    path = put(tmp_path / "r.csv", out.getvalue().encode(encoding))
+    size = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in size]
+    try:
+        spark.conf.set(size[0], "150")
+        spark.conf.set(size[1], "0")
+        assert spark.read.text(path).rdd.getNumPartitions() >= 10
+        t = read_delimited(spark, path, keep_text=True)
+        assert [(r.i, r.v or "", r.w) for r in t.ordered().collect()] == [(i, v.strip(), w) for i, v, w in rows]
+    finally:
+        for k, v in zip(size, before, strict=True):
+            spark.conf.set(k, v)
+
+
+def test_which_lines_leave_a_cell_open(spark):
+    cases = {'a,"b': True, '"': True, ' "a""': True, '"a","b"': False, 'x "y, z': False, '5" a,"b': True, '"a"b",c': False, '""': False, '"""': True, "": False, '"a" x,"': True, '"' + "ab" * 200_000: True, '"",' * 100_000: False}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, line string").select("i", left_open(F.col("line"), ",").alias("o"))
+    assert [r.o for r in df.orderBy("i").collect()] == list(cases.values())
+    tab = spark.createDataFrame([('a\t"b',), ('\t\t"b"\t,"',)], "line string").select(left_open(F.col("line"), "\t").alias("o"))
+    assert [r.o for r in tab.collect()] == [True, False]
+
+
 @pytest.mark.parametrize("kind", ["csv", "tsv", "txt"])
 @pytest.mark.parametrize("breaks", [False, True])
 def test_what_is_written_is_read_back(spark, tmp_path, kind, breaks):
@@ -77,6 +110,7 @@ def workbook(path):
 
 def test_workbooks(spark, tmp_path):
     found = load_paths(spark, [workbook(tmp_path / "book.xlsx"), put(tmp_path / "d.csv", "x,y\n1,2\n")])
+    (tmp_path / "book.xlsx").unlink()  # it is parsed once, when it is loaded
     assert set(found) == {"book[One]", "book[Two]", "d"}
     one = found["book[One]"]
     assert one.columns == ["name", "column_2", "when"]
