@@ -45,7 +45,7 @@ def is_time(df: DataFrame, name: str) -> bool:
 def blank(df: DataFrame, name: str) -> Column:
     """Null, or text of white space only."""
     c = F.col(name)
-    return c.isNull() | (trimmed(c) == "") if is_text(df, name) else c.isNull()
+    return c.isNull() | ~c.rlike(r"(?U)\S") if is_text(df, name) else c.isNull()
 
 
 def as_number(c: Column, drop: str = "") -> Column:

@@ -82,10 +82,10 @@ def in_one_order(primary: DataFrame, answers: list[DataFrame]) -> DataFrame:
 
 
 def neighbours(placed: DataFrame, count: int) -> DataFrame:
-    """Those who ask, with __pid, their place, and of each of `count` answers __last{n}, the last of the key at or
+    """Those who ask, with __pid, their place, __part, its run, and of each of `count` answers __last{n}, the last of the key at or
     before the row's time, and __next{n}, the first after it."""
     rows = carried_both(placed, {f"__last{n}": F.col(f"__x{n}") for n in range(count)}, {f"__next{n}": F.col(f"__x{n}") for n in range(count)}, [F.col("__key")])
-    return rows.filter("__asks").withColumnRenamed("__pos", "__pid").drop("__part", "__asks", *(f"__x{n}" for n in range(count)))
+    return rows.filter("__asks").withColumnRenamed("__pos", "__pid").drop("__asks", *(f"__x{n}" for n in range(count)))
 
 
 def fractions(placed: DataFrame, count: int) -> tuple[bool, list[bool]]:
@@ -201,7 +201,7 @@ def distances(primary: DataFrame, s: Source, seconds: int) -> DataFrame:
 
 
 def aligned(primary: DataFrame, sources: list[Source], mode: str, window_seconds: int, resample_seconds: int) -> DataFrame:
-    """primary (__key, __ts, __at and more) with __pid and, for each source, __m{n}: cells (c0, c1 and so on), distance,
+    """primary (__key, __ts, __at and more) with __pid, __part and, for each source, __m{n}: cells (c0, c1 and so on), distance,
     anomalies, how ('exact', 'near', 'window', 'bucket') and rows; null without a match."""
     exact_first = mode.startswith("exact")
     answers = [one_for_each_time(s, n) for n, s in enumerate(sources)]

@@ -88,20 +88,24 @@ def _count(flags: list[Column]) -> Column:
 
 
 def worded(value: Column, table: tuple, other: Column) -> Column:
-    p = F.lower(F.regexp_replace(value, r"(?U)[^\p{L}\p{N}]", ""))
-    out = None
-    for words, name in table:
-        hit = reduce(or_, (p.contains(w) for w in words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(other)
+    """The word of the first entry of which the value, in small letters and digits, holds a word; else `other`."""
 
+    def named(p: Column) -> Column:
+        out = F
+        for words, name in table:
+            out = out.when(reduce(or_, (p.contains(w) for w in words)), F.lit(name))
+        return out
 
-def normal_value(value: Column, kind: str) -> Column:
-    """A state or event in its canonical word, other text trimmed; blank is null."""
-    t = trimmed(value)
-    if kind in ("state", "event"):
-        t = worded(value, STATES if kind == "state" else EVENTS, F.upper(t))
-    return F.when(trimmed(value) != "", t)
+    letters = F.lower(F.regexp_replace(value, r"(?U)[^\p{L}\p{N}]", ""))
+    # An array of one binds the letters to a name; written out, they would be made again for each word.
+    return F.coalesce(F.transform(F.array(letters), named)[0], other)
+
+
+def normal_value(value: Column, kind: str, t: Column | None = None) -> Column:
+    """A state or event in its canonical word, other text trimmed; blank is null. t: the value trimmed, if at hand."""
+    t = trimmed(value) if t is None else t
+    word = worded(value, STATES if kind == "state" else EVENTS, F.upper(t)) if kind in ("state", "event") else t
+    return F.when(t != "", word)
 
 
 def prepared(t: Table, keys: list[str], when: str, request: Request) -> DataFrame:
@@ -128,12 +132,16 @@ def prepared(t: Table, keys: list[str], when: str, request: Request) -> DataFram
 
 def filled_by_key(df: DataFrame, columns: list[str], how: str, order: list[str], tag: Column | None = None) -> DataFrame:
     """Gaps of columns within __key, in the order of time; with a tag, __tags gets it where a cell was filled. Rows are
-    numbered by key and time and filled in runs, so one key's rows may be dealt over many tasks."""
+    numbered by key and time and filled in runs, so one key's rows may be dealt over many tasks. Rows that have __part
+    and __pid, their places among others in that order, are not numbered again, unless rows must be counted."""
     if how in ("linear", "window_mean"):
         columns = [c for c in columns if is_number(df, c)]
     if how == "keep_null" or not columns:
         return df
-    rows = Table(df, tuple(Key(c) for c in ("__key", *order))).numbered()
+    if how != "window_mean" and {"__part", "__pid"} <= set(df.columns):
+        rows = df.withColumn("__pos", F.col("__pid"))
+    else:
+        rows = Table(df, tuple(Key(c) for c in ("__key", *order))).numbered()
     mark = {c: F.when(~blank(df, c), F.struct(F.col(c).alias("v"), F.col("__ts").alias("ts"), F.col("__pos").alias("n"))) for c in columns}
     before = {f"__a_{c}": x for c, x in mark.items()} if how != "backward" else {}
     after = {f"__b_{c}": x for c, x in mark.items()} if how != "forward" else {}
@@ -241,6 +249,9 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
         raise ValueError("no secondary table can be aligned: " + "; ".join(skipped))
     rows = aligned(p, tables, request.mode, request.window_seconds, request.resample_seconds)
 
+    # What is used more than once is a column, put on in the order of need: written into each use, it would be made
+    # anew in each, texts' regular expressions too.
+    near_by, cells, sure = {}, {}, {}
     tags, traces, missing, new = [F.when(F.lit(False), "")], [], F.lit(0), []
     into: dict[str, list[tuple[Column, bool, bool, Column, Column]]] = {}
     weights: list[Column] = []
@@ -249,9 +260,10 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
         there = F.col(m).isNotNull()
         d, how = F.col(f"{m}.distance").cast("double"), F.col(f"{m}.how")
         span = request.resample_seconds if request.mode == "resample" else request.window_seconds
-        near = _clamp(1 - F.least(d / span, F.lit(1.0)), 0.0, 1.0)
-        time_score = F.when(how == "exact", 1.0).otherwise(near)
-        weight = F.when(how == "exact", confidence).otherwise(_clamp(confidence * (0.55 + 0.45 * near), 0.1, 1.0))
+        near, time_score, weight = (F.col(f"{m}_{x}") for x in ("near", "time", "weight"))
+        near_by[f"{m}_near"] = _clamp(1 - F.least(d / span, F.lit(1.0)), 0.0, 1.0)
+        cells[f"{m}_time"] = F.when(how == "exact", 1.0).otherwise(near)
+        cells[f"{m}_weight"] = F.when(how == "exact", confidence).otherwise(_clamp(confidence * (0.55 + 0.45 * near), 0.1, 1.0))
         seconds = F.concat(F.col(f"{m}.distance").cast("string"), F.lit("s"))
         said = F.when(~there, "未命中").when(how == "exact", "精确命中").when(how == "near", F.concat(F.lit("最近邻 "), seconds)).when(how == "window", F.concat(F.lit("时间窗聚合 "), F.col(f"{m}.rows").cast("string"), F.lit(" 行"))).otherwise(F.concat(F.lit("重采样桶命中 "), seconds))
         traces.append(F.concat(F.lit(f"{label}: "), said))
@@ -261,19 +273,22 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
             fields += 1
             raw, numeric = F.col(f"{m}.cells.c{i}"), is_number(st.df, b.column)
             kind = names.value_kind(b.column, numeric)
-            cell, unit, target = raw, names.unit_of(b.column), names.unit_of(b.into) if b.into else None
+            made, unit, target = raw, names.unit_of(b.column), names.unit_of(b.into) if b.into else None
+            cell, w = F.col(f"{m}_c{i}"), F.col(f"{m}_w{i}")
             if kind == "continuous" and target and unit and target != unit and target.domain == unit.domain:
-                cell = F.round((number_of(raw, numeric) * unit.scale + (unit.offset - target.offset)) / target.scale, 6)
+                made = F.round((number_of(raw, numeric) * unit.scale + (unit.offset - target.offset)) / target.scale, 6)
                 tags.append(F.when(there & cell.isNotNull(), "单位换算"))
             elif kind != "continuous" and not numeric and is_text(st.df, b.column):
-                cell = normal_value(raw, kind)
+                near_by[f"{m}_t{i}"] = trimmed(raw)
+                made = normal_value(raw, kind, F.col(f"{m}_t{i}"))
                 if kind in ("state", "event"):
-                    tags.append(F.when(there & (cell != trimmed(raw)), "状态归一"))
+                    tags.append(F.when(there & (cell != F.col(f"{m}_t{i}")), "状态归一"))
+            cells[f"{m}_c{i}"] = made
             missing = missing + F.when(cell.isNull(), 1).otherwise(0)
             quality = F.when(cell.isNull(), 0.35).when(F.lit(kind == "continuous") & number_of(cell, numeric).isNull(), 0.55).otherwise(1.0 if kind == "continuous" else 0.9)
-            w = _clamp(0.35 * weight + 0.18 * semantic + 0.18 * b.semantic + 0.14 * b.kind_score + 0.1 * b.unit_score + 0.05 * time_score + 0.05 * quality, 0.1, 1.25) if request.by_confidence else weight
+            sure[f"{m}_w{i}"] = _clamp(0.35 * weight + 0.18 * semantic + 0.18 * b.semantic + 0.14 * b.kind_score + 0.1 * b.unit_score + 0.05 * time_score + 0.05 * quality, 0.1, 1.25) if request.by_confidence else weight
             if b.into:
-                whole = cell is raw and is_whole(st.df, b.column)
+                whole = made is raw and is_whole(st.df, b.column)
                 into.setdefault(b.into, []).append((cell, numeric, whole, w, there))
             else:
                 name, k = b.column, 2
@@ -282,7 +297,9 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
                 taken.add(names.plain(name))
                 new.append((name, cell))
                 weights.append(F.when(there, w).otherwise(F.lit(0.0)))
-    own_weights = {c: primary_weight(p, c, kinds[c], prior, request.by_confidence) for c in pt.columns}
+    sure |= {f"__own{i}": primary_weight(p, c, kinds[c], prior, request.by_confidence) for i, c in enumerate(pt.columns)}
+    own_weights = {c: F.col(f"__own{i}") for i, c in enumerate(pt.columns)}
+    rows = rows.withColumns(near_by).withColumns(cells).withColumns(sure)
     steps: dict[str, Column] = {}
     for c, listed in into.items():
         numeric = is_number(p, c)
@@ -303,19 +320,23 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
     rows = rows.withColumns({f"__s_{c}": x for c, x in steps.items()})
     tags += [F.when(F.col(f"__s_{c}.fixed"), "低置信字段纠偏") for c in steps]
     final = [F.col(f"__s_{c}.w") if c in steps else own_weights[c] for c in pt.columns] + weights
+    rows = rows.withColumns({f"__f{i}": w for i, w in enumerate(final)})
+    final = [F.col(f"__f{i}") for i in range(len(final))]
     counted = _count([w > 0 for w in final])
-    confidence = F.when(counted > 0, _clamp(reduce(add, (F.when(w > 0, w).otherwise(0.0) for w in final)) / counted, 0.0, 1.25)).otherwise(0.0)
+    mean_weight = reduce(add, (F.when(w > 0, w).otherwise(0.0) for w in final)) / F.col("__counted")
+    confidence = F.when(F.col("__counted") > 0, _clamp(mean_weight, 0.0, 1.25)).otherwise(0.0)
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*tags))))
+    rows = rows.withColumns({"__hits": hits, "__missing": missing, "__anomalies": anomalies, "__tags": found, "__counted": counted}).withColumn("__conf", confidence)
+    hits, missing, anomalies, confidence, found = (F.col(c) for c in ("__hits", "__missing", "__anomalies", "__conf", "__tags"))
     n = len(sources)
     penalty = 30.0 * (1 - hits / n) + 4.0 * (n - hits) + 30.0 * (F.least(missing / fields, F.lit(1.0)) if fields else F.lit(0.0))
     penalty = penalty + F.least(4.0 * anomalies, F.lit(24.0)) + F.least(2.0 * F.size(found), F.lit(12.0)) + 18.0 * (1 - _clamp(confidence, 0.0, 1.0))
     quality = _clamp(100.0 - penalty, 0.0, 100.0) if request.score else F.lit(100.0)
-    rows = rows.withColumns({"__hits": hits, "__missing": missing, "__anomalies": anomalies, "__conf": confidence, "__quality": F.round(quality, 4), "__trace": F.array_join(F.array(*traces), " | "), "__tags": found, **{f"__n{i}": c for i, (_, c) in enumerate(new)}})
+    rows = rows.withColumns({"__quality": F.round(quality, 4), "__trace": F.array_join(F.array(*traces), " | "), **{f"__n{i}": c for i, (_, c) in enumerate(new)}})
     rows = rows.withColumns({c: F.col(f"__s_{c}.v").cast(p.schema[c].dataType) if not is_number(p, c) else F.col(f"__s_{c}.v") for c in steps})
-    rows = rows.select(*pt.columns, *(F.col(f"__n{i}").alias(x) for i, (x, _) in enumerate(new)), "__pid", "__key", "__ts", "__hits", "__missing", "__anomalies", "__conf", "__quality", "__trace", "__tags")
+    rows = rows.select(*pt.columns, *(F.col(f"__n{i}").alias(x) for i, (x, _) in enumerate(new)), "__pid", "__part", "__key", "__ts", "__hits", "__missing", "__anomalies", "__conf", "__quality", "__trace", "__tags")
     columns = [*(x for x, _ in new), *pt.columns[1:]]
-    if request.missing == "keep_null":  # filling writes the rows; else once here, for the report and all that follows
-        rows = stored(rows, "fused")
+    rows = stored(rows, "fused")  # once, for filling, the report and all that follows
     rows = filled_by_key(rows, columns, request.missing, ["__ts", "__pid"], F.lit(FILL_LABELS[request.missing]))
     corrected = F.when(F.size("__tags") > 0, F.array_join(F.array_sort(F.array_distinct("__tags")), " | ")).otherwise(FILL_LABELS[request.missing])
     out = rows.select(*pt.columns, *(x for x, _ in new), F.col("__quality").alias("fusion_quality_score"), F.col("__trace").alias("fusion_trace"), corrected.alias("fusion_corrections"), "__pid", "__hits", "__missing", "__anomalies", "__conf")
@@ -345,8 +366,8 @@ def primary_weight(df: DataFrame, column: str, kind: str, prior: float, by_confi
         quality = F.when(number(df, column, FUSION).isNotNull(), 1.0).otherwise(0.5)
     elif kind == "text":
         quality = F.lit(0.85)
-    else:
-        same = normal_value(text, kind) == trimmed(text)
+    else:  # other than states and events, a cell that is not blank is its own normal value
+        same = normal_value(text, kind) == trimmed(text) if kind in ("state", "event") else F.lit(True)
         quality = F.when(same, 0.95 if kind == "state" else 0.92).otherwise(0.9 if kind == "state" else 0.87)
     factor = F.greatest(1.0 - F.col("__an") * 0.08, F.lit(0.55))
     seen = F.when(F.col("__ts").isNotNull(), 1.0).otherwise(0.85)
