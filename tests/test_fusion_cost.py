@@ -33,3 +33,10 @@ def test_cells_are_made_once(spark, monkeypatch, mode, missing):
     rows, expressions, writes, _ = made_with(monkeypatch, spark, mode=mode, missing=missing)
     assert sorted((r.event_id, r.run_status) for r in rows)[:3] == [(0, "RUN"), (1, "RUN"), (2, "RUN")]
     assert writes == 1 and 0 < expressions < 20
+
+
+def test_filling_keeps_the_places_of_fused_rows(spark, monkeypatch):
+    plain = made_with(monkeypatch, spark, mode="nearest")[3]
+    rows, _, _, numbered = made_with(monkeypatch, spark, mode="nearest", missing="forward")
+    assert sorted((r.event_id, r.log_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 2)]
+    assert numbered == plain + 1  # the second table's rows, for their own gaps
