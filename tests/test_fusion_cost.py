@@ -28,7 +28,7 @@ def made_with(monkeypatch, spark, **options):
     return rows, sum(t.count("regexp_replace(") for t in texts), len(texts), len(numbered)
 
 
-@pytest.mark.parametrize("mode, missing", [("exact_then_window", "linear"), ("exact_then_nearest", "keep_null"), ("exact_then_window", "keep_null"), ("window", "keep_null")])
+@pytest.mark.parametrize("mode, missing", [("exact_then_window", "linear"), ("exact_then_nearest", "keep_null"), ("exact_then_window", "keep_null"), ("window", "keep_null"), ("nearest", "keep_null")])
 def test_cells_are_made_once(spark, monkeypatch, mode, missing):
     rows, expressions, writes, _ = made_with(monkeypatch, spark, mode=mode, missing=missing)
     assert sorted((r.event_id, r.run_status) for r in rows)[:3] == [(0, "RUN"), (1, "RUN"), (2, "RUN")]
