@@ -17,16 +17,17 @@ from pyspark.sql import types as T
 
 from ..functions import exact
 from ..functions.parsing import FUSION, as_number, trimmed
-from ..plans.table import Key, Table, carried_both, running_sums
+from ..plans.table import Key, Table, carried_both, running_sums, stored
 
 @dataclass(frozen=True)
 class Source:
     """A secondary table: __key, __ts, __at (its order), __an (anomalies) and the columns to hand over. `word` makes the
-    canonical word of a text cell, for votes."""
+    canonical word of a text cell, for votes. `single`: no two rows share key and time."""
 
     rows: DataFrame
     columns: list[str]
     word: object = trimmed
+    single: bool = False
 
     @property
     def kinds(self) -> dict[int, T.DataType]:
@@ -69,6 +70,8 @@ def one_for_each_time(s: Source, n: int) -> DataFrame:
     """Of rows of one key and time only the first can be the nearest: __key, __ts, __x{n} (ts, cells, anomalies)."""
     cells = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(s.columns))) if s.columns else F.struct(F.lit(0).alias("none"))
     x = F.struct(F.col("__ts").alias("ts"), cells.alias("cells"), F.col("__an").cast("long").alias("anomalies"))
+    if s.single:
+        return s.timed.select("__key", "__ts", x.alias(f"__x{n}"))
     return s.timed.groupBy("__key", "__ts").agg(F.min_by(x, "__at").alias(f"__x{n}"))
 
 
@@ -98,19 +101,25 @@ def fractions(placed: DataFrame, count: int) -> tuple[bool, list[bool]]:
     return len(known) < 2, [a != b for a, b in spans[1:]]
 
 
-def may_tie(placed: DataFrame, n: int) -> bool:
-    """Whether two answers of a key may be less than a second apart: such share two seconds from an even or an odd one."""
+def tied(placed: DataFrame, n: int) -> DataFrame | None:
+    """__key, __ts and __x0 of the answers that another of their key may be less than a second apart from: such share two
+    seconds from an even or an odd one. None if there are none. Only these can be as many seconds before a row."""
     second = F.floor(micros(F.col("__ts")) / 1_000_000)
     twos = F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.floor(second / 2).alias("two")), F.struct(F.lit(1).alias("odd"), F.floor((second + 1) / 2).alias("two"))))
-    rows = placed.filter(F.col(f"__x{n}").isNotNull()).select("__key", twos.alias("t"))
-    return rows.groupBy("__key", "t.odd", "t.two").count().filter("count > 1").limit(1).count() > 0
+    rows = placed.filter(F.col(f"__x{n}").isNotNull())
+    shared = rows.select("__key", twos.alias("t")).groupBy("__key", "t.odd", "t.two").count().filter("count > 1")
+    shared = stored(shared.select("__key", "odd", "two"), "shared-seconds")
+    if shared.isEmpty():
+        return None
+    rows = rows.select("__key", "__ts", F.col(f"__x{n}").alias("__x0"), twos.alias("t")).select("__key", "__ts", "__x0", "t.odd", "t.two")
+    return stored(rows.join(shared, ["__key", "odd", "two"], "left_semi").dropDuplicates(["__key", "__ts"]).select("__key", "__ts", "__x0"), "tied")
 
 
-def nearest(rows: DataFrame, n: int, answers: DataFrame, exact_first: bool, limit: int | None, bucket: int | None, ties: bool) -> DataFrame:
+def nearest(rows: DataFrame, n: int, exact_first: bool, limit: int | None, bucket: int | None, among: DataFrame | None) -> DataFrame:
     """Adds __found{n}: of the neighbours the one with fewer whole seconds to the row, `limit` at most, within the row's
     `bucket` of so many seconds, if given; of as many the earliest: ts, cells, anomalies, d, hit (at the very time).
-    Where answers may be less than a second apart, several may be as many seconds before the row; the earliest of these
-    is looked up."""
+    Where answers may be less than a second apart (`among`, of `tied`), several may be as many seconds before the row;
+    the earliest of these is looked up, for the rows whose last answer is such."""
     ts, last, after = F.col("__ts"), F.col(f"__last{n}"), F.col(f"__next{n}")
     if bucket:
         of = lambda c: F.floor(micros(c) / (bucket * 1_000_000))
@@ -122,12 +131,13 @@ def nearest(rows: DataFrame, n: int, answers: DataFrame, exact_first: bool, limi
     back = last.isNotNull() & (hit | after.isNull() | (away(last) <= away(after)))
     rows = rows.withColumns({"__back": back, "__hit": hit, "__d": F.when(back, away(last)).otherwise(away(after)), "__chosen": F.when(back, last).otherwise(after)})
     chosen = F.col("__chosen")
-    if ties:
+    if among is not None:
         start = micros(ts) - (F.col("__d") + 1) * 1_000_000
         if bucket:
             start = F.greatest(start, of(ts) * (bucket * 1_000_000) - 1)
-        again = rows.filter("__back and not __hit").select("__pid", "__key", F.timestamp_micros(start).cast("timestamp_ntz").alias("__ts"), F.lit(0).alias("__at"))
-        placed = in_one_order(again.withColumnRenamed("__pid", "__of"), [answers.withColumnRenamed(f"__x{n}", "__x0")])
+        again = rows.filter("__back and not __hit").select(F.col("__pid").alias("__of"), "__key", F.col("__chosen.ts").alias("__ts"), F.timestamp_micros(start).cast("timestamp_ntz").alias("__start"))
+        again = again.join(among.select("__key", "__ts"), ["__key", "__ts"], "left_semi").select("__of", "__key", F.col("__start").alias("__ts"), F.lit(0).alias("__at"))
+        placed = in_one_order(again, [among])
         first = neighbours(placed, 1).select(F.col("__of").alias("__pid"), F.col("__next0").alias("__first"))
         rows = rows.join(first, "__pid", "left")
         chosen = F.coalesce("__first", chosen)
@@ -214,9 +224,12 @@ def aligned(primary: DataFrame, sources: list[Source], mode: str, window_seconds
             rows = rows.withColumn(f"__m{n}", F.when(x["ts"] == F.col("__ts"), m)).drop(f"__last{n}", f"__next{n}")
         return rows
     alike, differ = fractions(placed, len(sources))
+    among = [tied(placed, n) if differ[n] else None for n in range(len(sources))]
+    if any(x is not None for x in among):
+        rows = stored(rows, "neighbours")  # once, for the look-ups and for what follows
     for n in range(len(sources)):
         limit, bucket = (None, resample_seconds) if mode == "resample" else (window_seconds, None)
-        rows = nearest(rows, n, answers[n], exact_first, limit, bucket, differ[n] and may_tie(placed, n))
+        rows = nearest(rows, n, exact_first, limit, bucket, among[n])
     if mode in ("window", "exact_then_window"):
         rows = rows.join(window_totals(rows, sources, window_seconds), "__pid", "left")
     for n, s in enumerate(sources):

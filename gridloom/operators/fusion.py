@@ -20,7 +20,7 @@ from ..functions.parsing import FUSION, as_fusion_time, as_number, blank, is_num
 from ..plans.table import Key, Table, carried_both, in_blocks, running_sum, stored
 from . import fusion_names as names
 from .alignment import Source, aligned
-from .profile import duplicate_rows
+from .profile import row_keys
 
 MODES = ("exact", "exact_then_nearest", "nearest", "exact_then_window", "window", "resample")
 MODE_NAMES = {"按时间精确对齐": "exact", "精确优先，最近邻兜底": "exact_then_nearest", "按最近邻对齐": "nearest", "精确优先，时间窗聚合兜底": "exact_then_window", "按时间窗聚合": "window", "按重采样对齐": "resample"}
@@ -172,12 +172,13 @@ def filled_by_key(df: DataFrame, columns: list[str], how: str, order: list[str],
 def source_confidence(t: Table, name: str) -> float:
     """A prior for a whole table, from its name, blank cells, repeated rows and whether a column looks like a time."""
     cells = F.sum(_count([blank(t.df, c) for c in t.columns]))
-    n, missing = t.df.agg(F.count(F.lit(1)), F.coalesce(cells, F.lit(0))).first()
+    alike = t.df.groupBy(*row_keys(t, t.columns)).agg(F.count(F.lit(1)).alias("__n"), cells.alias("__cells"))
+    n, missing, repeated = alike.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.sum("__cells"), F.lit(0)), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()
     share = missing / (n * len(t.columns)) if n else 0.0
     lower = name.lower()
     score = 0.62 + 0.08 * any(not is_text(t.df, c) and not is_number(t.df, c) or "time" in c.lower() or "date" in c.lower() for c in t.columns)
     score += 0.10 if share < 0.12 else -0.12 if share > 0.35 else 0.0
-    score -= 0.06 * (duplicate_rows(t).first()[0] > 0)
+    score -= 0.06 * (repeated > 0)
     score += 0.12 * ("label" in lower or "manual" in lower or "标签" in name)
     score += 0.06 * ("control" in lower or "command" in lower or "指令" in name)
     score -= 0.08 * ("sim" in lower or "仿真" in name)
@@ -244,7 +245,7 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
         if request.by_confidence:
             confidence = min(max(0.42 * confidence + 0.24 * semantic + 0.18 * kind_score + 0.16 * unit_score, 0.2), 1.0)
         sources.append((f"__m{len(tables)}", f"辅源{n + 1}", st, bindings, confidence, semantic))
-        tables.append(Source(s, own, lambda c: worded(c, VOTES, trimmed(c))))
+        tables.append(Source(s, own, lambda c: worded(c, VOTES, trimmed(c)), request.deduplicate))
     if not sources:
         raise ValueError("no secondary table can be aligned: " + "; ".join(skipped))
     rows = aligned(p, tables, request.mode, request.window_seconds, request.resample_seconds)

@@ -112,12 +112,16 @@ def _cell_kind(df: DataFrame, name: str) -> Column:
     return F.when(~blank(df, name), found)
 
 
+def row_keys(t: Table, names: list[str]) -> list[Column]:
+    """By which rows are alike: texts trimmed, null as the empty text."""
+    return [F.coalesce(trimmed(F.col(c)), F.lit("")).alias(c) if is_text(t.df, c) else key(t, c).alias(c) for c in names]
+
+
 def duplicate_rows(t: Table, columns: list[str] | None = None, skip_blank: bool = False) -> DataFrame:
     """One row: duplicates, how many rows repeat one before; with skip_blank, among rows without a blank key only."""
     names = columns or t.columns
     rows = t.df.filter(~reduce(or_, (blank(t.df, c) for c in names))) if skip_blank else t.df
-    keys = [F.coalesce(trimmed(F.col(c)), F.lit("")).alias(c) if is_text(t.df, c) else key(t, c).alias(c) for c in names]
-    return rows.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("duplicates"))
+    return rows.groupBy(*row_keys(t, names)).agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("duplicates"))
 
 
 def time_steps(t: Table, column: str) -> DataFrame:

@@ -40,3 +40,25 @@ def test_filling_keeps_the_places_of_fused_rows(spark, monkeypatch):
     rows, _, _, numbered = made_with(monkeypatch, spark, mode="nearest", missing="forward")
     assert sorted((r.event_id, r.log_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 2)]
     assert numbered == plain + 1  # the second table's rows, for their own gaps
+
+
+def test_only_answers_within_a_second_are_looked_up_again(spark, monkeypatch):
+    at = lambda n: START + dt.timedelta(milliseconds=n)
+    # Key a: two answers 0.4 s apart, the row 5.7 s after the first: both are 5 s before it. Key b: answers far apart.
+    p = Table.of(spark.createDataFrame([(1, "a", at(5700)), (2, "b", at(5700)), (3, "b", at(95700)), (4, "a", at(99700))], "event_id long, user_id string, ts timestamp_ntz"), "event_id")
+    q = [(10, "a", at(0)), (11, "a", at(400)), *((20 + i, "b", at(i * 10_001)) for i in range(10))]
+    q = Table.of(spark.createDataFrame(q, "log_id long, user_id string, ts timestamp_ntz"), "log_id")
+    ordered = []
+    number = Table.numbered
+    monkeypatch.setattr(Table, "numbered", lambda t: ordered.append(t.df.count()) or number(t))
+    rows = fusion.fuse(fusion.Request(keys=("user_id",), time="ts", mode="nearest", window_seconds=1000, clean_outliers=False), ("views", p), [("logs", q)]).table.rows().collect()
+    assert sorted((r.event_id, r.log_id) for r in rows) == [(1, 10), (2, 21), (3, 30 - 1), (4, 10)]
+    assert ordered == [16, 4]  # all rows once; then two answers and the two rows after them
+
+
+def test_confidence_of_a_table_reads_it_once(spark, monkeypatch):
+    t = Table.of(spark.createDataFrame([(1, "a", None), (1, "a ", None), (2, None, 1.0), (3, "", 2.0)], "id long, word string, v double"), "id")
+    first, reads = type(t.df).first, []
+    monkeypatch.setattr(type(t.df), "first", lambda df: reads.append(1) or first(df))
+    assert fusion.source_confidence(t, "log") == pytest.approx(0.62 - 0.06)  # 4 of 12 cells are blank, a row is repeated
+    assert len(reads) == 1
