@@ -62,3 +62,21 @@ def test_confidence_of_a_table_reads_it_once(spark, monkeypatch):
     monkeypatch.setattr(type(t.df), "first", lambda df: reads.append(1) or first(df))
     assert fusion.source_confidence(t, "log") == pytest.approx(0.62 - 0.06)  # 4 of 12 cells are blank, a row is repeated
     assert len(reads) == 1
+
+
+CASES = [
+    (3, {"mode": "nearest", "clean_outliers": False}),
+]
+
+
+@pytest.mark.parametrize("others, options", CASES)
+def test_look_ups_are_of_few_rows(spark, monkeypatch, others, options):
+    at = lambda n: START + dt.timedelta(milliseconds=n)
+    p = Table.of(spark.createDataFrame([(1, "a", at(5700)), (2, "b", at(5700)), (3, "b", at(95700)), (4, "a", at(99700))], "event_id long, user_id string, ts timestamp_ntz"), "event_id")
+    q = [(10, "a", at(0)), (11, "a", at(400)), *((20 + i, "b", at(i * 10_001)) for i in range(10))]
+    q = [(f"logs{n}", Table.of(spark.createDataFrame(q, f"log{n}_id long, user_id string, ts timestamp_ntz"), f"log{n}_id")) for n in range(others)]
+    ordered = []
+    number = Table.numbered
+    monkeypatch.setattr(Table, "numbered", lambda t: ordered.append(t.df.count()) or number(t))
+    fusion.fuse(fusion.Request(keys=("user_id",), time="ts", window_seconds=1000, **options), ("views", p), q)
+    assert ordered.count(4) == others  # two answers and the two rows after them, for each source
