@@ -67,6 +67,7 @@ def test_confidence_of_a_table_reads_it_once(spark, monkeypatch):
 CASES = [
     (3, {"mode": "nearest", "clean_outliers": False}),
     (1, {"mode": "exact_then_window", "clean_outliers": False}),
+    (1, {"mode": "nearest", "missing": "forward", "clean_outliers": False}),
 ]
 
 
