@@ -69,6 +69,7 @@ CASES = [
     (1, {"mode": "exact_then_window", "clean_outliers": False}),
     (1, {"mode": "nearest", "missing": "forward", "clean_outliers": False}),
     (1, {"mode": "window", "clean_outliers": False}),
+    (1, {"mode": "nearest"}),
 ]
 
 
