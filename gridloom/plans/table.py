@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HIDDEN = "__"
 _own: dict[str, str] = {}
@@ -116,6 +117,19 @@ class Table:
         df = self.df.withColumns({k.name: c for k, (c, _, _) in zip(new, keys, strict=True)})
         return replace(self, df=df, order=(*new, *self.order))
 
+    @property
+    def parts(self) -> list[Column]:
+        """`sort` with the fields of structs one by one, which Spark compares faster."""
+        out = []
+        for k in self.order:
+            f = self.df.schema[k.name]
+            if isinstance(f.dataType, T.StructType) and k.ascending and k.nulls_first:
+                whole = [F.col(k.name).isNotNull()] if f.nullable else []  # no struct comes before one of nulls
+                out += [*whole, *(F.col(k.name)[x].asc_nulls_first() for x in f.dataType.names)]
+            else:
+                out.append(k.sort)
+        return out
+
     def window(self, *groups: Column | str) -> Window:
         return Window.partitionBy(*groups).orderBy(*self.sort)
 
@@ -124,13 +138,13 @@ class Table:
         range, sorted and written once, each with its number in its run; the runs' lengths, one short row for each, give
         where each starts. So no task sees more than its share of rows, and they move only once."""
         drop = [c for c in ("__pos", "__part") if c in self.df.columns]
-        placed = self.df.drop(*drop).repartitionByRange(run_count(self.df), *self.sort).sortWithinPartitions(*self.sort)
+        placed = self.df.drop(*drop).repartitionByRange(run_count(self.df), *self.parts).sortWithinPartitions(*self.parts)
         # An id that Spark gives has the partition in its high bits and the row's number there in the low 33.
         placed = stored(placed.withColumn("__id", F.monotonically_increasing_id()), "ordered")
         placed = placed.withColumns({"__part": F.shiftright("__id", 33).cast("int"), "__rn": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("__id")
         lengths = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
         starts = lengths.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-        rows = placed.join(F.broadcast(starts), "__part")  # one row for each run
+        rows = placed.join(F.broadcast(stored(starts, "run-starts")), "__part")  # one row for each run
         return rows.withColumn("__pos", F.col("__start") + F.col("__rn")).drop("__rn", "__start")
 
     def rows(self) -> DataFrame:
@@ -155,18 +169,29 @@ def _key(keys: list[Column]) -> Column:
     return F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys))) if keys else F.struct(F.lit(0).alias("k0"))
 
 
-def _handed_on(df: DataFrame, end: Column, combine, forward: bool) -> DataFrame:
-    """df: rows numbered in an order that begins with their __run_key. (__part, __run_key, __before) for the key that each run
-    begins (backward: ends) with: what `combine` makes of the values `end` that the runs before it hand on for that
-    key. Two rows for each run at most, however the keys are spread."""
-    first, last = F.min_by("__run_key", "__pos"), F.max_by("__run_key", "__pos")
-    bounds = df.groupBy("__part").agg((last if forward else first).alias("__out"), (first if forward else last).alias("__in"))
-    ends = df.join(F.broadcast(bounds.select("__part", "__out")), "__part").filter(F.col("__run_key").eqNullSafe(F.col("__out")))
-    ends = ends.groupBy("__part").agg(F.first("__run_key").alias("__run_key"), end.alias("__end"))
-    all_ = ends.select("__part", "__run_key", "__end", F.lit(False).alias("__asks")).unionByName(bounds.select("__part", F.col("__in").alias("__run_key"), F.lit(None).cast(ends.schema["__end"].dataType).alias("__end"), F.lit(True).alias("__asks")))
+def _run_ends(numbered: DataFrame, key: Column, before=None, after=None) -> DataFrame:
+    """One row for each run of rows numbered in an order that begins with their key: __part, __first and __last, the keys
+    that it begins and ends with, __out, what `before` (from a condition to an aggregate) makes of its rows of the last
+    key, and __back, what `after` makes of those of the first. Only rows of these two keys are aggregated; stored."""
+    places = numbered.groupBy("__part").agg(F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"))
+    rows = numbered.withColumn("__run_key", key)
+    edges = rows.join(F.broadcast(places), "__part").filter("__pos = __lo or __pos = __hi").groupBy("__part").agg(F.min_by("__run_key", "__pos").alias("__first"), F.max_by("__run_key", "__pos").alias("__last"))
+    begins, closes = (F.col("__run_key").eqNullSafe(F.col(c)) for c in ("__first", "__last"))
+    rows = rows.join(F.broadcast(edges), "__part").filter(begins | closes)
+    made = [f(x).alias(name) for name, f, x in (("__out", before, closes), ("__back", after, begins)) if f]
+    return stored(rows.groupBy("__part").agg(F.first("__first").alias("__first"), F.first("__last").alias("__last"), *made), "run-ends")
+
+
+def _handed_on(ends: DataFrame, combine, forward: bool) -> DataFrame:
+    """ends: of `_run_ends`. (__part, __run_key, __before) for the key that each run begins (backward: ends) with: what
+    `combine` makes of the values that the runs before it hand on for that key. One row for each run, however the keys
+    are spread."""
+    made, out, asks = ("__out", "__last", "__first") if forward else ("__back", "__first", "__last")
+    told = ends.select("__part", F.col(out).alias("__run_key"), F.col(made).alias("__end"), F.lit(False).alias("__asks"))
+    asked = ends.select("__part", F.col(asks).alias("__run_key"), F.lit(None).cast(ends.schema[made].dataType).alias("__end"), F.lit(True).alias("__asks"))
     # Within a run the question comes before the answer, so a run does not answer itself.
     w = Window.partitionBy("__run_key").orderBy(F.col("__part").asc() if forward else F.col("__part").desc(), F.col("__asks").desc())
-    return all_.withColumn("__before", combine("__end", w.rowsBetween(Window.unboundedPreceding, -1))).filter("__asks").select("__part", "__run_key", "__before")
+    return told.unionByName(asked).withColumn("__before", combine("__end", w.rowsBetween(Window.unboundedPreceding, -1))).filter("__asks").select("__part", "__run_key", "__before")
 
 
 def carried(numbered: DataFrame, values: dict[str, Column], keys: list[Column] = (), forward: bool = True) -> DataFrame:
@@ -177,37 +202,43 @@ def carried(numbered: DataFrame, values: dict[str, Column], keys: list[Column] =
 
 def carried_both(numbered: DataFrame, before: dict[str, Column], after: dict[str, Column], keys: list[Column] = ()) -> DataFrame:
     """Adds `before`, values carried forward, and `after`, values carried backward. Runs are filled each on their own,
-    so the rows of one key may be dealt over many tasks; what a run hands on is one row."""
-    df = numbered.withColumn("__run_key", _key(list(keys)))
-    df = df.withColumns({f"__v{way}{i}": v for way, values in enumerate((before, after)) for i, v in enumerate(values.values())})
-    out, spare = df, ["__run_key"]
-    for way, values in enumerate((before, after)):
-        if not values:
+    so the rows of one key may be dealt over many tasks; what a run hands on is one row. Rows move once, and values that
+    are columns are not copied before."""
+    ways = {True: list(before.values()), False: list(after.values())}
+
+    def ends(forward: bool):
+        pick = F.max_by if forward else F.min_by
+        return lambda of: F.struct(*(pick(v, F.when(of & v.isNotNull(), F.col("__pos"))).alias(f"v{i}") for i, v in enumerate(ways[forward])))
+
+    made = _run_ends(numbered, _key(list(keys)), *(ends(x) if ways[x] else None for x in (True, False)))
+    out, spare = numbered, []
+    for forward, names in ((True, list(before)), (False, list(after))):
+        if not names:
             continue
-        n, forward, handed = len(values), way == 0, f"__handed{way}"
-        inside = Window.partitionBy("__part", "__run_key").orderBy(F.col("__pos").asc() if forward else F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        at = lambda c: F.when(F.col(c).isNotNull(), F.col("__pos"))
-        ends = F.struct(*((F.max_by if forward else F.min_by)(f"__v{way}{i}", at(f"__v{way}{i}")).alias(f"v{i}") for i in range(n)))
-        combine = lambda end, w: F.struct(*(F.last(F.col(end)[f"v{i}"], ignorenulls=True).over(w).alias(f"v{i}") for i in range(n)))  # noqa: B023, E731
-        handed_on = _handed_on(df, ends, combine, forward).withColumnRenamed("__before", handed)
-        out = out.withColumns({f"__i{way}{i}": F.last(f"__v{way}{i}", ignorenulls=True).over(inside) for i in range(n)})
-        out = out.join(F.broadcast(handed_on), ["__part", "__run_key"], "left")  # two rows for each run at most
-        out = out.withColumns({name: F.coalesce(f"__i{way}{i}", F.col(handed)[f"v{i}"]) for i, name in enumerate(values)})
-        spare += [handed, *(f"__{x}{way}{i}" for x in "vi" for i in range(n))]
+        of, handed = f"__of{forward:d}", f"__handed{forward:d}"
+        inside = Window.partitionBy("__part", *keys).orderBy(F.col("__pos").asc() if forward else F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumns({f"__i{forward:d}{i}": F.last(v, ignorenulls=True).over(inside) for i, v in enumerate(ways[forward])})
+        combine = lambda end, w: F.struct(*(F.last(F.col(end)[f"v{i}"], ignorenulls=True).over(w).alias(f"v{i}") for i in range(len(names))))  # noqa: B023, E731
+        spare += [of, handed, *(f"__i{forward:d}{i}" for i in range(len(names)))]
+        out = out.join(F.broadcast(_handed_on(made, combine, forward).select("__part", F.col("__run_key").alias(of), F.col("__before").alias(handed))), "__part", "left")  # one row for each run
+    for forward, names in ((True, list(before)), (False, list(after))):
+        of, handed = (F.col(f"__{x}{forward:d}") for x in ("of", "handed"))
+        out = out.withColumns({name: F.coalesce(f"__i{forward:d}{i}", F.when(of.eqNullSafe(_key(list(keys))), handed[f"v{i}"])) for i, name in enumerate(names)})
     return out.drop(*spare)
 
 
 def running_sums(numbered: DataFrame, values: dict[str, Column], keys: list[Column] = ()) -> DataFrame:
     """Adds the sums of the values over the rows of the key up to each row; each null until its first value."""
     n = range(len(values))
-    df = numbered.withColumns({"__run_key": _key(list(keys)), **{f"__v{i}": v for i, v in enumerate(values.values())}})
-    inside = Window.partitionBy("__part", "__run_key").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key, columns = _key(list(keys)), list(values.values())
+    inside = Window.partitionBy("__part", *keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     combine = lambda end, w: F.struct(*(F.sum(F.col(end)[f"v{i}"]).over(w).alias(f"v{i}") for i in n))
-    before = _handed_on(df, F.struct(*(F.sum(f"__v{i}").alias(f"v{i}") for i in n)), combine, True)
-    df = df.withColumns({f"__in{i}": F.sum(f"__v{i}").over(inside) for i in n}).join(F.broadcast(before), ["__part", "__run_key"], "left")
-    was = lambda i: F.col("__before")[f"v{i}"]
+    ends = _run_ends(numbered, key, lambda of: F.struct(*(F.sum(F.when(of, v)).alias(f"v{i}") for i, v in enumerate(columns))))
+    before = _handed_on(ends, combine, True).select("__part", F.col("__run_key").alias("__of"), "__before")
+    df = numbered.withColumns({f"__in{i}": F.sum(v).over(inside) for i, v in enumerate(columns)}).join(F.broadcast(before), "__part", "left")
+    was = lambda i: F.when(F.col("__of").eqNullSafe(key), F.col("__before")[f"v{i}"])
     df = df.withColumns({name: F.when(F.col(f"__in{i}").isNull(), was(i)).otherwise(F.when(was(i).isNull(), F.col(f"__in{i}")).otherwise(F.col(f"__in{i}") + was(i))) for i, name in enumerate(values)})
-    return df.drop("__run_key", "__before", *(f"__{x}{i}" for x in ("v", "in") for i in n))
+    return df.drop("__of", "__before", *(f"__in{i}" for i in n))
 
 
 def running_sum(numbered: DataFrame, name: str, value: Column, keys: list[Column] = ()) -> DataFrame:
