@@ -77,10 +77,10 @@ def one_for_each_time(s: Source, n: int) -> DataFrame:
 
 def in_one_order(primary: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """The rows of primary (__key, __ts, __at and more), which ask, and of the answers (__key, __ts, __x{n}), numbered
-    by key and time and written once."""
-    both = primary.withColumn("__asks", F.lit(True))
-    for a in answers:
-        both = both.unionByName(a.withColumn("__asks", F.lit(False)), allowMissingColumns=True)
+    by key and time and written once. __n: the n of an answer, null for those who ask."""
+    both = primary.withColumns({"__asks": F.lit(True), "__n": F.lit(None).cast("int")})
+    for n, a in enumerate(answers):
+        both = both.unionByName(a.withColumns({"__asks": F.lit(False), "__n": F.lit(n)}), allowMissingColumns=True)
     return Table(both, tuple(Key(c) for c in ("__key", "__ts", "__asks", "__at"))).numbered()  # answers come before those who ask at their time
 
 
@@ -88,62 +88,71 @@ def neighbours(placed: DataFrame, count: int) -> DataFrame:
     """Those who ask, with __pid, their place, __part, its run, and of each of `count` answers __last{n}, the last of the key at or
     before the row's time, and __next{n}, the first after it."""
     rows = carried_both(placed, {f"__last{n}": F.col(f"__x{n}") for n in range(count)}, {f"__next{n}": F.col(f"__x{n}") for n in range(count)}, [F.col("__key")])
-    return rows.filter("__asks").withColumnRenamed("__pos", "__pid").drop("__asks", *(f"__x{n}" for n in range(count)))
+    return rows.filter("__asks").withColumnRenamed("__pos", "__pid").drop("__asks", "__n", *(f"__x{n}" for n in range(count)))
 
 
 def fractions(placed: DataFrame, count: int) -> tuple[bool, list[bool]]:
     """Whether the fractions of seconds of the asking rows and of all answers are one, and for each of the answers
     whether its own differ."""
     part = F.pmod(micros(F.col("__ts")), F.lit(1_000_000))
-    of = [F.col("__asks"), *(F.col(f"__x{n}").isNotNull() for n in range(count))]
-    spans = placed.agg(*(F.struct(F.min(F.when(x, part)), F.max(F.when(x, part))) for x in of)).first()
-    known = {x for span in spans for x in span if x is not None}
-    return len(known) < 2, [a != b for a, b in spans[1:]]
+    spans = {r[0]: (r[1], r[2]) for r in placed.select("__n", part.alias("f")).groupBy("__n").agg(F.min("f"), F.max("f")).collect()}  # one row for each table
+    known = {x for span in spans.values() for x in span if x is not None}
+    return len(known) < 2, [len(set(spans.get(n, ()))) > 1 for n in range(count)]
 
 
-def tied(placed: DataFrame, n: int) -> DataFrame | None:
-    """__key, __ts and __x0 of the answers that another of their key may be less than a second apart from: such share two
-    seconds from an even or an odd one. None if there are none. Only these can be as many seconds before a row."""
+def tied(placed: DataFrame, count: int, differ: list[bool]) -> list[DataFrame | None]:
+    """For each source whose fractions differ, __key, __ts and __x0 of the answers that another of their key may be less
+    than a second apart from: such share two seconds from an even or an odd one. None if there are none. Only these can
+    be as many seconds before a row. Shared seconds are told by a hash of 64 bits; an answer too many does no harm."""
+    if not any(differ):
+        return [None] * count
     second = F.floor(micros(F.col("__ts")) / 1_000_000)
-    twos = F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.floor(second / 2).alias("two")), F.struct(F.lit(1).alias("odd"), F.floor((second + 1) / 2).alias("two"))))
-    rows = placed.filter(F.col(f"__x{n}").isNotNull())
-    shared = rows.select("__key", twos.alias("t")).groupBy("__key", "t.odd", "t.two").count().filter("count > 1")
-    shared = stored(shared.select("__key", "odd", "two"), "shared-seconds")
+    rows = placed.filter(F.col("__n").isin(*(n for n in range(count) if differ[n])))
+    twos = F.array(*(F.xxhash64("__n", "__key", F.lit(odd), F.floor((second + odd) / 2)) for odd in (0, 1)))
+    shared = rows.select(F.explode(twos).alias("__two")).groupBy("__two").count().filter("count > 1").select("__two")
+    shared = stored(shared, "shared-seconds")
     if shared.isEmpty():
-        return None
-    rows = rows.select("__key", "__ts", F.col(f"__x{n}").alias("__x0"), twos.alias("t")).select("__key", "__ts", "__x0", "t.odd", "t.two")
-    return stored(rows.join(shared, ["__key", "odd", "two"], "left_semi").dropDuplicates(["__key", "__ts"]).select("__key", "__ts", "__x0"), "tied")
+        return [None] * count
+    rows = rows.withColumn("__two", F.explode(twos)).join(shared, "__two", "left_semi").dropDuplicates(["__n", "__key", "__ts"])
+    rows = stored(rows.select("__n", "__key", "__ts", *(f"__x{n}" for n in range(count))), "tied")
+    some = {r[0] for r in rows.select("__n").distinct().collect()}  # one row for each source
+    return [rows.filter(F.col("__n") == n).select("__key", "__ts", F.col(f"__x{n}").alias("__x0")) if n in some else None for n in range(count)]
 
 
-def nearest(rows: DataFrame, n: int, exact_first: bool, limit: int | None, bucket: int | None, among: DataFrame | None) -> DataFrame:
-    """Adds __found{n}: of the neighbours the one with fewer whole seconds to the row, `limit` at most, within the row's
-    `bucket` of so many seconds, if given; of as many the earliest: ts, cells, anomalies, d, hit (at the very time).
-    Where answers may be less than a second apart (`among`, of `tied`), several may be as many seconds before the row;
-    the earliest of these is looked up, for the rows whose last answer is such."""
+def chosen(rows: DataFrame, n: int, exact_first: bool, bucket: int | None) -> DataFrame:
+    """Of each row's neighbours among the answers n the one with fewer whole seconds to it, within the row's `bucket` of
+    so many seconds, if given; of as many the last before it: __chosen{n}, __d{n} (whole seconds), __hit{n} (at the very
+    time) and __back{n} (before the row)."""
     ts, last, after = F.col("__ts"), F.col(f"__last{n}"), F.col(f"__next{n}")
     if bucket:
         of = lambda c: F.floor(micros(c) / (bucket * 1_000_000))
         last, after = (F.when(of(c["ts"]) == of(ts), c) for c in (last, after))
     last, after = (F.when(ts.isNotNull(), c) for c in (last, after))
     away = lambda c: seconds_apart(ts, c["ts"])
-    same = F.coalesce(last["ts"] == ts, F.lit(False))
-    hit = same & F.lit(exact_first)
+    hit = F.coalesce(last["ts"] == ts, F.lit(False)) & F.lit(exact_first)
     back = last.isNotNull() & (hit | after.isNull() | (away(last) <= away(after)))
-    rows = rows.withColumns({"__back": back, "__hit": hit, "__d": F.when(back, away(last)).otherwise(away(after)), "__chosen": F.when(back, last).otherwise(after)})
-    chosen = F.col("__chosen")
+    rows = rows.withColumns({f"__back{n}": back, f"__hit{n}": hit, f"__d{n}": F.when(back, away(last)).otherwise(away(after)), f"__chosen{n}": F.when(back, last).otherwise(after)})
+    return rows.drop(f"__last{n}", f"__next{n}")
+
+
+def nearest(rows: DataFrame, n: int, limit: int | None, bucket: int | None, among: DataFrame | None) -> DataFrame:
+    """Adds __found{n}: the answer of `chosen`, `limit` seconds away at most; of as many the earliest: ts, cells,
+    anomalies, d, hit (at the very time). Where answers may be less than a second apart (`among`, of `tied`), several may
+    be as many seconds before the row; the earliest of these is looked up, for the rows whose last answer is such."""
+    ts, d, one = F.col("__ts"), F.col(f"__d{n}"), F.col(f"__chosen{n}")
     if among is not None:
-        start = micros(ts) - (F.col("__d") + 1) * 1_000_000
+        start = micros(ts) - (d + 1) * 1_000_000
         if bucket:
-            start = F.greatest(start, of(ts) * (bucket * 1_000_000) - 1)
-        again = rows.filter("__back and not __hit").select(F.col("__pid").alias("__of"), "__key", F.col("__chosen.ts").alias("__ts"), F.timestamp_micros(start).cast("timestamp_ntz").alias("__start"))
+            start = F.greatest(start, F.floor(micros(ts) / (bucket * 1_000_000)) * (bucket * 1_000_000) - 1)
+        again = rows.filter(f"__back{n} and not __hit{n}").select(F.col("__pid").alias("__of"), "__key", one["ts"].alias("__ts"), F.timestamp_micros(start).cast("timestamp_ntz").alias("__start"))
         again = again.join(among.select("__key", "__ts"), ["__key", "__ts"], "left_semi").select("__of", "__key", F.col("__start").alias("__ts"), F.lit(0).alias("__at"))
         placed = in_one_order(again, [among])
         first = neighbours(placed, 1).select(F.col("__of").alias("__pid"), F.col("__next0").alias("__first"))
-        rows = rows.join(first, "__pid", "left")
-        chosen = F.coalesce("__first", chosen)
-    near = F.col("__d").isNotNull() if limit is None else F.col("__d") <= limit
-    found = F.struct(chosen["ts"].alias("ts"), chosen["cells"].alias("cells"), chosen["anomalies"].alias("anomalies"), F.col("__d").alias("d"), F.col("__hit").alias("hit"))
-    return rows.withColumn(f"__found{n}", F.when(near, found)).drop("__back", "__hit", "__d", "__chosen", "__first", f"__last{n}", f"__next{n}")
+        rows = rows.join(stored(first, "firsts"), "__pid", "left")  # stored, few rows are known to be few: the others stay where they are
+        one = F.coalesce("__first", one)
+    near = d.isNotNull() if limit is None else d <= limit
+    found = F.struct(one["ts"].alias("ts"), one["cells"].alias("cells"), one["anomalies"].alias("anomalies"), d.alias("d"), F.col(f"__hit{n}").alias("hit"))
+    return rows.withColumn(f"__found{n}", F.when(near, found)).drop("__first", *(f"__{x}{n}" for x in ("back", "hit", "d", "chosen")))
 
 
 def _amounts(s: Source, n: int) -> dict[str, Column]:
@@ -154,29 +163,31 @@ def _amounts(s: Source, n: int) -> dict[str, Column]:
     return out
 
 
-def window_totals(primary: DataFrame, sources: list[Source], seconds: int) -> DataFrame:
-    """__pid and, for each source n: rows{n}, away{n} (whole seconds between the row's second and theirs, summed),
+def window_totals(primary: DataFrame, sources: list[Source], seconds: int, away: bool = True) -> DataFrame:
+    """__pid and, for each source n: rows{n}, away{n} (if asked for: whole seconds between the row's second and theirs, summed),
     anomalies{n} and mean{n}_{i} over the source's rows of the key within so many whole seconds of the row's time."""
     reach = (seconds + 1) * 1_000_000 - 1  # distances are cut to whole seconds
     asks = primary.filter("__ts is not null").select("__pid", "__key", "__ts")
-    ends = ((0, F.lit(-reach), 0), (1, F.lit(0), 2), (2, F.lit(reach), 2))  # place: before or after what is of the same time
+    ends = ((0, F.lit(-reach), 0), *([(1, F.lit(0), 2)] if away else []), (2, F.lit(reach), 2))  # place: before or after what is of the same time
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("end"), _shifted(F.col("__ts"), by).alias("at"), F.lit(place).alias("place")) for k, by, place in ends)))
     both = asks.select("__pid", "__key", each.alias("e")).select("__pid", "__key", F.col("e.at").alias("__ts"), F.col("e.place").alias("__place"), F.col("e.end").alias("__end"))
     names: list[str] = []
     for n, s in enumerate(sources):
-        amounts = _amounts(s, n)
+        amounts = {k: c for k, c in _amounts(s, n).items() if away or k[0] != "t"}
         names += amounts
         both = both.unionByName(s.timed.select("__key", "__ts", F.lit(1).alias("__place"), *(c.alias(name) for name, c in amounts.items())), allowMissingColumns=True)
     rows = Table(both, tuple(Key(c) for c in ("__key", "__ts", "__place", "__pid"))).numbered()
     rows = running_sums(rows, {f"__{name}": F.col(name) for name in names}, [F.col("__key")]).filter("__place <> 1")
     at = lambda name, end: F.coalesce(F.max(F.when(F.col("__end") == end, F.col(f"__{name}"))), F.lit(0))
-    rows = rows.groupBy("__pid").agg(*(at(name, end).alias(f"{name}_{end}") for name in names for end in (0, 1, 2) if end != 1 or name[0] in "rt"), F.max(F.when(F.col("__end") == 1, F.floor(micros(F.col("__ts")) / 1_000_000))).alias("second"))
+    rows = rows.groupBy("__pid").agg(*(at(name, end).alias(f"{name}_{end}") for name in names for end in (0, 1, 2) if end != 1 or away and name[0] in "rt"), F.max(F.when(F.col("__end") == 1, F.floor(micros(F.col("__ts")) / 1_000_000))).alias("second"))
     out = []
     within = lambda name, a=0, b=2: F.col(f"{name}_{b}") - F.col(f"{name}_{a}")
     for n, s in enumerate(sources):
-        before = within(f"r{n}", 0, 1) * F.col("second") - within(f"t{n}", 0, 1)
-        after = within(f"t{n}", 1, 2) - within(f"r{n}", 1, 2) * F.col("second")
-        out += [within(f"r{n}").alias(f"rows{n}"), (before + after).alias(f"away{n}"), within(f"a{n}").alias(f"anomalies{n}")]
+        if away:
+            before = within(f"r{n}", 0, 1) * F.col("second") - within(f"t{n}", 0, 1)
+            after = within(f"t{n}", 1, 2) - within(f"r{n}", 1, 2) * F.col("second")
+            out.append((before + after).alias(f"away{n}"))
+        out += [within(f"r{n}").alias(f"rows{n}"), within(f"a{n}").alias(f"anomalies{n}")]
         for i in s.averaged:
             of = lambda k: within(f"{k}{n}_{i}")  # noqa: B023, E731
             out.append(F.round(F.try_divide(exact.total(of, s.whole(i)), of("n")), 6).alias(f"mean{n}_{i}"))
@@ -224,22 +235,25 @@ def aligned(primary: DataFrame, sources: list[Source], mode: str, window_seconds
             rows = rows.withColumn(f"__m{n}", F.when(x["ts"] == F.col("__ts"), m)).drop(f"__last{n}", f"__next{n}")
         return rows
     alike, differ = fractions(placed, len(sources))
-    among = [tied(placed, n) if differ[n] else None for n in range(len(sources))]
+    among = tied(placed, len(sources), differ)
+    limit, bucket = (None, resample_seconds) if mode == "resample" else (window_seconds, None)
+    for n in range(len(sources)):
+        rows = chosen(rows, n, exact_first, bucket)
     if any(x is not None for x in among):
         rows = stored(rows, "neighbours")  # once, for the look-ups and for what follows
     for n in range(len(sources)):
-        limit, bucket = (None, resample_seconds) if mode == "resample" else (window_seconds, None)
-        rows = nearest(rows, n, exact_first, limit, bucket, among[n])
+        rows = nearest(rows, n, limit, bucket, among[n])
     if mode in ("window", "exact_then_window"):
-        rows = rows.join(window_totals(rows, sources, window_seconds), "__pid", "left")
+        rows = rows.join(window_totals(rows, sources, window_seconds, alike), "__pid", "left")
     for n, s in enumerate(sources):
         found = F.col(f"__found{n}")
         cells, distance, anomalies, count = found["cells"], found["d"], found["anomalies"], F.lit(1).cast("long")
         how = F.when(found["hit"], "exact").otherwise("bucket" if mode == "resample" else "near")
         spare = [f"__found{n}"]
         if f"rows{n}" in rows.columns:
-            away = F.col(f"away{n}")
-            if not alike:
+            if alike:
+                away = F.col(f"away{n}")
+            else:
                 exact_away = distances(primary, s, window_seconds).withColumnRenamed("away", f"__away{n}")
                 rows, away = rows.join(exact_away, ["__key", "__ts"], "left"), F.col(f"__away{n}")
                 spare.append(f"__away{n}")
