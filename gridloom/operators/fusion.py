@@ -108,16 +108,44 @@ def normal_value(value: Column, kind: str, t: Column | None = None) -> Column:
     return F.when(t != "", word)
 
 
-def prepared(t: Table, keys: list[str], when: str, request: Request) -> DataFrame:
-    """The rows with __key, __ts, __at (their order) and __an (outliers nulled): one for each key and time, that with
-    most cells filled, of several the later. Outliers are cells beyond the z-score over the whole column."""
-    df = t.df
+#: So many rows that share key and time, or more, are grouped with all others; fewer are taken out first.
+SHARING = 1_000_000
+
+
+def keyed(t: Table, keys: list[str], when: str) -> DataFrame:
+    """The rows with __key, __ts and __at, their order."""
     order = F.struct(*(F.col(k.name) for k in t.order))
-    df = df.select(*t.columns, F.struct(*(text_of(F.col(k)).alias(f"k{i}") for i, k in enumerate(keys))).alias("__key"), time(df, when, as_fusion_time).alias("__ts"), order.alias("__at"))
+    return t.df.select(*t.columns, F.struct(*(text_of(F.col(k)).alias(f"k{i}") for i, k in enumerate(keys))).alias("__key"), time(t.df, when, as_fusion_time).alias("__ts"), order.alias("__at"))
+
+
+def shared_times(df: DataFrame) -> DataFrame:
+    """__same (a hash of key and time) and count, of those that more than one row has. A row too many of equal hash does
+    no harm to those who group by key and time."""
+    return df.select(F.xxhash64("__key", "__ts").alias("__same")).groupBy("__same").count().filter("count > 1")
+
+
+def sharing(t: Table, keys: list[str], when: str) -> int:
+    """How many rows share key and time with another; if none, no two rows are alike."""
+    return shared_times(keyed(t, keys, when)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+
+
+def prepared(t: Table, keys: list[str], when: str, request: Request, many: int | None = None) -> DataFrame:
+    """The rows with __key, __ts, __at (their order) and __an (outliers nulled): one for each key and time, that with
+    most cells filled, of several the later. Outliers are cells beyond the z-score over the whole column. many: of
+    `sharing`, if at hand; only rows that share key and time are grouped."""
+    df = keyed(t, keys, when)
     if request.deduplicate:
-        full = _count([~blank(df, c) for c in t.columns])
-        df = df.groupBy("__key", "__ts").agg(F.max_by(F.struct(*t.columns, "__at"), F.struct(full, "__at")).alias("__best")).select("__best.*", "__key", "__ts")
-        df = df.select(*t.columns, "__key", "__ts", "__at")
+        many = sharing(t, keys, when) if many is None else many
+        alone, rest = (None, df) if many >= SHARING else (df, None)
+        if 0 < many < SHARING:
+            shared = shared_times(df)
+            df = df.withColumn("__same", F.xxhash64("__key", "__ts"))
+            alone, rest = (df.join(shared, "__same", how).drop("__same") for how in ("left_anti", "left_semi"))
+        if rest is not None:
+            full = _count([~blank(rest, c) for c in t.columns])
+            rest = rest.groupBy("__key", "__ts").agg(F.max_by(F.struct(*t.columns, "__at"), F.struct(full, "__at")).alias("__best")).select("__best.*", "__key", "__ts")
+            rest = rest.select(*t.columns, "__key", "__ts", "__at")
+        df = rest if alone is None else alone if rest is None else alone.unionByName(rest)
     df = df.withColumn("__an", F.lit(0))
     numeric = [c for c in t.columns if is_number(df, c)]
     if request.clean_outliers and numeric:
@@ -169,11 +197,16 @@ def filled_by_key(df: DataFrame, columns: list[str], how: str, order: list[str],
     return rows.withColumns(out).select(*df.columns)
 
 
-def source_confidence(t: Table, name: str) -> float:
-    """A prior for a whole table, from its name, blank cells, repeated rows and whether a column looks like a time."""
-    cells = F.sum(_count([blank(t.df, c) for c in t.columns]))
-    alike = t.df.groupBy(*row_keys(t, t.columns)).agg(F.count(F.lit(1)).alias("__n"), cells.alias("__cells"))
-    n, missing, repeated = alike.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.sum("__cells"), F.lit(0)), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()
+def source_confidence(t: Table, name: str, alone: bool = False) -> float:
+    """A prior for a whole table, from its name, blank cells, repeated rows and whether a column looks like a time. alone:
+    it is known that no two rows are alike; else rows are told apart by digests of 128 bits."""
+    cells = _count([blank(t.df, c) for c in t.columns])
+    if alone:
+        n, missing, repeated = t.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(cells), F.lit(0)), F.lit(0)).first()
+    else:
+        digest = [F.xxhash64(F.lit(i), *row_keys(t, t.columns)).alias(f"__d{i}") for i in (0, 1)]
+        alike = t.df.select(*digest, cells.alias("__cells")).groupBy("__d0", "__d1").agg(F.count(F.lit(1)).alias("__n"), F.sum("__cells").alias("__cells"))
+        n, missing, repeated = alike.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.sum("__cells"), F.lit(0)), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()
     share = missing / (n * len(t.columns)) if n else 0.0
     lower = name.lower()
     score = 0.62 + 0.08 * any(not is_text(t.df, c) and not is_number(t.df, c) or "time" in c.lower() or "date" in c.lower() for c in t.columns)
@@ -185,8 +218,9 @@ def source_confidence(t: Table, name: str) -> float:
     return min(max(score, 0.25), 1.0)
 
 
-def merged(value: Column, weight: Column, candidates: Column, numeric: bool, strategy: str, by_confidence: bool) -> Column:
-    """value with the candidates (value, weight) folded into it, in turn: a struct of value, weight and corrected."""
+def merged(value: Column, weight: Column, candidates: Column | list[Column], numeric: bool, strategy: str, by_confidence: bool) -> Column:
+    """value with the candidates (value, weight) folded into it, in turn: a struct of value, weight and corrected. Of
+    candidates in a list, which tell whether they are there, there should be few: each repeats those before it."""
     x = (lambda c: c) if numeric else (lambda c: as_number(c, FUSION))
     back = (lambda c: F.round(c, 6)) if numeric else (lambda c: F.round(c, 6).cast("string"))
 
@@ -214,7 +248,9 @@ def merged(value: Column, weight: Column, candidates: Column, numeric: bool, str
         return out.otherwise(s)
 
     start = F.struct(value.alias("v"), weight.alias("w"), F.lit(False).alias("fixed"))
-    return F.aggregate(candidates, start, step)
+    if isinstance(candidates, Column):
+        return F.aggregate(candidates, start, step)
+    return reduce(lambda s, c: F.when(c["there"], step(s, c)).otherwise(s), candidates, start)
 
 
 def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[str, Table]]) -> Result:
@@ -225,8 +261,9 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
     pt.require(*request.keys, request.time)
     if not secondaries:
         raise ValueError("a secondary table is needed")
-    p = prepared(pt, list(request.keys), request.time, request)
-    prior = source_confidence(pt, primary_name)
+    many = sharing(pt, list(request.keys), request.time) if request.deduplicate else None
+    p = prepared(pt, list(request.keys), request.time, request, many)
+    prior = source_confidence(pt, primary_name, many == 0)
     kinds = {c: names.value_kind(c, is_number(p, c)) for c in pt.columns}
     skipped, sources, tables, taken = [], [], [], {names.plain(c) for c in pt.columns}
     for n, (name, st) in enumerate(secondaries):
@@ -237,11 +274,12 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
             continue
         own = [c for c in st.columns if c not in (*keys, when)]
         bindings = [names.bind(c, is_number(st.df, c), {x: is_number(p, x) for x in pt.columns}, request.by_meaning, request.by_kind) for c in own]
-        s = prepared(st, keys, when, request)
+        many = sharing(st, keys, when) if request.deduplicate else None
+        s = prepared(st, keys, when, request, many)
         s = filled_by_key(s, st.columns[len(request.keys) :], request.missing, ["__ts", "__at"])
         mean = lambda f: sum(map(f, bindings)) / len(bindings) if bindings else 1.0  # noqa: B023, E731
         semantic, kind_score, unit_score = mean(lambda b: b.semantic), mean(lambda b: b.kind_score), mean(lambda b: b.unit_score)
-        confidence = source_confidence(st, name)
+        confidence = source_confidence(st, name, many == 0)
         if request.by_confidence:
             confidence = min(max(0.42 * confidence + 0.24 * semantic + 0.18 * kind_score + 0.16 * unit_score, 0.2), 1.0)
         sources.append((f"__m{len(tables)}", f"辅源{n + 1}", st, bindings, confidence, semantic))
@@ -316,8 +354,8 @@ def fuse(request: Request, primary: tuple[str, Table], secondaries: list[tuple[s
         if not numeric and not is_text(p, c):  # neither numbers nor text: nothing to average
             strategy = "complementary" if request.strategy == "numeric_average" else request.strategy
             steps[c] = merged(start.cast("string"), own_weights[c], F.transform(listed, lambda x: F.struct(x["v"].cast("string").alias("v"), x["w"].alias("w"))), False, strategy, request.by_confidence)
-        else:
-            steps[c] = merged(start, own_weights[c], listed, numeric, request.strategy, request.by_confidence)
+        else:  # one alone needs no array, whose functions Spark does not compile
+            steps[c] = merged(start, own_weights[c], candidates if len(candidates) == 1 else listed, numeric, request.strategy, request.by_confidence)
     rows = rows.withColumns({f"__s_{c}": x for c, x in steps.items()})
     tags += [F.when(F.col(f"__s_{c}.fixed"), "低置信字段纠偏") for c in steps]
     final = [F.col(f"__s_{c}.w") if c in steps else own_weights[c] for c in pt.columns] + weights

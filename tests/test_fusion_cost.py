@@ -84,3 +84,38 @@ def test_look_ups_are_of_few_rows(spark, monkeypatch, others, options):
     monkeypatch.setattr(Table, "numbered", lambda t: ordered.append(t.df.count()) or number(t))
     fusion.fuse(fusion.Request(keys=("user_id",), time="ts", window_seconds=1000, **options), ("views", p), q)
     assert ordered.count(4) == others  # two answers and the two rows after them, for each source
+
+
+def test_only_rows_that_share_a_time_are_grouped(spark):
+    at = lambda n: START + dt.timedelta(seconds=n)
+    rows = [(i, "k", at(i), float(i)) for i in range(5)]
+    request = fusion.Request(keys=("user_id",), time="ts", clean_outliers=False)
+    table = lambda rows: Table.of(spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp_ntz, v double"), "event_id")
+    alone = fusion.prepared(table(rows), ["user_id"], "ts", request)
+    assert "Aggregate" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.event_id for r in alone.collect()) == [0, 1, 2, 3, 4]
+    some = fusion.prepared(table([*rows, (5, "k", at(1), None), (6, "k", at(2), 9.0), (7, "m", at(2), 9.0)]), ["user_id"], "ts", request)
+    assert sorted((r.event_id, r.v) for r in some.collect()) == [(0, 0.0), (1, 1.0), (3, 3.0), (4, 4.0), (6, 9.0), (7, 9.0)]
+
+
+def test_windows_of_fractions_have_two_ends(spark, monkeypatch):
+    at = lambda n: START + dt.timedelta(milliseconds=n)
+    p = Table.of(spark.createDataFrame([(i, "a", at(1700 * i)) for i in range(7)], "event_id long, user_id string, ts timestamp_ntz"), "event_id")
+    q = Table.of(spark.createDataFrame([(10 + i, "a", at(2300 * i), 1.0) for i in range(5)], "log_id long, user_id string, ts timestamp_ntz, level double"), "log_id")
+    ordered, number = [], Table.numbered
+    monkeypatch.setattr(Table, "numbered", lambda t: ordered.append(t.df.count()) or number(t))
+    rows = fusion.fuse(fusion.Request(keys=("user_id",), time="ts", mode="window", window_seconds=1, clean_outliers=False), ("views", p), [("logs", q)]).table.rows().collect()
+    assert ordered == [12, 2 * 7 + 5]  # distances come from pairs of times, so the row's own place is not looked up
+    assert sorted((r.event_id, r.fusion_trace[-3:]) for r in rows)[:2] == [(0, "1 行"), (1, "2 行")]
+
+
+def test_carried_values_are_not_copied(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.plans.table import carried_both
+
+    rows = Table.of(spark.createDataFrame([(i, i // 3, i if i % 2 else None) for i in range(9)], "id long, g long, v long"), "g", "id").numbered()
+    out = carried_both(rows, {"last": F.col("v")}, {"next": F.col("v")}, [F.col("g")])
+    moved = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in line and "__asks" not in line]  # but what a run hands on, a row for each
+    assert len(moved) == 2 and not any("__run_key" in line or "__v" in line for line in moved)
+    assert [(r.last, r.next) for r in out.orderBy("id").collect()] == [(None, 1), (1, 1), (1, None), (3, 3), (3, 5), (5, 5), (None, 7), (7, 7), (7, None)]
